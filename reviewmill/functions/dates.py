@@ -5,48 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewmill.functions.text import BLANK, BLANKS, strip
+from reviewmill.functions.text import BLANK, bind, strip
 
 # Month abbreviations of the "Aug 30, 2026" form.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-# Clock, offset and loose day/month number forms.
+# Clock, offset and loose year, month and day forms.
 _CLOCK = (
     r"(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
     r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:\.\d+)?)?)?)?"
 )
+_YEAR = r"((?!0000)\d{4})"
 _MONTH = r"(1[0-2]|0[1-9]|[1-9])"
-_DAY = r"(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])"
-_SPACED = rf"^(\d{{4}})-{_MONTH}-{_DAY}[{BLANK}]+(2[0-3]|[01]\d|\d):([0-5]\d|\d):([0-5]\d|\d)$"
-_FOUR_DASHED = r"^\d{4}-\d{2}-\d{2}"
+_DAY = r"(?: (?=[1-9](?!\d)))?(3[01]|[12]\d|0[1-9]|[1-9])"
+_HMS = r"(2[0-3]|[01]\d|\d):([0-5]\d|\d):([0-5]\d|\d)"
 
-
-def build_date(year: Column, month: Column, day: Column) -> Column:
-    """Date of text parts, null when the calendar has no such day (or year 0)."""
-    iso = F.concat_ws(
-        "-", F.lpad(year, 4, "0"), F.lpad(strip(month), 2, "0"), F.lpad(strip(day), 2, "0")
-    )
-    return F.when(iso.rlike(r"^(?!0000)\d{4}-\d\d-\d\d$"), iso.try_cast("date"))
-
-
-def _parts(c: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    return build_date(
-        F.regexp_extract(c, pattern, year),
-        F.regexp_extract(c, pattern, month),
-        F.regexp_extract(c, pattern, day),
-    )
+_DASHED = rf"^{_YEAR}-(\d\d)-(\d\d)$"
+_SPACED = rf"^{_YEAR}-{_MONTH}-{_DAY}[{BLANK}]+{_HMS}$"
+_ISO = rf"^{_YEAR}-?(\d\d)-?(\d\d).{_CLOCK}$"
+_ISO_SHAPE = r"^(?:\d{4}-\d\d-\d\d|\d{8})[^\d]"
+_ISO_WEEK = rf"^{_YEAR}(?:-W(\d\d)-([1-7])|W(\d\d)([1-7]))(?:.{_CLOCK})?$"
+_US = rf"^{_MONTH}/{_DAY}/{_YEAR}$"
+_EU = rf"^{_DAY}/{_MONTH}/{_YEAR}$"
+_YMD = rf"^{_YEAR}/{_MONTH}/{_DAY}$"
+_NAMED = rf"(?i)^({'|'.join(MONTHS)})[{BLANK}]+{_DAY},[{BLANK}]+{_YEAR}$"
 
 
 def iso_week_day(year: Column, week: Column, weekday: Column) -> Column:
     """Date of an ISO week and weekday (1 = Monday), null for a week the year lacks."""
-    jan4 = build_date(year, F.lit("1"), F.lit("4"))
-    last = F.weekofyear(build_date(year, F.lit("12"), F.lit("28")))
-    monday = F.date_sub(jan4, F.weekday(jan4))
-    w = week.cast("int")
-    return F.when(
-        w.between(1, last) & weekday.cast("int").between(1, 7),
-        F.date_add(monday, (w - 1) * 7 + weekday.cast("int") - 1),
-    )
+    first = F.trunc(F.concat(year, F.lit("-01-04")).try_cast("date"), "week")
+    day = F.date_add(first, week.cast("int") * 7 + weekday.cast("int") - 8)
+    in_year = F.extract(F.lit("YEAROFWEEK"), day) == year.cast("int")
+    return F.when((week.cast("int") >= 1) & in_year, day)
 
 
 def parse_review_date(c: Column) -> Column:
@@ -55,53 +45,43 @@ def parse_review_date(c: Column) -> Column:
     Accepted: ``yyyy-MM-dd``, ``yyyy-MM-dd H:m:s`` (text after 19 characters ignored), ISO
     date-times (offset ignored), M/d/yyyy before d/M/yyyy, yyyy/M/d and ``MMM d, yyyy``.
     """
-    t = strip(c)
+    return bind(strip(c), _parse_stripped)
+
+
+def _parse_stripped(t: Column) -> Column:
     head, short = F.substring(t, 1, 19), F.substring(t, 1, 32)
-    us = rf"^{_MONTH}/{_DAY}/(\d{{4}})$"
-    eu = rf"^{_DAY}/{_MONTH}/(\d{{4}})$"
-    ymd = rf"^(\d{{4}})/{_MONTH}/{_DAY}$"
-    named = rf"(?i)^({'|'.join(MONTHS)})[{BLANK}]+{_DAY},[{BLANK}]+(\d{{4}})$"
-    week = rf"^(\d{{4}})(?:-W(\d\d)-([1-7])|W(\d\d)([1-7]))(?:.{_CLOCK})?$"
-    month_at = F.position(F.lower(F.regexp_extract(short, named, 1)), F.lit(" ".join(MONTHS)))
-    month_no = F.floor(month_at / 4) + 1
     spaced = t.contains(" ") & ~t.contains("T")
-    enters_iso = t.contains("T") | t.contains("+") | t.rlike("-.*-")
-    return (
-        F.when(t.rlike(_FOUR_DASHED + "$"), build_date(*(F.split_part(t, F.lit("-"), F.lit(i)) for i in (1, 2, 3))))
-        .when(head.rlike(_SPACED) & spaced, _parts(head, _SPACED, 1, 2, 3))
-        .when(
-            ~spaced & enters_iso & t.rlike(rf"{_FOUR_DASHED}.{_CLOCK}$"),
-            _parts(t, r"^(\d{4})-(\d\d)-(\d\d)", 1, 2, 3),
-        )
-        .when(
-            ~spaced & enters_iso & t.rlike(rf"^\d{{8}}.{_CLOCK}$"),
-            _parts(t, r"^(\d{4})(\d\d)(\d\d)", 1, 2, 3),
-        )
-        .when(
-            short.rlike(us) | short.rlike(eu),
-            F.coalesce(
-                F.when(short.rlike(us), _parts(short, us, 3, 1, 2)),
-                F.when(short.rlike(eu), _parts(short, eu, 3, 2, 1)),
-            ),
-        )
-        .when(short.rlike(ymd), _parts(short, ymd, 1, 2, 3))
-        .when(
-            short.rlike(named),
-            build_date(
-                F.regexp_extract(short, named, 3),
-                month_no.cast("string"),
-                F.regexp_extract(short, named, 2),
-            ),
-        )
+    isolike = ~spaced & (t.contains("T") | t.contains("+") | t.rlike("-.*-"))
+    month_at = F.position(F.lower(F.substring(short, 1, 3)), F.lit(" ".join(MONTHS)))
+    month = F.floor(month_at / 4) + 1
+    # Every form is rewritten to year-month-day; the cast rejects days the calendar lacks.
+    canonical = (
+        F.when(t.rlike(_DASHED), t)
+        .when(spaced & head.rlike(_SPACED), F.regexp_replace(head, _SPACED, "$1-$2-$3"))
+        .when(isolike & t.rlike(_ISO_SHAPE) & t.rlike(_ISO), F.regexp_replace(t, _ISO, "$1-$2-$3"))
+        .when(short.rlike(_US), F.regexp_replace(short, _US, "$3-$1-$2"))
+        .when(short.rlike(_EU), F.regexp_replace(short, _EU, "$3-$2-$1"))
+        .when(short.rlike(_YMD), F.regexp_replace(short, _YMD, "$1-$2-$3"))
         .when(
-            ~spaced & enters_iso & t.rlike(week),
-            iso_week_day(
-                F.regexp_extract(t, week, 1),
-                F.concat(F.regexp_extract(t, week, 2), F.regexp_extract(t, week, 4)),
-                F.concat(F.regexp_extract(t, week, 3), F.regexp_extract(t, week, 5)),
+            short.rlike(_NAMED),
+            F.concat(
+                F.regexp_extract(short, _NAMED, 3),
+                F.lit("-"),
+                month.cast("string"),
+                F.lit("-"),
+                F.regexp_extract(short, _NAMED, 2),
             ),
         )
     )
+    by_week = F.when(
+        isolike & t.rlike(_ISO_WEEK),
+        iso_week_day(
+            F.regexp_extract(t, _ISO_WEEK, 1),
+            F.concat(F.regexp_extract(t, _ISO_WEEK, 2), F.regexp_extract(t, _ISO_WEEK, 4)),
+            F.concat(F.regexp_extract(t, _ISO_WEEK, 3), F.regexp_extract(t, _ISO_WEEK, 5)),
+        ),
+    )
+    return F.coalesce(canonical.try_cast("date"), by_week)
 
 
 def normalize_import_time(c: Column) -> Column:
@@ -110,40 +90,39 @@ def normalize_import_time(c: Column) -> Column:
     Accepted: date-time with a blank or ``T``, ``yyyy-MM-dd``, ``dd-MM-yyyy``, and epoch
     seconds or (above 1e12) milliseconds in UTC.
     """
-    head = F.replace(F.substring(c, 1, 19), F.lit("Z"), F.lit(""))
-    timed = rf"^(\d{{4}})-{_MONTH}-{_DAY}(?:T|[{BLANK}]+)(2[0-3]|[01]\d|\d):([0-5]\d|\d):([0-5]\d|\d)$"
-    plain = rf"^(\d{{4}})-{_MONTH}-{_DAY}$"
-    reversed_ = rf"^{_DAY}-{_MONTH}-(\d{{4}})$"
+    return bind(c, _import_time)
 
-    def stamp(day: Column, *clock: Column) -> Column:
-        hms = F.concat_ws(":", *(F.lpad(part, 2, "0") for part in clock)) if clock else F.lit("00:00:00")
-        return F.when(day.isNotNull(), F.concat_ws(" ", day.cast("string"), hms))
+
+def _import_time(c: Column) -> Column:
+    head = F.replace(F.substring(c, 1, 19), F.lit("Z"), F.lit(""))
+    timed = rf"^{_YEAR}-{_MONTH}-{_DAY}(?:T|[{BLANK}]+){_HMS}$"
+    plain = rf"^{_YEAR}-{_MONTH}-{_DAY}$"
+    day_first = rf"^{_DAY}-{_MONTH}-{_YEAR}$"
+    day = F.when(
+        head.rlike(timed) | head.rlike(plain),
+        F.regexp_replace(head, rf"^{_YEAR}-{_MONTH}-{_DAY}.*$", "$1-$2-$3"),
+    ).when(head.rlike(day_first), F.regexp_replace(head, day_first, "$3-$2-$1"))
+    clock = F.when(
+        head.rlike(timed),
+        F.concat_ws(":", *(F.lpad(F.regexp_extract(head, timed, i), 2, "0") for i in (4, 5, 6))),
+    ).otherwise("00:00:00")
+    written = F.concat(day.try_cast("date").cast("string"), F.lit(" "), clock)
 
     number = F.when(
         strip(c).rlike(r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"), strip(c).try_cast("double")
     )
     seconds = F.floor(F.when(number > 1e12, number / 1000.0).otherwise(number))
-    day_no = F.floor(seconds / 86400)
     rest = F.pmod(seconds, F.lit(86400))
+    parts = (F.floor(rest / 3600), F.floor(F.pmod(rest, F.lit(3600)) / 60), F.pmod(rest, F.lit(60)))
     epoch = F.when(
         seconds.between(-62135596800, 253402300799),
-        stamp(
-            F.date_add(F.lit("1970-01-01").cast("date"), day_no.cast("int")),
-            F.floor(rest / 3600).cast("string"),
-            F.floor(F.pmod(rest, F.lit(3600)) / 60).cast("string"),
-            F.pmod(rest, F.lit(60)).cast("string"),
+        F.concat(
+            F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string"),
+            F.lit(" "),
+            F.concat_ws(":", *(F.lpad(part.cast("string"), 2, "0") for part in parts)),
         ),
     )
-    return F.coalesce(
-        F.when(
-            head.rlike(timed),
-            stamp(_parts(head, timed, 1, 2, 3), *(F.regexp_extract(head, timed, i) for i in (4, 5, 6))),
-        ),
-        F.when(head.rlike(plain), stamp(_parts(head, plain, 1, 2, 3))),
-        F.when(head.rlike(reversed_), stamp(_parts(head, reversed_, 3, 2, 1))),
-        epoch,
-        c,
-    )
+    return F.coalesce(written, epoch, c)
 
 
 def iso_week_label(day: Column) -> Column:
@@ -157,20 +136,21 @@ def iso_week_label(day: Column) -> Column:
 
 def parse_week(c: Column) -> Column:
     """``YYYY-Www`` to the Saturday of that ISO week, else the first 10 characters as a date."""
-    t = F.upper(strip(c))
-    week = rf"^(\d{{4}})[^W]*W[{BLANK}]*\+?(\d{{1,4}})$"
+    return bind(F.upper(strip(c)), _week_or_date)
+
+
+def _week_or_date(t: Column) -> Column:
+    week = rf"^{_YEAR}[^W]*W[{BLANK}]*\+?(\d{{1,4}})$"
     head = F.substring(t, 1, 10)
-    return (
-        F.when(
-            t.contains("W"),
-            F.when(
-                t.rlike(week),
-                iso_week_day(F.regexp_extract(t, week, 1), F.regexp_extract(t, week, 2), F.lit("6")),
-            ),
-        )
-        .when(head.rlike(_FOUR_DASHED + "$"), _parts(head, r"^(\d{4})-(\d\d)-(\d\d)$", 1, 2, 3))
-        .when(head.rlike(r"^\d{8}$"), _parts(head, r"^(\d{4})(\d\d)(\d\d)$", 1, 2, 3))
+    packed = rf"^{_YEAR}(\d\d)(\d\d)$"
+    saturday = F.when(
+        t.rlike(week),
+        iso_week_day(F.regexp_extract(t, week, 1), F.regexp_extract(t, week, 2), F.lit("6")),
+    )
+    day = F.when(head.rlike(_DASHED), head).when(
+        head.rlike(packed), F.regexp_replace(head, packed, "$1-$2-$3")
     )
+    return F.when(t.contains("W"), saturday).otherwise(day.try_cast("date"))
 
 
 def reporting_from(week_ending: Column, days: int = 7) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewmill.functions.text import BLANK, WORD
+from reviewmill.functions.text import BLANK, WORD, bind, strip
 
 _EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _START = rf"(?<![{WORD}])"
@@ -98,6 +98,61 @@ def restore_spans(c: Column, spans: Column) -> Column:
     return F.array_join(joined, "")
 
 
+def _guard(category: str, digits: Column, text: Column) -> Column:
+    """A cheap test a text must pass before the category's pattern can match at all."""
+    if category in ("phone", "id"):
+        return digits
+    if category in ("email", "handle"):
+        return text.contains("@")
+    if category == "name":
+        return text.contains("-")
+    return text.contains("://") | F.lower(text).contains("www.")
+
+
+def _replace_in(state: Column, category: str, pattern: str, replacement: str) -> Column:
+    text = state["text"]
+    guard = _guard(category, state["digits"], text)
+    hits = F.when(guard, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+    return F.struct(
+        state["digits"].alias("digits"),
+        state["spans"].alias("spans"),
+        F.when(guard, F.regexp_replace(text, pattern, replacement)).otherwise(text).alias("text"),
+        F.array_append(state["counts"], hits).alias("counts"),
+    )
+
+
+def redact(c: Column) -> Column:
+    """``struct<text, email, phone, id, link, handle, name>``: clean text and replacement counts.
+
+    A text without a digit, ``@`` or dash skips most patterns. Each step binds the text of the
+    step before, so the expression grows with the number of patterns only.
+    """
+    digits = has_digit(c)
+    state = F.struct(
+        digits.alias("digits"),
+        F.when(digits, protected_spans(c)).alias("spans"),
+        F.when(digits, mask_spans(c)).otherwise(c).alias("text"),
+        F.array().cast("array<int>").alias("counts"),
+    )
+    for category, pattern, replacement in REPLACEMENTS:
+        state = bind(state, lambda s: _replace_in(s, category, pattern, replacement))  # noqa: B023
+
+    def finish(s: Column) -> Column:
+        restored = F.when(s["digits"], restore_spans(s["text"], s["spans"])).otherwise(s["text"])
+        totals = {
+            name: sum(
+                (F.get(s["counts"], i) for i, (category, _, _) in enumerate(REPLACEMENTS) if category == name),
+                F.lit(0),
+            )
+            for name in CATEGORIES
+        }
+        return F.struct(
+            strip(restored).alias("text"), *(n.cast("bigint").alias(name) for name, n in totals.items())
+        )
+
+    return F.when(c.isNotNull(), bind(state, finish))
+
+
 def blank_harmless(c: Column) -> Column:
     """Blank out amounts, versions, stars, dates, day ranges and grouped numbers."""
     for pattern in (CURRENCY, VERSION, STARS, ISO_DATE, DAY_RANGE, COMMA_NUMBER):
@@ -113,3 +168,19 @@ SCANS = (
     ("handle", (HANDLE,)),
     ("id", (LONG_DIGITS, LONG_ALNUM)),
 )
+
+
+def scan(c: Column) -> Column:
+    """``array<struct<category, hits>>`` of personal data left in a text, empty if none."""
+
+    def found(t: Column) -> Column:
+        counts = (
+            F.struct(
+                F.lit(category).alias("category"),
+                sum((F.regexp_count(t, F.lit(p)) for p in patterns), F.lit(0)).cast("bigint").alias("hits"),
+            )
+            for category, patterns in SCANS
+        )
+        return F.filter(F.array(*counts), lambda h: h["hits"] > 0)
+
+    return bind(blank_harmless(F.coalesce(c, F.lit(""))), found)

@@ -40,6 +40,15 @@ OTHER_SCRIPTS = (
 _TOKEN = rf"(?<![^{BLANK}])[^{BLANK}\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}][^{BLANK}]*+"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    For long expressions that mention their input many times: the generated code stays small,
+    where repeating the input would exceed the method size the JVM accepts.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode blank on both sides (Spark's ``trim`` removes spaces only)."""
     return F.btrim(c, F.lit(BLANKS))
@@ -50,6 +59,11 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(_TOKEN))
 
 
+def has_words(c: Column, n: int) -> Column:
+    """At least ``n`` words; reads no further than the n-th."""
+    return c.rlike(rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}][^{BLANK}]*+){{{n}}}")
+
+
 def other_script_chars(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"[{OTHER_SCRIPTS}]"))
 
@@ -64,23 +78,24 @@ def is_english(c: Column, detector: Callable[[Column], Column] | None = None) ->
     ``detector`` may map the text to ``struct<lang:string, prob:double>`` (a pandas UDF over a
     language library, say). Without one, or where it yields null, the letters decide.
     """
-    foreign = other_script_chars(c)
-    letters = latin_letters(c)
-    by_letters = ~c.rlike(r"[\p{L}\p{Nl}\p{No}&&[^A-Za-z]]") & (letters >= 8)
+    some_foreign = c.rlike(f"[{OTHER_SCRIPTS}]")
+    mostly_latin = ~some_foreign | (
+        ~c.rlike(f"(?:[{OTHER_SCRIPTS}][^{OTHER_SCRIPTS}]*+){{3}}")
+        & (other_script_chars(c) / F.nullif(F.length(c), F.lit(0)) < 0.05)
+    )
+    by_letters = ~c.rlike(r"[\p{L}\p{Nl}\p{No}&&[^A-Za-z]]") & _latin_at_least(c, 8)
     if detector is None:
-        verdict = by_letters
-    else:
-        guess = detector(c)
-        verdict = F.coalesce(
-            (guess.getField("lang") == "en") & (guess.getField("prob") >= 0.5), by_letters
-        )
-    return (
-        F.when(F.coalesce(F.length(c), F.lit(0)) == 0, False)
-        .when(foreign >= 3, False)
-        .when((foreign > 0) & (foreign / F.length(c) >= 0.05), False)
-        .when(letters < 5, False)
-        .otherwise(verdict)
+        # All tests must hold, so the one that rejects most foreign text soonest comes first.
+        return F.coalesce(by_letters & mostly_latin, F.lit(False))
+    guess = detector(c)
+    verdict = F.coalesce(
+        (guess.getField("lang") == "en") & (guess.getField("prob") >= 0.5), by_letters
     )
+    return F.coalesce(F.when(mostly_latin & _latin_at_least(c, 5), verdict), F.lit(False))
+
+
+def _latin_at_least(c: Column, n: int) -> Column:
+    return c.rlike(f"^(?:[^A-Za-z]*+[A-Za-z]){{{n}}}")
 
 
 def review_id(day: Column, rating: Column, title: Column, text: Column) -> Column:

@@ -60,7 +60,7 @@ def project_reviews(
     body = F.col("text")
     reason = (
         F.when(F.length(body) == 0, "empty_text")
-        .when(text.word_count(body) < min_words, "short_text")
+        .when(~text.has_words(body, min_words), "short_text")
         .when(~text.is_english(body, detector), "non_english")
         .when(F.col("date").isNull(), "bad_date")
     )
@@ -100,9 +100,7 @@ def mark_corpus_window(
     )
     return anchored.withColumn(
         "drop_reason",
-        F.when(F.col("drop_reason").isNotNull(), F.col("drop_reason")).when(
-            ~F.coalesce(inside, F.lit(False)), "outside_window"
-        ),
+        F.coalesce("drop_reason", F.when(~F.coalesce(inside, F.lit(False)), "outside_window")),
     )
 
 
@@ -150,9 +148,7 @@ def mark_duplicates(
         rows.join(kept, list(row_key), "left")
         .withColumn(
             "drop_reason",
-            F.when(F.col("drop_reason").isNull() & F.col("_kept").isNull(), "duplicate").otherwise(
-                F.col("drop_reason")
-            ),
+            F.coalesce("drop_reason", F.when(F.col("_kept").isNull(), "duplicate")),
         )
         .select(*rows.columns)
     )

@@ -3,61 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.functions import pii
-from reviewmill.functions.text import strip
-
-
-def _guard(category: str, digits: Column, text: Column) -> Column:
-    """A cheap test a text must pass before the category's pattern can match at all."""
-    if category in ("phone", "id"):
-        return digits
-    if category in ("email", "handle"):
-        return text.contains("@")
-    if category == "name":
-        return text.contains("-")
-    return text.contains("://") | F.lower(text).contains("www.")
 
 
 def redact_reviews(reviews: DataFrame, cols: Sequence[str] = ("title", "text")) -> DataFrame:
-    """Redacted ``cols``, plus ``redactions`` (count per category) and ``redacted`` (changed or not).
-
-    Each replacement is its own projected column, so its pattern runs once for the new text
-    and once for the count, and a text without a digit, ``@`` or dash skips most of them.
-    """
-    out = reviews
-    counts: dict[str, list[Column]] = {name: [] for name in pii.CATEGORIES}
-    changed = F.lit(False)
-    for name in cols:
-        digits, spans = f"_{name}_digits", f"_{name}_spans"
-        out = out.withColumn(digits, pii.has_digit(F.col(name)))
-        out = out.withColumns(
-            {
-                spans: F.when(F.col(digits), pii.protected_spans(F.col(name))),
-                f"_{name}_0": F.when(F.col(digits), pii.mask_spans(F.col(name))).otherwise(F.col(name)),
-            }
-        )
-        for step, (category, pattern, replacement) in enumerate(pii.REPLACEMENTS):
-            before, after, found = F.col(f"_{name}_{step}"), f"_{name}_{step + 1}", f"_{name}_n{step}"
-            hits = F.regexp_count(before, F.lit(pattern))
-            guard = _guard(category, F.col(digits), before)
-            out = out.withColumn(found, F.when(guard, hits).otherwise(0))
-            out = out.withColumn(
-                after, F.when(F.col(found) > 0, F.regexp_replace(before, pattern, replacement)).otherwise(before)
-            )
-            counts[category].append(F.coalesce(F.col(found), F.lit(0)).cast("bigint"))
-        last = F.col(f"_{name}_{len(pii.REPLACEMENTS)}")
-        done = f"_{name}_done"
-        out = out.withColumn(
-            done, strip(F.when(F.col(digits), pii.restore_spans(last, F.col(spans))).otherwise(last))
-        )
-        changed = changed | ~F.col(done).eqNullSafe(F.col(name))
-    totals = [sum(parts[1:], parts[0]).alias(name) for name, parts in counts.items()]
-    kept = [F.col(f"_{c}_done").alias(c) if c in cols else F.col(c) for c in reviews.columns]
-    return out.select(*kept, F.struct(*totals).alias("redactions"), changed.alias("redacted"))
+    """Redacted ``cols``, plus ``redactions`` (count per category) and ``redacted`` (changed or not)."""
+    out = reviews.withColumns({f"_{c}": pii.redact(F.col(c)) for c in cols})
+    totals = [
+        reduce(
+            lambda a, b: a + b, (F.coalesce(F.col(f"_{c}").getField(name), F.lit(0)) for c in cols)
+        ).alias(name)
+        for name in pii.CATEGORIES
+    ]
+    changed = [~F.col(f"_{c}.text").eqNullSafe(F.col(c)) for c in cols]
+    return out.select(
+        *(F.col(f"_{c}.text").alias(c) if c in cols else F.col(c) for c in reviews.columns),
+        F.struct(*totals).alias("redactions"),
+        reduce(lambda a, b: a | b, changed).alias("redacted"),
+    )
 
 
 def redaction_report(redacted: DataFrame, keys: Sequence[str] = ("product_id",)) -> DataFrame:
@@ -81,19 +49,4 @@ def scan_pii(df: DataFrame, col: str, into: str = "pii_hits") -> DataFrame:
 
     Hits carry the category and a count, never the matched value.
     """
-    scanned = df.withColumn("_scan", pii.blank_harmless(F.col(col)))
-    found = F.array(
-        *(
-            F.struct(
-                F.lit(category).alias("category"),
-                sum(
-                    (F.regexp_count(F.col("_scan"), F.lit(p)) for p in patterns[1:]),
-                    F.regexp_count(F.col("_scan"), F.lit(patterns[0])),
-                ).cast("bigint").alias("hits"),
-            )
-            for category, patterns in pii.SCANS
-        )
-    )
-    hits = F.filter(found, lambda h: h["hits"] > 0)
-    empty = F.array().cast("array<struct<category:string,hits:bigint>>")
-    return scanned.withColumn(into, F.coalesce(hits, empty)).drop("_scan")
+    return df.withColumn(into, pii.scan(F.col(col)))
