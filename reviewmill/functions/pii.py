@@ -51,6 +51,9 @@ CATEGORIES = ("email", "phone", "id", "link", "handle", "name")
 # A quote holding one of these markers was redacted and is not quoted.
 PLACEHOLDER = r"(?i)\[(?:email|phone|id|link|handle|name|redacted)\]"
 
+# No pattern matches a text without any of these.
+_SIGNAL = rf"[{_D}@\-]|://|(?i:www\.)"
+
 _KEEP = r"__KEEP_\d+__"
 # One alternation for every protected span. Amounts take precedence over versions and stars
 # wherever they touch or overlap ("5 stars 500" holds the amount "rs 500"), hence the
@@ -111,14 +114,17 @@ def _guard(category: str, digits: Column, text: Column) -> Column:
 
 def _replace_in(state: Column, category: str, pattern: str, replacement: str) -> Column:
     text = state["text"]
-    guard = _guard(category, state["digits"], text)
-    hits = F.when(guard, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-    return F.struct(
-        state["digits"].alias("digits"),
-        state["spans"].alias("spans"),
-        F.when(guard, F.regexp_replace(text, pattern, replacement)).otherwise(text).alias("text"),
-        F.array_append(state["counts"], hits).alias("counts"),
-    )
+    hits = F.when(_guard(category, state["digits"], text), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+    def replaced(n: Column) -> Column:
+        return F.struct(
+            state["digits"].alias("digits"),
+            state["spans"].alias("spans"),
+            F.when(n > 0, F.regexp_replace(text, pattern, replacement)).otherwise(text).alias("text"),
+            F.array_append(state["counts"], n).alias("counts"),
+        )
+
+    return bind(hits, replaced)
 
 
 def redact(c: Column) -> Column:
@@ -127,12 +133,14 @@ def redact(c: Column) -> Column:
     A text without a digit, ``@`` or dash skips most patterns. Each step binds the text of the
     step before, so the expression grows with the number of patterns only.
     """
-    digits = has_digit(c)
-    state = F.struct(
-        digits.alias("digits"),
-        F.when(digits, protected_spans(c)).alias("spans"),
-        F.when(digits, mask_spans(c)).otherwise(c).alias("text"),
-        F.array().cast("array<int>").alias("counts"),
+    state = bind(
+        has_digit(c),
+        lambda digits: F.struct(
+            digits.alias("digits"),
+            F.when(digits, protected_spans(c)).alias("spans"),
+            F.when(digits, mask_spans(c)).otherwise(c).alias("text"),
+            F.array().cast("array<int>").alias("counts"),
+        ),
     )
     for category, pattern, replacement in REPLACEMENTS:
         state = bind(state, lambda s: _replace_in(s, category, pattern, replacement))  # noqa: B023
@@ -150,7 +158,8 @@ def redact(c: Column) -> Column:
             strip(restored).alias("text"), *(n.cast("bigint").alias(name) for name, n in totals.items())
         )
 
-    return F.when(c.isNotNull(), bind(state, finish))
+    clean = F.struct(strip(c).alias("text"), *(F.lit(0).cast("bigint").alias(name) for name in CATEGORIES))
+    return F.when(c.rlike(_SIGNAL), bind(state, finish)).when(c.isNotNull(), clean)
 
 
 def blank_harmless(c: Column) -> Column:

@@ -16,7 +16,7 @@ from reviewmill.config import DEFAULT, OTHER, ThemeConfig, WindowConfig
 from reviewmill.functions.numbers import ratio_2dp
 from reviewmill.functions.text import slug, theme_label, title_label
 from reviewmill.operators.ordering import corpus_position
-from reviewmill.operators.windows import spread_weeks
+from reviewmill.operators.windows import daily_rollup, spread_weeks
 from reviewmill.scale import attach_small
 
 THEME_KEY = ("product_id", "theme_id")
@@ -119,39 +119,59 @@ def split_other(members: DataFrame, proposals: DataFrame, reassignments: DataFra
     ).drop("_to")
 
 
-def merge_to_cap(members: DataFrame, max_total: int = DEFAULT.themes.max_total) -> DataFrame:
-    """Fold the smallest themes into ``other`` until at most ``max_total`` are left.
+def member_rollup(members: DataFrame) -> DataFrame:
+    """Daily rollup per theme, with the earliest assignment seen in each cell.
 
-    Equals folding one smallest theme at a time: the ``max_total - 1`` largest real themes
-    stay. Among equal sizes the theme seen first is folded first.
+    The one pass over the members that both the theme cap and the statistics need.
+    """
+    unseen = F.struct(F.lit(1 << 62).alias("batch_no"), F.lit(0).alias("pos"))
+    return daily_rollup(
+        members, THEME_KEY, seen=F.min(F.coalesce(F.col("first_pos"), unseen))
+    )
+
+
+def cap_mapping(rollup: DataFrame, max_total: int = DEFAULT.themes.max_total) -> DataFrame:
+    """(product_id, theme_id, merged_id): the smallest themes fold into ``other``.
+
+    Equals folding one smallest theme at a time until ``max_total`` are left: the
+    ``max_total - 1`` largest real themes stay. Among equal sizes the theme seen first is
+    folded first.
     """
     by_product = Window.partitionBy("product_id")
-    last_position = F.struct(F.lit(1 << 62).alias("batch_no"), F.lit(0).alias("pos"))
-    seen = F.coalesce(F.col("first_pos"), last_position)
-    sizes = members.groupBy(*THEME_KEY).agg(
-        F.count(F.lit(1)).alias("_size"), F.min(seen).alias("_seen")
+    sizes = rollup.groupBy(*THEME_KEY).agg(F.sum("n").alias("_size"), F.min("seen").alias("_seen"))
+    largest = by_product.orderBy(
+        F.col("theme_id") == OTHER, F.col("_size").desc(), F.col("_seen").desc()
     )
-    is_other = F.col("theme_id") == OTHER
-    largest = by_product.orderBy(is_other, F.col("_size").desc(), F.col("_seen").desc())
-    mapped = (
+    folded = (F.col("_themes") > max_total) & (F.col("_rank") > max_total - 1)
+    return (
         sizes.withColumn("_themes", F.count(F.lit(1)).over(by_product))
         .withColumn("_rank", F.row_number().over(largest))
-        .select(
-            *THEME_KEY,
-            F.when(
-                (F.col("_themes") > max_total) & (F.col("_rank") > max_total - 1), F.lit(OTHER)
-            )
-            .otherwise(F.col("theme_id"))
-            .alias("_merged"),
-        )
+        .select(*THEME_KEY, F.when(folded, F.lit(OTHER)).otherwise(F.col("theme_id")).alias("merged_id"))
     )
+
+
+def merge_to_cap(
+    members: DataFrame, max_total: int = DEFAULT.themes.max_total, mapping: DataFrame | None = None
+) -> DataFrame:
+    """Members with at most ``max_total`` themes per product."""
+    if mapping is None:
+        mapping = cap_mapping(member_rollup(members), max_total)
     return (
-        attach_small(members, mapped, THEME_KEY)
-        .withColumn("theme_id", F.col("_merged"))
+        attach_small(members, mapping, THEME_KEY)
+        .withColumn("theme_id", F.col("merged_id"))
         .select(*members.columns)
     )
 
 
+def merge_rollup(rollup: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The same fold, on the daily rollup."""
+    return (
+        rollup.join(mapping, list(THEME_KEY))
+        .groupBy("product_id", F.col("merged_id").alias("theme_id"), "date")
+        .agg(F.sum("n").alias("n"), F.sum("rated").alias("rated"), F.sum("rating_sum").alias("rating_sum"))
+    )
+
+
 def member_lists(members: DataFrame, chunk: int = 1000) -> DataFrame:
     """Review ids per theme in corpus order, as numbered arrays of at most ``chunk`` ids."""
     placed = corpus_position(members, THEME_KEY)
@@ -281,10 +301,9 @@ def assign_themes(
     numbers them. The scorer returns review_id, theme_id, confidence; if it raises, the
     batch's reviews go to ``other``.
     """
-    from reviewmill.operators.payloads import number_batches
-
     rows = (
-        number_batches(reviews, batch_size)
+        corpus_position(reviews)
+        .withColumn("batch_no", F.floor(F.col("pos") / batch_size).cast("bigint"))
         .select("product_id", "batch_no", "pos", F.col("id").alias("review_id"), "text", "rating")
         .repartition("product_id", "batch_no")
         .sortWithinPartitions("product_id", "batch_no", "pos")
@@ -319,10 +338,3 @@ def assign_themes(
         run,
         "review_id string, theme_id string, confidence double, product_id string, batch_no bigint, pos int",
     )
-
-
-def quote_target(avg: Column) -> Column:
-    """The rating a representative quote should be close to."""
-    return F.coalesce(avg, F.lit(3.0))
-
-

@@ -12,8 +12,8 @@ from reviewmill.functions.numbers import ratio_2dp
 from reviewmill.scale import attach_small
 
 
-def daily_rollup(reviews: DataFrame, keys: Sequence[str] = ("product_id",)) -> DataFrame:
-    """Reviews, rated reviews and rating sum per key and day.
+def daily_rollup(reviews: DataFrame, keys: Sequence[str] = ("product_id",), **more: Column) -> DataFrame:
+    """Reviews, rated reviews and rating sum per key and day, plus any ``more`` aggregates.
 
     Every count and average of a window is a sum over days, so this is the only shuffle the
     reviews need, and it is combined before it. A hot product or theme is a few rows per task.
@@ -22,6 +22,7 @@ def daily_rollup(reviews: DataFrame, keys: Sequence[str] = ("product_id",)) -> D
         F.count(F.lit(1)).alias("n"),
         F.count("rating").alias("rated"),
         F.coalesce(F.sum("rating"), F.lit(0)).cast("bigint").alias("rating_sum"),
+        *(c.alias(name) for name, c in more.items()),
     )
 
 

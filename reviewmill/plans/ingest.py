@@ -26,17 +26,19 @@ def ingest_reviews(
     cfg: Config = DEFAULT,
     week_ending: dt.date | None = None,
     detector: Callable[[Column], Column] | None = None,
+    store: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Ingested:
     """Clean, window and de-duplicate raw rows of any number of products.
 
     All results are lazy, except that the anchor dates (one row per product) are computed to
     decide how to join them. Windowing comes before de-duplication, so only corpus rows are
-    shuffled.
+    shuffled. ``store`` may write the unique reviews and return them as read back, so that
+    windows, report and later stages do not clean the raw rows again.
     """
     rows = clean.project_reviews(raw, cfg.limits.min_review_words, detector)
     marked = clean.mark_corpus_window(rows, cfg.windows.corpus_weeks, week_ending)
     usable = marked.filter(F.col("drop_reason").isNull()).drop("drop_reason")
-    unique = clean.deduplicate(usable)
+    unique = store(clean.deduplicate(usable))
     weeks = marked.filter(F.col("week_ending").isNotNull()).groupBy("product_id").agg(
         F.max("week_ending").alias("week_ending")
     )

@@ -16,6 +16,7 @@ from reviewmill.plans.queries.registry import query
 from reviewmill.plans.queries.themes import conversation_build
 from reviewmill.plans.summary import run_summary
 from reviewmill.plans.weekly import publishable
+from reviewmill.scale import cut_lineage
 
 # The markers that make a text unfit for quoting, as SQL.
 _MARKERS = r"(?i)\[(email|phone|id|link|handle|name|redacted)\]"
@@ -90,7 +91,8 @@ def conversation_reports(spark, sf_dir):
         F.concat(F.lit("Improve "), "label").alias("title"),
         F.concat(F.lit("Look at theme "), "theme_id", F.lit(" first.")).alias("detail"),
     )
-    return reviews, built, reports.assemble_reports(top, summaries, picks, actions, reviews, windows)
+    rows = reports.assemble_reports(top, summaries, cut_lineage(picks), actions, reviews, windows)
+    return reviews, built, cut_lineage(rows)
 
 
 @query(rf"""

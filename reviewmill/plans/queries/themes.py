@@ -28,6 +28,7 @@ from reviewmill.plans.queries.inputs import (
 )
 from reviewmill.plans.queries.registry import query
 from reviewmill.plans.weekly import build_themes
+from reviewmill.scale import cut_lineage
 
 STAT_COLUMNS = (
     "product_id, week_ending, theme_id, label, count_corpus, count_week, avg_rating_week, baseline_weekly, trend"
@@ -54,7 +55,7 @@ def event_stats(spark, sf_dir, weeks_back: int = 0):
 
 def conversation_build(spark, sf_dir):
     reviews = conversation_reviews(spark, sf_dir)
-    windows = compute_windows(daily_rollup(reviews), anchor_dates(reviews))
+    windows = cut_lineage(compute_windows(daily_rollup(reviews), anchor_dates(reviews)))
     return reviews, windows, build_themes(reviews, conversation_assignments(reviews), windows)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewmill.config import DEFAULT, Config
 from reviewmill.functions.render import report_markdown
 from reviewmill.operators import quotes, reports, themes, validation
-from reviewmill.operators.windows import daily_rollup
+from reviewmill.scale import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,12 @@ def build_themes(
     proposals: DataFrame | None = None,
     reassignments: DataFrame | None = None,
 ) -> Themes:
-    """Reconcile assignments, split ``other`` where proposed, cap the themes, compute statistics."""
+    """Reconcile assignments, split ``other`` where proposed, cap the themes, compute statistics.
+
+    Statistics and cap come from one rollup of the members, which is stored, as are the
+    statistics: a few rows per product, week and theme that every later step reads. Members stay
+    lazy; store them too if several steps after this one scan them.
+    """
     members = themes.reconcile(reviews, assignments, cfg.themes)
     labels = None
     if proposals is not None and reassignments is not None:
@@ -36,17 +41,18 @@ def build_themes(
         allowed = proposals.join(may_split, "product_id", "left_semi")
         members = themes.split_other(members, allowed, reassignments)
         labels = members.filter("new_label IS NOT NULL").select("product_id", "theme_id", "new_label").distinct()
-    members = themes.merge_to_cap(members, cfg.themes.max_total)
-    daily = daily_rollup(members, themes.THEME_KEY)
-    stats = themes.theme_stats(daily, windows, cfg.windows, cfg.themes)
+    rollup = cut_lineage(themes.member_rollup(members))
+    mapping = themes.cap_mapping(rollup, cfg.themes.max_total)
+    stats = themes.theme_stats(themes.merge_rollup(rollup, mapping), windows, cfg.windows, cfg.themes)
     if labels is not None:
         stats = (
             stats.join(labels, list(themes.THEME_KEY), "left")
             .withColumn("label", F.coalesce("new_label", "label"))
             .drop("new_label")
         )
-    ranked = themes.rank_themes(stats)
-    return Themes(members, ranked, themes.top_themes(ranked, cfg.themes.highlight))
+    ranked = cut_lineage(themes.rank_themes(stats))
+    capped = themes.merge_to_cap(members, cfg.themes.max_total, mapping)
+    return Themes(capped, ranked, themes.top_themes(ranked, cfg.themes.highlight))
 
 
 def candidate_quotes(built: Themes, windows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
