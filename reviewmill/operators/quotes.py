@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from reviewmill.functions.pii import PLACEHOLDER
 from reviewmill.functions.text import strip
 from reviewmill.operators.windows import in_window
 from reviewmill.scale import attach_small, cut_lineage
+from reviewmill.workers import drop_similar, pick_front
 
 GROUP = ["product_id", "week_ending", "theme_id"]
 _PICK = (
@@ -56,71 +54,6 @@ def rank_quotes(eligible: DataFrame, n: int | None = None) -> DataFrame:
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
-def similar(text: str, kept: list[SequenceMatcher], threshold: float) -> bool:
-    """Is ``text`` a near copy of a kept text? Cheap upper bounds come first."""
-    text = text.lower()
-    for matcher in kept:
-        matcher.set_seq1(text)
-        if (
-            matcher.real_quick_ratio() >= threshold
-            and matcher.quick_ratio() >= threshold
-            and matcher.ratio() >= threshold
-        ):
-            return True
-    return False
-
-
-def _matcher(kept_text: str) -> SequenceMatcher:
-    return SequenceMatcher(None, "", kept_text.lower())
-
-
-def _pick_front(threshold: float, front: int):
-    """Greedy choice among the first ``front`` rows of one theme."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        more = len(rows) > front
-        rows = rows.iloc[:front]
-        need = int(rows["need"].iloc[0])
-        kept, chosen = [], []
-        for at, body in enumerate(rows["text"]):
-            if similar(body, kept, threshold):
-                continue
-            kept.append(_matcher(body))
-            chosen.append(at)
-            if len(chosen) == need:
-                break
-        out = rows.iloc[chosen].drop(columns=["rank"])
-        start = int(rows["taken"].iloc[0])
-        return out.assign(
-            seq=range(start + 1, start + 1 + len(out)),
-            more=more,
-            last_distance=rows["distance"].iloc[-1],
-            last_id=rows["id"].iloc[-1],
-        ).drop(columns=["need", "taken"])
-
-    return pick
-
-
-def _drop_similar(threshold: float):
-    """Drop rows that are near copies of a text kept for their theme."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[tuple[str, ...], list[SequenceMatcher]] = {}
-        for frame in frames:
-            keep = []
-            for body, kept in zip(frame["text"], frame["kept"]):
-                key = tuple(kept)
-                if key not in cache:
-                    if len(cache) > 256:
-                        cache.clear()
-                    cache[key] = [_matcher(k) for k in key]
-                keep.append(not similar(body, cache[key], threshold))
-            yield frame[pd.Series(keep, index=frame.index, dtype=bool)].drop(columns=["kept"])
-
-    return run
-
-
 def quote_pool(eligible: DataFrame, cfg: NoteConfig = DEFAULT.note, front: int = 256) -> DataFrame:
     """Up to ``max_candidates`` quotes per theme and week, none a near copy of an earlier one.
 
@@ -149,7 +82,7 @@ def quote_pool(eligible: DataFrame, cfg: NoteConfig = DEFAULT.note, front: int =
         picks = cut_lineage(
             rank_quotes(rows, front + 1)
             .groupBy(*GROUP)
-            .applyInPandas(_pick_front(cfg.similarity, front), _PICK)
+            .applyInPandas(pick_front(cfg.similarity, front), _PICK)
         )
         picked.append(picks)
         short = (
@@ -170,6 +103,6 @@ def quote_pool(eligible: DataFrame, cfg: NoteConfig = DEFAULT.note, front: int =
             .drop("last_distance", "last_id")
         )
         schema = rest.drop("kept").schema
-        rows = cut_lineage(rest.mapInPandas(_drop_similar(cfg.similarity), schema))
+        rows = cut_lineage(rest.mapInPandas(drop_similar(cfg.similarity), schema))
     pool = reduce(DataFrame.unionByName, picked)
     return pool.select(*GROUP, "id", "date", "rating", "text", "distance", F.col("seq").alias("rank"))

@@ -89,15 +89,6 @@ def parsed_replies(spark, sf_dir):
     return payloads.parse_replies(_replies(spark, sf_dir)).drop("pos")
 
 
-def _length_scorer(batch: pd.DataFrame) -> pd.DataFrame:
-    """Stands in for a model: themes by text length; refuses batches holding a very long text."""
-    lengths = batch["text"].str.len()
-    if (lengths > 1500).any():
-        raise ValueError("text too long")
-    theme = lengths.map(lambda n: "kyc" if n < 100 else "payments" if n < 400 else "trading")
-    return pd.DataFrame({"review_id": batch["review_id"], "theme_id": theme, "confidence": 0.75})
-
-
 @query(f"""WITH {CONV}, placed AS (
   SELECT *, (row_number() OVER (PARTITION BY product_id ORDER BY date, id) - 1) // 10 AS batch_no FROM conv),
 longest AS (SELECT product_id, batch_no, max(length(text)) AS top FROM placed GROUP BY product_id, batch_no)
@@ -107,4 +98,13 @@ SELECT p.product_id, p.id AS review_id, p.batch_no,
 FROM placed p JOIN longest l USING (product_id, batch_no)""")
 def scored_assignments(spark, sf_dir):
     """A user scorer over batches of ten in corpus order; a failing batch goes to other."""
-    return themes.assign_themes(conversation_reviews(spark, sf_dir), _length_scorer).drop("pos")
+
+    def length_scorer(batch: pd.DataFrame) -> pd.DataFrame:
+        """Stands in for a model: themes by text length; refuses batches holding a very long text."""
+        lengths = batch["text"].str.len()
+        if (lengths > 1500).any():
+            raise ValueError("text too long")
+        theme = lengths.map(lambda n: "kyc" if n < 100 else "payments" if n < 400 else "trading")
+        return pd.DataFrame({"review_id": batch["review_id"], "theme_id": theme, "confidence": 0.75})
+
+    return themes.assign_themes(conversation_reviews(spark, sf_dir), length_scorer).drop("pos")
