@@ -27,7 +27,7 @@ EXPORT_COLUMNS = {
 
 
 def write_reviews(reviews: DataFrame, path: str) -> None:
-    """Only the review columns leave a stage; rows of one day lie together for pruning by date."""
+    """Only the review columns leave a stage."""
     reviews.select(*_REVIEW_COLUMNS).write.mode("overwrite").parquet(path)
 
 
@@ -37,7 +37,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def write_report_json(report: DataFrame, path: str) -> None:
     """A stage report: one row per product."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    report.write.mode("overwrite").json(path)
 
 
 def write_export_csv(raw: DataFrame, path: str) -> None:
@@ -80,13 +80,14 @@ def archive_reports(reports: DataFrame, path: str) -> None:
     weeks = new.select("week_ending").distinct()
     others = (
         load_archive(spark, path)
-        .join(F.broadcast(weeks) if weeks.limit(10_001).count() <= 10_000 else weeks, "week_ending", "left_semi")
+        .join(weeks, "week_ending", "left_semi")
         .join(new.select(*ARCHIVE_KEY), ARCHIVE_KEY, "left_anti")
     )
     # The rows to keep come from the partitions about to be replaced, so store them first.
     merged = cut_lineage(others.unionByName(new))
+    # Rebalancing gathers a week into few files but splits a large one over several tasks.
     (
-        merged.repartition("week_ending")
+        merged.hint("rebalance", "week_ending")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("week_ending")
@@ -105,4 +106,4 @@ def load_report(spark: SparkSession, path: str, week: str | dt.date | None = Non
 
 def save_registry(registry: DataFrame, path: str) -> None:
     """Replace the small registry table; its rows are stored first as they may come from it."""
-    cut_lineage(registry).coalesce(1).write.mode("overwrite").parquet(path)
+    cut_lineage(registry).hint("rebalance").write.mode("overwrite").parquet(path)
