@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -65,11 +66,15 @@ def has_words(c: Column, n: int) -> Column:
 
 
 def other_script_chars(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[{OTHER_SCRIPTS}]"))
+    return F.when(is_ascii(c), 0).otherwise(F.regexp_count(c, F.lit(f"[{OTHER_SCRIPTS}]")))
 
 
 def latin_letters(c: Column) -> Column:
-    return F.regexp_count(c, F.lit("[A-Za-z]"))
+    return F.length(c) - F.length(F.translate(c, string.ascii_letters, ""))
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def is_english(c: Column, detector: Callable[[Column], Column] | None = None) -> Column:
@@ -78,12 +83,15 @@ def is_english(c: Column, detector: Callable[[Column], Column] | None = None) ->
     ``detector`` may map the text to ``struct<lang:string, prob:double>`` (a pandas UDF over a
     language library, say). Without one, or where it yields null, the letters decide.
     """
-    some_foreign = c.rlike(f"[{OTHER_SCRIPTS}]")
-    mostly_latin = ~some_foreign | (
-        ~c.rlike(f"(?:[{OTHER_SCRIPTS}][^{OTHER_SCRIPTS}]*+){{3}}")
+    # Plain ASCII text, the common case, needs none of the script patterns.
+    mostly_latin = (
+        is_ascii(c)
+        | ~c.rlike(f"[{OTHER_SCRIPTS}]")
+        | ~c.rlike(f"(?:[{OTHER_SCRIPTS}][^{OTHER_SCRIPTS}]*+){{3}}")
         & (other_script_chars(c) / F.nullif(F.length(c), F.lit(0)) < 0.05)
     )
-    by_letters = ~c.rlike(r"[\p{L}\p{Nl}\p{No}&&[^A-Za-z]]") & _latin_at_least(c, 8)
+    only_latin = is_ascii(c) | ~c.rlike(r"[\p{L}\p{Nl}\p{No}&&[^A-Za-z]]")
+    by_letters = only_latin & _latin_at_least(c, 8)
     if detector is None:
         # All tests must hold, so the one that rejects most foreign text soonest comes first.
         return F.coalesce(by_letters & mostly_latin, F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.config import Config, ThemeConfig
 from reviewmill.functions.text import strip
+from reviewmill.scale import spread
 
 EVENT_SEEDS = (
     ("signup", "Sign up & login"),
@@ -21,8 +22,13 @@ EVENT_SEEDS = (
 EVENT_CONFIG = Config(themes=ThemeConfig(seeds=EVENT_SEEDS))
 
 
+# Tables whose text is worth spreading over all cores when it comes in one small file.
+_TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _TEXT_TABLES else df
 
 
 def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

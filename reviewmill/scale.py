@@ -31,6 +31,15 @@ def attach_small(
     return big.join(small, list(on), how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy text work on a small table that arrives in a few splits.
+
+    A table with at least two splits per core, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the cluster's shared folder, so lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
