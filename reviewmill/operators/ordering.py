@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewmill.scale import cut_lineage
+
 
 def corpus_position(
     reviews: DataFrame,
@@ -21,11 +23,12 @@ def corpus_position(
     Rows are grouped by key, date and the first ``prefix`` characters of the id, which keeps
     the order. Group sizes give each group its start, so only rows of one group are ever
     ranked together. Review ids are hash digits: three of them cut a day into 4,096 even groups.
+    The group sizes are stored, so the reviews are read twice: to count and to number them.
     """
     keys = list(keys)
     cell = [*keys, date_col, "_prefix"]
     rows = reviews.withColumn("_prefix", F.substring(F.col(id_col), 1, prefix))
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    cells = cut_lineage(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
     earlier_cells = (
         Window.partitionBy(*keys, date_col).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     )

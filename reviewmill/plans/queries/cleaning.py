@@ -23,7 +23,7 @@ from reviewmill.plans.queries.inputs import (
     words_sql,
 )
 from reviewmill.plans.queries.registry import query
-from reviewmill.scale import spread
+from reviewmill.scale import cut_lineage, spread
 
 
 @query(rf"""
@@ -110,7 +110,7 @@ _WEEKS = """ev_weeks AS (
 @query(f"""WITH {EV}, {EV_ANCHOR}, {_WEEKS}, {windows_sql('ev', 'ev_weeks', 'ev_win')} SELECT * FROM ev_win""")
 def reporting_windows(spark, sf_dir):
     """Three weeks of every product at once, with the thin-week fallback."""
-    daily = daily_rollup(event_reviews(spark, sf_dir))
+    daily = cut_lineage(daily_rollup(event_reviews(spark, sf_dir)))
     newest = daily.groupBy("product_id").agg(F.max("date").alias("newest"))
     weeks = newest.select(
         "product_id", F.explode(F.sequence("newest", F.date_sub("newest", 14), F.expr("interval -7 days"))).alias("week_ending")

@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from reviewmill.functions import dates, render
+from reviewmill.functions.numbers import ratio_2dp
 from reviewmill.operators import periods
 from reviewmill.operators.windows import daily_rollup
 from reviewmill.plans.queries.inputs import EV, event_reviews, mean_sql
 from reviewmill.plans.queries.registry import query
-from reviewmill.functions.numbers import ratio_2dp
+from reviewmill.scale import cut_lineage
 
 _TODAY = dt.date(2024, 2, 15)
 
@@ -52,15 +53,22 @@ _ISO = "CAST(isoyear(week_ending) AS VARCHAR) || '-W' || lpad(CAST(week(week_end
 
 
 def weekly_counts(spark, sf_dir):
+    """One row per product and week, stored: the archive, registry and slots all derive from it."""
     daily = daily_rollup(event_reviews(spark, sf_dir))
     week = F.date_add(F.trunc("date", "week"), 5).alias("week_ending")
-    return daily.groupBy("product_id", week).agg(
-        F.sum("n").alias("n"), ratio_2dp(F.sum("rating_sum"), F.sum("rated")).alias("avg_rating_week")
+    return cut_lineage(
+        daily.groupBy("product_id", week).agg(
+            F.sum("n").alias("n"), ratio_2dp(F.sum("rating_sum"), F.sum("rated")).alias("avg_rating_week")
+        )
     )
 
 
 def archive(spark, sf_dir):
-    return weekly_counts(spark, sf_dir).filter("n >= 15").selectExpr(
+    return archive_of(weekly_counts(spark, sf_dir))
+
+
+def archive_of(weekly):
+    return weekly.filter("n >= 15").selectExpr(
         "product_id",
         "week_ending",
         "n",
@@ -70,8 +78,7 @@ def archive(spark, sf_dir):
     )
 
 
-def registry(spark, sf_dir):
-    reports = archive(spark, sf_dir)
+def registry(reports):
     own = reports.filter("n % 2 = 1").selectExpr(
         "product_id",
         "CAST(week_ending AS STRING) AS week_ending",
@@ -83,10 +90,8 @@ def registry(spark, sf_dir):
     return own.unionByName(default)
 
 
-def slots(spark, sf_dir):
-    return periods.period_weeks(
-        archive(spark, sf_dir), products=event_reviews(spark, sf_dir), today=_TODAY
-    )
+def slots(weekly):
+    return periods.period_weeks(archive_of(weekly), products=weekly, today=_TODAY)
 
 
 @query(f"WITH {ARCHIVE} SELECT product_id, week_ending, n, avg_rating_week FROM archive QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY week_ending DESC) = 1")
@@ -102,15 +107,16 @@ def report_of_week(spark, sf_dir):
 @query(f"""WITH {ARCHIVE}, newest AS (SELECT product_id, max(week_ending) AS week_ending FROM ev_weekly GROUP BY product_id)
 SELECT n.product_id, n.week_ending FROM newest n LEFT JOIN archive a USING (product_id, week_ending) WHERE a.n IS NULL""")
 def history_backfill(spark, sf_dir):
-    latest = periods.latest_reports(weekly_counts(spark, sf_dir))
-    return periods.missing_from_history(latest, archive(spark, sf_dir)).select("product_id", "week_ending")
+    weekly = weekly_counts(spark, sf_dir)
+    latest = periods.latest_reports(weekly)
+    return periods.missing_from_history(latest, archive_of(weekly)).select("product_id", "week_ending")
 
 
 @query(f"""WITH {SLOTS}
 SELECT product_id, slot, week_ending, {_ISO} AS iso_week, week_ending - 6 AS "from", week_ending AS "to", {_LABEL} AS label,
        available, slot = 1 AS is_latest FROM slots""")
 def period_slots(spark, sf_dir):
-    return slots(spark, sf_dir)
+    return slots(weekly_counts(spark, sf_dir))
 
 
 @query(f"""WITH {SLOTS}, asked AS (
@@ -131,7 +137,7 @@ def resolved_weeks(spark, sf_dir):
         .unionByName(weekly.select("product_id", F.lit("2024-01-13T00:00").alias("query")).distinct())
         .unionByName(weekly.select("product_id", F.lit("last week").alias("query")).distinct())
     )
-    return periods.resolve_weeks(asked, slots(spark, sf_dir))
+    return periods.resolve_weeks(asked, slots(weekly))
 
 
 @query(f"""WITH {ARCHIVE}
@@ -154,10 +160,11 @@ def publish_ids(spark, sf_dir):
 SELECT * FROM new UNION ALL
 SELECT r.* FROM registry r WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.product_id = r.product_id AND n.week_ending = r.week_ending)""")
 def registry_upsert(spark, sf_dir):
-    published = archive(spark, sf_dir).filter("n % 4 = 1").selectExpr(
+    reports = archive(spark, sf_dir)
+    published = reports.filter("n % 4 = 1").selectExpr(
         "product_id", "week_ending", "concat('pub-', n) AS document_id"
     )
-    return periods.registry_upsert(registry(spark, sf_dir), published, "configured")
+    return periods.registry_upsert(registry(reports), published, "configured")
 
 
 @query(f"""WITH {ARCHIVE}
@@ -165,13 +172,14 @@ SELECT a.product_id, a.week_ending, coalesce(nullif(r.document_id, ''), nullif(d
 FROM ev_weekly a LEFT JOIN registry r ON r.product_id = a.product_id AND r.week_ending = CAST(a.week_ending AS VARCHAR)
 LEFT JOIN registry d ON d.product_id = a.product_id AND d.week_ending = '_default'""")
 def registry_resolution(spark, sf_dir):
-    weeks = weekly_counts(spark, sf_dir).select("product_id", "week_ending")
-    return periods.resolve_document(weeks, registry(spark, sf_dir))
+    weekly = weekly_counts(spark, sf_dir)
+    return periods.resolve_document(weekly.select("product_id", "week_ending"), registry(archive_of(weekly)))
 
 
 @query(f"WITH {ARCHIVE} SELECT product_id, week_ending FROM archive WHERE n % 2 = 0")
 def pending_weeks(spark, sf_dir):
-    return periods.pending_weeks(archive(spark, sf_dir), registry(spark, sf_dir)).select("product_id", "week_ending")
+    reports = archive(spark, sf_dir)
+    return periods.pending_weeks(reports, registry(reports)).select("product_id", "week_ending")
 
 
 @query(f"""WITH {ARCHIVE}

@@ -42,7 +42,7 @@ def event_members(spark, sf_dir):
 
 def event_stats(spark, sf_dir, weeks_back: int = 0):
     """Ranked statistics of the newest weeks, all from one rollup of the reviews."""
-    daily = daily_rollup(event_members(spark, sf_dir), themes.THEME_KEY)
+    daily = cut_lineage(daily_rollup(event_members(spark, sf_dir), themes.THEME_KEY))
     weeks = daily.groupBy("product_id").agg(F.max("date").alias("newest")).select(
         "product_id",
         F.explode(
@@ -55,7 +55,8 @@ def event_stats(spark, sf_dir, weeks_back: int = 0):
 
 def conversation_build(spark, sf_dir):
     reviews = conversation_reviews(spark, sf_dir)
-    windows = cut_lineage(compute_windows(daily_rollup(reviews), anchor_dates(reviews)))
+    daily = cut_lineage(daily_rollup(reviews))
+    windows = cut_lineage(compute_windows(daily, anchor_dates(daily)))
     return reviews, windows, build_themes(reviews, conversation_assignments(reviews), windows)
 
 

@@ -28,6 +28,7 @@ def attach_small(
     small = small.persist()
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), list(on), how)
+    small.unpersist()
     return big.join(small, list(on), how)
 
 

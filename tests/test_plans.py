@@ -24,7 +24,7 @@ def test_no_pairing_of_all_rows(spark, name):
 
 
 def test_statistics_read_few_columns_and_aggregate_before_the_shuffle(spark):
-    text = plan(entry_point.queries()["theme_statistics"](spark, DATA))
+    text = plan(entry_point.queries()["theme_daily_rollup"](spark, DATA))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert schemas and all("props" not in s and "value" not in s for s in schemas)
     assert "partial_count" in text
