@@ -36,13 +36,10 @@ def test_position_ranks_small_cells_only(spark):
 
 
 def test_candidate_limit_applies_before_the_shuffle(spark):
-    rows = spark.createDataFrame(
-        [], "product_id string, week_ending date, theme_id string, id string, distance double"
-    )
-    source = spark.range(100).selectExpr(
-        "'p' AS product_id", "current_date() AS week_ending", "'t' AS theme_id", "string(id) AS id", "double(id) AS distance"
-    )
-    assert rows.schema.fieldNames() == source.columns
+    source = spark.range(1000).selectExpr(
+        "string(id % 3) AS product_id", "date_add(current_date(), int(id % 2)) AS week_ending", "string(id % 5) AS theme_id",
+        "string(id) AS id", "double(id) AS distance",
+    )
     assert "WindowGroupLimit" in plan(rank_quotes(source, 257))
 
 
