@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.config import DEFAULT, PLAY_STORE, Config
+from reviewmill.config import DEFAULT, PLAY_STORE
 from reviewmill.functions import dates, text
 from reviewmill.scale import attach_small
 
