@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.text import truncate
 from reviewmill.operators import payloads, themes
-from reviewmill.plans.queries.inputs import BLANK_SQL, CONV, EV, conversation_reviews, event_reviews, table
+from reviewmill.plans.queries.inputs import BLANK_SQL, CONV, CONV_STATS, EV, conversation_reviews, event_reviews, table
 from reviewmill.plans.queries.registry import query
 from reviewmill.plans.queries.reports import conversation_pool
 from reviewmill.plans.queries.themes import conversation_build
@@ -41,9 +41,21 @@ def batch_payloads(spark, sf_dir):
     return packed.select("product_id", "batch_no", F.array_join(F.transform(items, row), ";").alias("rows"))
 
 
-@query()
+@query(f"""WITH {CONV_STATS}
+SELECT product_id, week_ending, string_agg(theme_id || '/' || label || '/' || CAST(count_week AS VARCHAR) || '/' ||
+         coalesce(printf('%.2f', avg_rating_week), 'null') || '/' || trend, ';' ORDER BY rank) AS themes
+FROM conv_top GROUP BY product_id, week_ending""")
 def theme_payload(spark, sf_dir):
-    return payloads.theme_payload(conversation_build(spark, sf_dir)[2].top)
+    """Theme JSON per report, read back to compare its content."""
+    packed = payloads.theme_payload(conversation_build(spark, sf_dir)[2].top)
+    kind = "array<struct<theme_id:string,label:string,count_week:bigint,avg_rating_week:double,trend:string>>"
+
+    def line(t):
+        avg = F.when(t["avg_rating_week"].isNotNull(), F.format_string("%.2f", t["avg_rating_week"])).otherwise("null")
+        return F.concat_ws("/", t["theme_id"], t["label"], t["count_week"].cast("string"), avg, t["trend"])
+
+    lines = F.transform(F.from_json("themes_json", kind), line)
+    return packed.select("product_id", "week_ending", F.array_join(lines, ";").alias("themes"))
 
 
 @query()
