@@ -36,12 +36,13 @@ def ingest_reviews(
     windows, report and later stages do not clean the raw rows again.
     """
     rows = clean.project_reviews(raw, cfg.limits.min_review_words, detector)
-    marked = clean.mark_corpus_window(rows, cfg.windows.corpus_weeks, week_ending)
+    if week_ending is None:
+        weeks = clean.anchor_dates(rows.filter(F.col("drop_reason").isNull()))
+    else:
+        weeks = rows.groupBy("product_id").agg(F.lit(week_ending).alias("week_ending"))
+    marked = clean.mark_corpus_window(rows, cfg.windows.corpus_weeks, week_ending, weeks)
     usable = marked.filter(F.col("drop_reason").isNull()).drop("drop_reason")
     unique = store(clean.deduplicate(usable))
-    weeks = marked.filter(F.col("week_ending").isNotNull()).groupBy("product_id").agg(
-        F.max("week_ending").alias("week_ending")
-    )
     windows = compute_windows(daily_rollup(unique), weeks, cfg.windows)
     counters = clean.ingest_report(marked, unique)
     shown = windows.select(

@@ -83,7 +83,7 @@ counts AS (
 SELECT c.*, w.week_ending, w.corpus_from, w.corpus_to, w.reporting_from, w.reporting_to, w.window_note, w.review_count_week
 FROM counts c LEFT JOIN doc_win w USING (product_id)""")
 def ingest_report(spark, sf_dir):
-    return ingest_reviews(document_rows(spark, sf_dir)).report
+    return ingest_reviews(document_rows(spark, sf_dir), store=cut_lineage).report
 
 
 @query(f"WITH {EV}, {EV_ANCHOR} SELECT product_id, week_ending FROM ev_week")
