@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewmill.llm import near_dup
+from reviewmill.llm import near_dup, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_minhash_near_dedup(spark, sf_dir):
     return near_dup.classes(_documents(spark, sf_dir))
+
+
+@query()
+def op2_adaptive_quality_rules(spark, sf_dir):
+    return quality_rules.judge(_documents(spark, sf_dir))
+
+
+@query()
+def op9_jump_sharding(spark, sf_dir):
+    return sharding.assign(_documents(spark, sf_dir))
