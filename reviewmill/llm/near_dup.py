@@ -18,8 +18,8 @@ texts is lost, and a group of copies costs rows per member, not per pair.
 
 Defined cases: a text that is null or has no words has no shingles and is linked with nothing; with
 fewer than five words the whole sequence is its one shingle. Rows with a null id take no part in
-links and keep a null component. A repeated row is one document; rows of one id with different texts
-share a component. Other columns of the input are not read.
+links and keep a null component. Rows of one id are one document; if their texts differ, the one
+with the smallest digest counts. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.components import connected_components
@@ -45,6 +45,8 @@ WHOLE = 48
 STARS = 2
 BLOCK = 256
 COLUMNS = 8192
+# Ids (8 bytes each) up to which a filter by them is sent to every executor.
+BROADCAST_IDS = 4_000_000
 
 
 def shingle_sets(lists: list[list[bytes]], hashes: WordHashes, n: int = SHINGLE) -> list[np.ndarray]:
@@ -92,54 +94,51 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def retained_values(reps: DataFrame) -> DataFrame:
     """(value, id, n) for the values of each sketch in which a similar document must meet it."""
     values = reps.select("id", "n", F.explode("sketch").alias("value"))
-    frequent = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = (
-        values.join(frequent, "value")
-        .groupBy("id")
-        .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    listed = values.withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
+    shared = listed.groupBy("id").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
     )
     least = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100)).otherwise(SHARED).cast("int")
     count = F.size("values") - least + 1
-    return shared.where(count > 0).select("id", "n", F.explode(F.slice("values", 1, count)).alias("v")).select(
-        "v.value", "id", "n"
-    )
+    rare = shared.where(count > 0).select("id", "n", F.explode(F.slice("values", 1, count)).alias("v"))
+    return rare.select("v.value", "id", "n")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the first of its component)."""
     sketched = cut_lineage(sketches(docs, id_col, text_col))
-    copies = (
-        sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    )
-    copies = cut_lineage(copies)
-    reps = (
-        sketched.join(copies.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"])
-        .dropDuplicates(["digest"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    documents = cut_lineage(
+        sketched.groupBy("doc_id").agg(
+            F.min(F.struct("digest", "n_shingles")).alias("d"), F.max("digest").alias("last")
+        ).select("doc_id", "d.*", "last")
     )
-    lists = cut_lineage(retained_values(reps))
-    listed = lists.select("id").distinct()
+    one_text = documents.where("digest <> last OR (digest IS NULL AND last IS NOT NULL)").isEmpty()
+    copies = documents.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
+    copies = cut_lineage(copies.agg(F.min("doc_id").alias("id")))
+    reps = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "digest", "sketch")
+    reps = only_ids(reps, copies.select("id"))
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = cut_lineage(
-        _sets(source.join(listed, "id", "left_semi"))
-        .join(copies, ["digest", "id"])
-        .join(reps.select("id", "n", "sketch"), ["id", "n"])
-        .dropDuplicates(["id"])
-    )
-    components = _components(lists, sets)
-    same_id = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(copies, "digest")
-    same_id = same_id.join(components, "id", "left").groupBy("doc_id").agg(
-        F.min(F.coalesce("component", "id")).alias("component_id")
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    if not one_text:
+        reps = reps.join(copies, ["id", "digest"], "left_semi")
+    lists = cut_lineage(retained_values(reps.dropDuplicates(["id"]) if not one_text else reps))
+    sets = _sets(only_ids(source, lists.select("id").distinct()))
+    if not one_text:
+        sets = sets.join(copies, ["id", "digest"], "left_semi")
+    components = _components(lists, cut_lineage(sets.dropDuplicates(["id"])))
     return (
-        sketched.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-        .join(same_id, "doc_id", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        documents.join(copies, "digest", "left")
+        .join(components, "id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids``; up to ``BROADCAST_IDS`` numbers are counted, then broadcast."""
+    ids = cut_lineage(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(id, n, digest, shingles): the whole sets of the documents given."""
 
@@ -248,7 +247,7 @@ def _star(labelled: DataFrame, turn: int) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar: estimated from the sketches first, then counted."""
-    small = sets.select("id", "n", "sketch")
+    small = sets.select("id", "n", F.slice("shingles", 1, SKETCH).alias("sketch"))
     near = (
         pairs.join(small.toDF("a", "na", "sa"), "a")
         .join(small.toDF("b", "nb", "sb"), "b")
