@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewmill.llm import near_dup, quality_rules, sharding
+from reviewmill.llm import mixing, near_dup, quality_rules, resampling, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,18 @@ def op2_adaptive_quality_rules(spark, sf_dir):
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
+@query()
+def op4_importance_resampling(spark, sf_dir):
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0")
+    return resampling.resample(_documents(spark, sf_dir), good)
+
+
 @query()
 def op9_jump_sharding(spark, sf_dir):
     return sharding.assign(_documents(spark, sf_dir))
+
+
+@query()
+def op10_soft_mixing(spark, sf_dir):
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return mixing.mix(_documents(spark, sf_dir), good, least=1.0)
