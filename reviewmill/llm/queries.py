@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewmill.llm import mixing, near_dup, quality_rules, resampling, sharding
+from reviewmill.llm import knn, mixing, near_dup, quality_rules, resampling, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,25 @@ def op4_importance_resampling(spark, sf_dir):
     return resampling.resample(_documents(spark, sf_dir), good)
 
 
+@query(
+    """
+    WITH points AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+        FROM points q JOIN points x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """
+)
+def op6_voronoi_knn(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return knn.search(vectors, F.col("id") % 20 == 0)
+
+
 @query()
 def op9_jump_sharding(spark, sf_dir):
     return sharding.assign(_documents(spark, sf_dir))
