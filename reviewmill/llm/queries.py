@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import knn, mixing, near_dup, quality_rules, resampling, sharding
+from reviewmill.llm import knn, mixing, near_dup, quality_rules, resampling, sanitise, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op4_importance_resampling(spark, sf_dir):
     return resampling.resample(_documents(spark, sf_dir), good)
 
 
+@query()
+def op5_disclosure_sanitising(spark, sf_dir):
+    found = sanitise.find(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 @query(
     """
     WITH points AS (
