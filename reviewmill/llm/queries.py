@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import knn, mixing, near_dup, quality_rules, resampling, sanitise, sharding
+from reviewmill.llm import knn, line_dedup, mixing, near_dup, quality_rules, resampling, sanitise, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,19 @@ def op6_voronoi_knn(spark, sf_dir):
     return knn.search(vectors, F.col("id") % 20 == 0)
 
 
+@query()
+def op8_line_dedup(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    dropped = line_dedup.by_document(line_dedup.dropped_lines(docs))
+    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint").alias("n_lines"))
+    return lines.join(dropped, "doc_id", "left").select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped_lines"),
+    )
+
+
 @query()
 def op9_jump_sharding(spark, sf_dir):
     return sharding.assign(_documents(spark, sf_dir))
