@@ -11,8 +11,9 @@ to meet in one of a sketch's values other than its SHARED - 1 most frequent: the
 that many documents hold don't list those documents together.
 
 *Large groups.* Texts equal in their words are one class from the start. Each list then compares its
-members with one of them, a star, twice; classes that link become one. Lists that still hold several
-components are joined into clusters, whose members meet block by block inside tasks, where matrix
+members with one of them, a star, twice; classes that link become one. The sets in lists that still
+hold several components are listed anew by their rarest shingles, a quarter of each set. Lists that
+are still mixed are joined into clusters, whose members meet block by block inside tasks, where matrix
 products count common shingles and only links between components come out. No link between different
 texts is lost, and a group of copies costs rows per member, not per pair.
 
@@ -91,14 +92,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
-def retained_values(reps: DataFrame) -> DataFrame:
-    """(value, id, n) for the values of each sketch in which a similar document must meet it."""
-    values = reps.select("id", "n", F.explode("sketch").alias("value"))
+def retained_values(sets: DataFrame, whole: bool = False) -> DataFrame:
+    """(value, id, n) for the values in which a similar set must meet one of ``sets`` (id, n, values).
+
+    Rare values come first. A set must share ``least`` of its values, so one of the others' number
+    plus one rarest is shared. The values are sketches, or with ``whole`` the sets themselves.
+    """
+    values = sets.select("id", "n", F.explode("values").alias("value"))
     listed = values.withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
     shared = listed.groupBy("id").agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
     )
-    least = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100)).otherwise(SHARED).cast("int")
+    least = F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    if not whole:
+        least = F.when(F.col("n") <= WHOLE, least).otherwise(SHARED)
     count = F.size("values") - least + 1
     rare = shared.where(count > 0).select("id", "n", F.explode(F.slice("values", 1, count)).alias("v"))
     return rare.select("v.value", "id", "n")
@@ -115,7 +122,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one_text = documents.where("digest <> last OR (digest IS NULL AND last IS NOT NULL)").isEmpty()
     copies = documents.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
     copies = cut_lineage(copies.agg(F.min("doc_id").alias("id")))
-    reps = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "digest", "sketch")
+    reps = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "digest", F.col("sketch").alias("values"))
     reps = only_ids(reps, copies.select("id"))
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     if not one_text:
@@ -170,7 +177,9 @@ def _components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         labelled = _mixed(lists, components)
         links = links.union(cut_lineage(linked(_star(labelled, turn), sets)))
         components = cut_lineage(connected_components(links))
-    labelled = _mixed(lists, components)
+    left = _mixed(lists, components).select("id").distinct()
+    held = sets.join(left, "id", "left_semi").select("id", "n", F.col("shingles").alias("values"))
+    labelled = _mixed(retained_values(held, whole=True), components)
     return connected_components(links.union(cut_lineage(block_links(labelled, sets))))
 
 
