@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import knn, line_dedup, mixing, near_dup, quality_rules, resampling, sanitise, sharding
+from reviewmill.llm import knn, line_dedup, mixing, near_dup, quality_rules, resampling, sanitise, segmentation, sharding
 
+# The model file; executors get its pieces from the driver.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -70,6 +72,11 @@ def op6_voronoi_knn(spark, sf_dir):
     return knn.search(vectors, F.col("id") % 20 == 0)
 
 
+@query()
+def op7_gumbel_segmentations(spark, sf_dir):
+    return segmentation.encode(_documents(spark, sf_dir), MODEL, k=2)
+
+
 @query()
 def op8_line_dedup(spark, sf_dir):
     docs = _documents(spark, sf_dir)
