@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.llm.near_dup import only_ids
+from reviewmill.llm.joins import only_ids
 from reviewmill.llm.words import WordHashes, blocks, mix, offsets
 from reviewmill.scale import cut_lineage
 
@@ -191,8 +191,7 @@ def neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     met = cut_lineage(met.select("digest", "first").distinct())
     listed = met.groupBy("first.doc_id").agg(F.sort_array(F.collect_list("first.line_no")).alias("lines"))
     listed = cut_lineage(listed)
-    texts = only_ids(docs.withColumnRenamed("doc_id", "id"), listed.select(F.col("doc_id").alias("id")))
-    texts = texts.dropDuplicates(["id"]).withColumnRenamed("id", "doc_id").join(listed, "doc_id")
+    texts = only_ids(docs, listed.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).join(listed, "doc_id")
     held = cut_lineage(variants(texts))
     order = F.struct("doc_id", "line_no").alias("line")
     roles = F.concat(

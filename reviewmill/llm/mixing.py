@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm.features import BUCKETS, class_counts, collect_counts, features
+from reviewmill.llm.joins import small
 from reviewmill.llm.resampling import bounded_ids
 from reviewmill.llm.words import WordHashes, blocks
 from reviewmill.scale import cut_lineage
@@ -38,6 +39,8 @@ SMOOTHING = 1 << 12
 FLATTEN = 0.7
 STEPS = 25
 CLOSE = 1e-3
+# Rows up to which the numbers of copies are sent to every executor.
+ROWS = 1_000_000
 SEED = 7
 
 
@@ -176,8 +179,10 @@ def _folded(history: list[np.ndarray], bound: Column, least: float) -> Column:
 
 
 def copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents, each as often as ``mixed`` (doc_id, copies) says."""
-    times = mixed.select(F.col("doc_id").alias("_mixed_id"), "copies").where("copies > 0").dropDuplicates(["_mixed_id"])
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_mixed_id"]))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    """The documents, each as often as ``mixed`` (doc_id, copies) says, and once if it says nothing."""
+    times = mixed.where("copies <> 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_mixed_id"))
+    times = small(times.agg(F.max("copies").alias("_mixed_copies")), ROWS)
+    joined = docs.join(times, docs[id_col] == times["_mixed_id"], "left")
+    count = F.coalesce("_mixed_copies", F.lit(1))
+    each = F.explode(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")))
+    return joined.withColumn("_mixed_copy", each).select(*(docs[c] for c in docs.columns))

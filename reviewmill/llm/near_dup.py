@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.components import connected_components
+from reviewmill.llm.joins import only_ids, without_ids
 from reviewmill.llm.words import WordHashes, blocks, mix, ngram_hashes, offsets
 from reviewmill.scale import cut_lineage
 
@@ -46,8 +47,6 @@ WHOLE = 48
 STARS = 2
 BLOCK = 256
 COLUMNS = 8192
-# Ids (8 bytes each) up to which a filter by them is sent to every executor.
-BROADCAST_IDS = 4_000_000
 
 
 def shingle_sets(lists: list[list[bytes]], hashes: WordHashes, n: int = SHINGLE) -> list[np.ndarray]:
@@ -123,12 +122,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = documents.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
     copies = cut_lineage(copies.agg(F.min("doc_id").alias("id")))
     reps = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "digest", F.col("sketch").alias("values"))
-    reps = only_ids(reps, copies.select("id"))
+    reps = only_ids(reps, copies.select("id"), "id")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     if not one_text:
         reps = reps.join(copies, ["id", "digest"], "left_semi")
     lists = cut_lineage(retained_values(reps.dropDuplicates(["id"]) if not one_text else reps))
-    sets = _sets(only_ids(source, lists.select("id").distinct()))
+    sets = _sets(only_ids(source, lists.select("id").distinct(), "id"))
     if not one_text:
         sets = sets.join(copies, ["id", "digest"], "left_semi")
     components = _components(lists, cut_lineage(sets.dropDuplicates(["id"])))
@@ -140,10 +139,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in ``ids``; up to ``BROADCAST_IDS`` numbers are counted, then broadcast."""
-    ids = cut_lineage(ids)
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents without those that ``found``, from ``classes``, doesn't keep; each id once."""
+    others = found.where("NOT kept").select(F.col("doc_id").alias(id_col))
+    left = without_ids(docs, others, id_col)
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    again = cut_lineage(again)
+    if again.isEmpty():
+        return left
+    return without_ids(left, again, id_col).unionByName(only_ids(left, again, id_col).dropDuplicates([id_col]))
 
 
 def _sets(texts: DataFrame) -> DataFrame:

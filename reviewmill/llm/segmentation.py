@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -79,6 +80,13 @@ class Vocabulary:
         self.exact = np.zeros(1 << TABLE_BITS, bool)
         self.exact[mix(self.keys) >> np.uint64(64 - TABLE_BITS)] = True
 
+    @classmethod
+    def of(cls, parts: dict) -> Vocabulary:
+        """The vocabulary with the attributes given, which travel to workers without this class."""
+        own = cls.__new__(cls)
+        own.__dict__.update(parts)
+        return own
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
@@ -322,10 +330,10 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
     """One row per text and segmentation: doc_id, rank, n_pieces, log_prob, inclusion, ids, round_trip."""
     if k < 1:
         raise ValueError("at least one segmentation")
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
+    sent = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
+        vocabulary = Vocabulary.of(sent.value)
         for batch in batches:
             keys = batch.column("doc_id").fill_null(0).to_numpy()
             for start, end, values in blocks(batch, limit=BLOCK):
@@ -356,10 +364,11 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """The rows given, with ``decoded``: the text whose segmentation the ids are."""
-    sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
+    sent = encoded.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_path)))
 
     @F.pandas_udf("string")
-    def text(ids):
-        return ids.map(lambda x: None if x is None else sent.value.decode(list(x)))
+    def text(ids: pd.Series) -> pd.Series:
+        vocabulary = Vocabulary.of(sent.value)
+        return ids.map(lambda x: None if x is None else vocabulary.decode(list(x)))
 
     return encoded.withColumn("decoded", text(F.col(ids_col)))
