@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import knn, line_dedup, mixing, near_dup, quality_rules, resampling, sanitise, segmentation, sharding
+from reviewmill.llm import katz, knn, line_dedup, mixing, near_dup, quality_rules, resampling, sanitise, segmentation, sharding
 
 # The model file; executors get its pieces from the driver.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -41,6 +41,11 @@ def op2_adaptive_quality_rules(spark, sf_dir):
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
+@query()
+def op3_katz_backoff(spark, sf_dir):
+    return katz.score_texts(_documents(spark, sf_dir))
+
+
 @query()
 def op4_importance_resampling(spark, sf_dir):
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0")
