@@ -11,7 +11,7 @@ to meet in one of a sketch's values other than its SHARED - 1 most frequent: the
 that many documents hold don't list those documents together.
 
 *Large groups.* Texts equal in their words are one class from the start. Each list then compares its
-members with one of them, a star, twice; classes that link become one. The sets in lists that still
+members with one of them, a star; classes that link become one. The sets in lists that still
 hold several components are listed anew by their rarest shingles, a quarter of each set. Lists that
 are still mixed are joined into clusters, whose members meet block by block inside tasks, where matrix
 products count common shingles and only links between components come out. No link between different
@@ -44,7 +44,7 @@ SKETCH = 64
 SHARED = 24
 # Sets up to this size, and all that can be similar to them, fit whole into a sketch of 64.
 WHOLE = 48
-STARS = 2
+STARS = 1
 BLOCK = 256
 COLUMNS = 8192
 
@@ -173,7 +173,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _components(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Components of the classes in the lists: two rounds of stars, then blocks for what is left."""
+    """Components of the classes in the lists: stars first, then blocks for what is left."""
     spark = lists.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
     components = spark.createDataFrame([], "id bigint, component bigint")
