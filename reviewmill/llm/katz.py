@@ -404,8 +404,8 @@ def _finish(rows: DataFrame, parts: dict, factors: np.ndarray, wide: dict[str, n
                     weight = np.log10(backoff(unpack(r["ch"], np.int64), small, lower, factors))
                     block, doc = unpack(r["u_block"], np.int64), unpack(r["u_doc"], np.int32)
                     terms = weight[unpack(r["u_at"], np.int32)]
-                    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-                    for low, high in zip(edges, [*edges[1:], len(block)], strict=True):
+                    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+                    for low, high in zip(edges, np.append(edges[1:], len(block)), strict=False):
                         sums = np.bincount(doc[low:high], weights=terms[low:high])
                         there = np.unique(doc[low:high])
                         packed = {"docs": pack(there), "sums": pack(sums[there])}

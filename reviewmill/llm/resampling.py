@@ -81,7 +81,7 @@ def weights(docs: DataFrame, target: np.ndarray, wanted: np.ndarray, raw: np.nda
                 seen = np.maximum(good[bucket] - own * member[start:end][row], 0)
                 expected = np.maximum(every[bucket] - own, 0) * share
                 ratio = np.log((seen + SMOOTHING) / (expected + SMOOTHING))
-                sums = np.bincount(row, weights=own * ratio, minlength=len(values))
+                sums = np.bincount(row, weights=own * ratio, minlength=len(values)).astype(float)
                 counts = np.bincount(row, weights=own, minlength=len(values)).astype(np.int64)
                 part = batch.column("doc_id").slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([part, pa.array(counts), pa.array(sums)], ["doc_id", "n_features", "log_weight"])
