@@ -139,8 +139,10 @@ def slug(c: Column) -> Column:
 
 
 def title_label(c: Column) -> Column:
-    """Theme id to label: underscores to spaces, each word capitalised."""
-    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+    """Theme id to label: underscores to spaces, each run of letters capitalised."""
+    runs = F.regexp_extract_all(F.replace(c, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    capital = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30))))
+    return F.array_join(capital, "")
 
 
 def theme_label(theme_id: Column, seeds: tuple[tuple[str, str], ...]) -> Column:

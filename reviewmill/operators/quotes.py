@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewmill.config import DEFAULT, NoteConfig
 from reviewmill.functions.pii import PLACEHOLDER
 from reviewmill.functions.text import strip
+from reviewmill.operators.themes import week_key
 from reviewmill.operators.windows import in_window
 from reviewmill.scale import attach_small, cut_lineage
 from reviewmill.workers import drop_similar, pick_front
@@ -28,16 +29,29 @@ def quotable(body: Column, cfg: NoteConfig = DEFAULT.note) -> Column:
 
 
 def eligible_quotes(
-    members: DataFrame, windows: DataFrame, themes: DataFrame, cfg: NoteConfig = DEFAULT.note
+    members: DataFrame,
+    windows: DataFrame,
+    themes: DataFrame,
+    cfg: NoteConfig = DEFAULT.note,
+    mapping: DataFrame | None = None,
 ) -> DataFrame:
     """Quotable reviews of the given themes in their reporting window, with their ``distance``.
 
     ``distance`` is how far the rating lies from the theme's weekly average; a missing rating
-    or average counts as 3. The row-local text tests come before both joins.
+    or average counts as 3. The row-local text tests come before the joins. ``mapping`` is the
+    theme cap by product and week, where members don't follow it yet.
     """
     usable = members.filter(quotable(F.col("text"), cfg))
     averages = themes.select(*GROUP, "avg_rating_week")
-    dated = in_window(usable.select("product_id", "id", "date", "rating", "text", "theme_id"), windows)
+    usable = usable.select(*week_key(usable), "id", "date", "rating", "text", "theme_id")
+    if "week_ending" in usable.columns:
+        spans = windows.select("product_id", "week_ending", "reporting_from", "reporting_to")
+        inside = F.col("date").between(F.col("reporting_from"), F.col("reporting_to"))
+        dated = attach_small(usable, spans, ["product_id", "week_ending"]).filter(inside)
+    else:
+        dated = in_window(usable, windows)
+    if mapping is not None:
+        dated = attach_small(dated, mapping, GROUP).withColumn("theme_id", F.col("merged_id"))
     distance = F.abs(F.coalesce(F.col("rating"), F.lit(3)) - F.coalesce(F.col("avg_rating_week"), F.lit(3.0)))
     return (
         attach_small(dated, averages, GROUP)
@@ -97,7 +111,7 @@ def quote_pool(eligible: DataFrame, cfg: NoteConfig = DEFAULT.note, front: int =
             F.col("last_distance").alias("distance"), F.col("last_id").alias("id")
         )
         rest = (
-            attach_small(rows.drop("need", "taken"), short, GROUP, max_rows=20_000)
+            attach_small(rows.drop("need", "taken"), short, GROUP)
             .filter(behind)
             .withColumn("need", cfg.max_candidates - F.col("taken"))
             .drop("last_distance", "last_id")

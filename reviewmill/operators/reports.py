@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.config import PLAY_STORE
 from reviewmill.functions import render
+from reviewmill.operators.windows import dated
 from reviewmill.scale import attach_small
 
 REPORT_KEY = ["product_id", "week_ending"]
@@ -61,7 +62,7 @@ def assemble_reports(
         "summary",
     )
     quotes = _listed(
-        resolve_picks(picks, reviews),
+        resolve_picks(picks, dated(reviews, windows, F.col("corpus_from"), F.col("corpus_to"))),
         "quotes",
         F.col("pos").cast("int").alias("pos"),
         "text",

@@ -16,12 +16,21 @@ from reviewmill.config import DEFAULT, OTHER, ThemeConfig, WindowConfig
 from reviewmill.functions.numbers import ratio_2dp
 from reviewmill.functions.text import slug, theme_label, title_label
 from reviewmill.operators.ordering import corpus_position
-from reviewmill.operators.windows import daily_rollup, spread_weeks
+from reviewmill.operators.windows import daily_rollup, in_window, spread_weeks
 from reviewmill.scale import attach_small
 
 THEME_KEY = ("product_id", "theme_id")
 
 
+def week_key(rows: DataFrame) -> list[str]:
+    """What themes are told apart by: the product, and the week where rows belong to one.
+
+    A week's themes are those of its own corpus, so anything built for several weeks at once
+    carries ``week_ending`` (see ``in_window`` and ``rollup_by_week``).
+    """
+    return ["product_id", "week_ending"] if "week_ending" in rows.columns else ["product_id"]
+
+
 def valid_theme(theme_id: Column, themes: ThemeConfig = DEFAULT.themes) -> Column:
     """The id itself if it is a seed or ``other``, else ``other``."""
     return F.when(theme_id.isin(*themes.seed_ids, OTHER), theme_id).otherwise(F.lit(OTHER))
@@ -63,9 +72,9 @@ def reconcile(
 
 
 def other_share(members: DataFrame, themes: ThemeConfig = DEFAULT.themes) -> DataFrame:
-    """Per product the share of ``other``, the number of non-empty themes and the split trigger."""
-    sizes = members.groupBy(*THEME_KEY).agg(F.count(F.lit(1)).alias("n"))
-    out = sizes.groupBy("product_id").agg(
+    """Per product (and week) the share of ``other``, the number of non-empty themes and the split trigger."""
+    sizes = members.groupBy(*week_key(members), "theme_id").agg(F.count(F.lit(1)).alias("n"))
+    out = sizes.groupBy(*week_key(members)).agg(
         F.coalesce(F.sum(F.when(F.col("theme_id") == OTHER, F.col("n"))), F.lit(0)).alias("other_count"),
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("themes"),
@@ -78,7 +87,7 @@ def other_share(members: DataFrame, themes: ThemeConfig = DEFAULT.themes) -> Dat
 
 def split_sample(members: DataFrame, n: int = DEFAULT.themes.split_sample) -> DataFrame:
     """The first ``n`` reviews of ``other`` in corpus order: what a split proposal gets to see."""
-    order = Window.partitionBy("product_id").orderBy("date", "id")
+    order = Window.partitionBy(*week_key(members)).orderBy("date", "id")
     return (
         members.filter(F.col("theme_id") == OTHER)
         .withColumn("sample_no", F.row_number().over(order))
@@ -90,27 +99,31 @@ def split_other(members: DataFrame, proposals: DataFrame, reassignments: DataFra
     """One split pass: move the named reviews to a proposed new theme.
 
     ``proposals`` has one (product_id, new_theme_id, new_theme_label) per product that may
-    split; ``reassignments`` has (product_id, review_id, theme_id). A blank or existing new id
-    is ignored. Rows move from whatever theme they are in, not only from ``other``. Adds
+    split; ``reassignments`` has (product_id, review_id, theme_id). Where members belong to
+    weeks, both may name a ``week_ending`` and else hold for all of them. A blank or existing new
+    id is ignored. Rows move from whatever theme they are in, not only from ``other``. Adds
     ``new_label`` on moved rows.
     """
-    existing = members.groupBy(*THEME_KEY).agg(F.lit(True).alias("_exists"))
+    key = week_key(members)
+    existing = members.groupBy(*key, "theme_id").agg(F.lit(True).alias("_exists"))
+    if week_key(proposals) != key:
+        proposals = proposals.join(members.select(*key).distinct(), "product_id")
     named = proposals.select(
-        "product_id", slug(F.col("new_theme_id")).alias("theme_id"), "new_theme_label"
+        *key, slug(F.col("new_theme_id")).alias("theme_id"), "new_theme_label"
     ).filter(F.length("theme_id") > 0)
-    fresh = named.join(existing, list(THEME_KEY), "left_anti").select(
-        "product_id",
+    fresh = named.join(existing, [*key, "theme_id"], "left_anti").select(
+        *key,
         "theme_id",
         F.coalesce(F.nullif(F.col("new_theme_label"), F.lit("")), title_label(F.col("theme_id"))).alias(
             "new_label"
         ),
     )
     moves = (
-        reassignments.join(fresh, list(THEME_KEY))
-        .groupBy("product_id", F.col("review_id").alias("id"))
+        reassignments.join(fresh, [*week_key(reassignments), "theme_id"])
+        .groupBy(*key, F.col("review_id").alias("id"))
         .agg(F.min(F.struct("theme_id", "new_label")).alias("_to"))
     )
-    moved = members.join(moves, ["product_id", "id"], "left")
+    moved = members.join(moves, [*key, "id"], "left")
     return moved.withColumns(
         {
             "theme_id": F.coalesce(F.col("_to.theme_id"), F.col("theme_id")),
@@ -126,38 +139,52 @@ def member_rollup(members: DataFrame) -> DataFrame:
     """
     unseen = F.struct(F.lit(1 << 62).alias("batch_no"), F.lit(0).alias("pos"))
     return daily_rollup(
-        members, THEME_KEY, seen=F.min(F.coalesce(F.col("first_pos"), unseen))
+        members, [*week_key(members), "theme_id"], seen=F.min(F.coalesce(F.col("first_pos"), unseen))
     )
 
 
+def rollup_by_week(rollup: DataFrame, windows: DataFrame) -> DataFrame:
+    """The rollup's rows for every week that counts their day, ``in_corpus`` or in its reporting window."""
+    days = spread_weeks(
+        windows.select("product_id", "week_ending", "corpus_from", "corpus_to", "reporting_from"),
+        F.least("corpus_from", "reporting_from"),
+        F.col("corpus_to"),
+    )
+    inside = F.col("date").between(F.col("corpus_from"), F.col("corpus_to"))
+    joined = rollup.join(days, ["product_id", "date"]).withColumn("in_corpus", inside)
+    return joined.select("week_ending", *rollup.columns, "in_corpus")
+
+
 def cap_mapping(rollup: DataFrame, max_total: int = DEFAULT.themes.max_total) -> DataFrame:
-    """(product_id, theme_id, merged_id): the smallest themes fold into ``other``.
+    """(product_id[, week_ending], theme_id, merged_id): the smallest themes fold into ``other``.
 
     Equals folding one smallest theme at a time until ``max_total`` are left: the
     ``max_total - 1`` largest real themes stay. Among equal sizes the theme seen first is
-    folded first.
+    folded first. Sizes count the corpus of a week, whatever other weeks hold.
     """
-    by_product = Window.partitionBy("product_id")
-    sizes = rollup.groupBy(*THEME_KEY).agg(F.sum("n").alias("_size"), F.min("seen").alias("_seen"))
-    largest = by_product.orderBy(
-        F.col("theme_id") == OTHER, F.col("_size").desc(), F.col("_seen").desc()
+    key = week_key(rollup)
+    counted = F.when(F.col("in_corpus"), F.col("n")) if "in_corpus" in rollup.columns else F.col("n")
+    sizes = rollup.groupBy(*key, "theme_id").agg(
+        F.coalesce(F.sum(counted), F.lit(0)).alias("_size"), F.min("seen").alias("_seen")
     )
+    group = Window.partitionBy(*key)
+    largest = group.orderBy(F.col("theme_id") == OTHER, F.col("_size").desc(), F.col("_seen").desc())
     folded = (F.col("_themes") > max_total) & (F.col("_rank") > max_total - 1)
     return (
-        sizes.withColumn("_themes", F.count(F.lit(1)).over(by_product))
+        sizes.withColumn("_themes", F.count(F.lit(1)).over(group))
         .withColumn("_rank", F.row_number().over(largest))
-        .select(*THEME_KEY, F.when(folded, F.lit(OTHER)).otherwise(F.col("theme_id")).alias("merged_id"))
+        .select(*key, "theme_id", F.when(folded, F.lit(OTHER)).otherwise(F.col("theme_id")).alias("merged_id"))
     )
 
 
 def merge_to_cap(
     members: DataFrame, max_total: int = DEFAULT.themes.max_total, mapping: DataFrame | None = None
 ) -> DataFrame:
-    """Members with at most ``max_total`` themes per product."""
+    """Members with at most ``max_total`` themes per product (and week)."""
     if mapping is None:
         mapping = cap_mapping(member_rollup(members), max_total)
     return (
-        attach_small(members, mapping, THEME_KEY)
+        attach_small(members, mapping, [*week_key(members), "theme_id"])
         .withColumn("theme_id", F.col("merged_id"))
         .select(*members.columns)
     )
@@ -165,21 +192,30 @@ def merge_to_cap(
 
 def merge_rollup(rollup: DataFrame, mapping: DataFrame) -> DataFrame:
     """The same fold, on the daily rollup."""
+    key = week_key(rollup)
     return (
-        rollup.join(mapping, list(THEME_KEY))
-        .groupBy("product_id", F.col("merged_id").alias("theme_id"), "date")
+        rollup.join(mapping, [*key, "theme_id"])
+        .groupBy(*key, F.col("merged_id").alias("theme_id"), "date")
         .agg(F.sum("n").alias("n"), F.sum("rated").alias("rated"), F.sum("rating_sum").alias("rating_sum"))
     )
 
 
+def week_members(members: DataFrame, windows: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Members of every week's corpus, with that week's themes: what lists, samples and shares read."""
+    if "week_ending" not in members.columns:
+        members = in_window(members, windows, "corpus")
+    return members if mapping is None else merge_to_cap(members, mapping=mapping)
+
+
 def member_lists(members: DataFrame, chunk: int = 1000) -> DataFrame:
     """Review ids per theme in corpus order, as numbered arrays of at most ``chunk`` ids."""
-    placed = corpus_position(members, THEME_KEY)
+    key = [*week_key(members), "theme_id"]
     return (
-        placed.withColumn("chunk_no", F.floor(F.col("pos") / chunk))
-        .groupBy(*THEME_KEY, "chunk_no")
+        corpus_position(members, key)
+        .withColumn("chunk_no", F.floor(F.col("pos") / chunk))
+        .groupBy(*key, "chunk_no")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids"))
-        .select(*THEME_KEY, "chunk_no", F.col("_ids.id").alias("review_ids"))
+        .select(*key, "chunk_no", F.col("_ids.id").alias("review_ids"))
     )
 
 
@@ -200,7 +236,7 @@ def theme_stats(
     cfg: WindowConfig = DEFAULT.windows,
     themes: ThemeConfig = DEFAULT.themes,
 ) -> DataFrame:
-    """Statistics per (product, week, theme) from the daily rollup by theme.
+    """Statistics per (product, week, theme) from the daily rollup by theme, or by week and theme.
 
     The baseline is the whole corpus, current week included, over ``corpus_weeks``.
     """
@@ -216,7 +252,7 @@ def theme_stats(
         return F.coalesce(F.sum(F.when(when, F.col(col))), F.lit(0)).cast("bigint")
 
     summed = (
-        daily.join(spans, ["product_id", "date"])
+        daily.join(spans, [*week_key(daily), "date"])
         .groupBy("product_id", "week_ending", "theme_id")
         .agg(
             total("n", in_corpus).alias("count_corpus"),

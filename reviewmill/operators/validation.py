@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.config import DEFAULT, Config
+from reviewmill.config import DEFAULT, PLAY_STORE, Config
 from reviewmill.functions import render
-from reviewmill.operators.clean import store_purity
 from reviewmill.operators.redaction import scan_pii
 from reviewmill.operators.reports import REPORT_KEY
+from reviewmill.operators.windows import dated, spread_weeks
 from reviewmill.scale import attach_small
 
 # Failure codes that stop a report for good.
@@ -17,18 +17,24 @@ NOT_FIXABLE = ("NON_PLAY_DATA", "PII_DETECTED")
 
 
 def quote_checks(reports: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row per quote: is it verbatim in its review, and is that review in the window?"""
+    """One row per quote: is it verbatim in its review, and is that review in the window?
+
+    Only reviews of the report's own corpus count. The reviews are read between the days of the
+    corpora, and joined on the few ids quoted.
+    """
     quotes = reports.select(
-        *REPORT_KEY, "reporting_window", F.explode("quotes").alias("q")
+        *REPORT_KEY, "reporting_window", "corpus_window", F.explode("quotes").alias("q")
     ).select(
         *REPORT_KEY,
         "reporting_window",
+        "corpus_window",
         F.col("q.pos").alias("pos"),
         F.col("q.review_id").alias("review_id"),
         F.col("q.text").alias("quote"),
     )
     wanted = quotes.select("product_id", "review_id").distinct()
-    source = reviews.select(
+    near = dated(reviews, reports, F.col("corpus_window.from"), F.col("corpus_window.to"))
+    source = near.select(
         "product_id",
         F.col("id").alias("review_id"),
         F.concat(F.col("title"), F.lit("\n"), F.col("text")).alias("source"),
@@ -36,16 +42,36 @@ def quote_checks(reports: DataFrame, reviews: DataFrame) -> DataFrame:
     )
     found = attach_small(source, wanted, ["product_id", "review_id"])
     joined = quotes.join(found, ["product_id", "review_id"], "left")
-    window = F.col("reporting_window")
+    corpus, window = F.col("corpus_window"), F.col("reporting_window")
+    known = F.col("date").between(corpus["from"], corpus["to"])
     return joined.select(
         *REPORT_KEY,
         "pos",
         "review_id",
-        (~F.coalesce(F.contains(F.col("source"), F.col("quote")), F.lit(False))).alias("not_verbatim"),
-        F.coalesce(~F.col("date").between(window["from"], window["to"]), F.lit(False)).alias("out_of_window"),
+        (~F.coalesce(known & F.contains(F.col("source"), F.col("quote")), F.lit(False))).alias("not_verbatim"),
+        F.coalesce(known & ~F.col("date").between(window["from"], window["to"]), F.lit(False)).alias("out_of_window"),
     )
 
 
+def foreign_store(reports: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The reports (product, week) whose corpus holds a review from another store."""
+    window = F.col("corpus_window")
+    days = spread_weeks(
+        reports.select(*REPORT_KEY, window["from"].alias("_from"), window["to"].alias("_to")).filter("_from <= _to"),
+        F.col("_from"),
+        F.col("_to"),
+    )
+    foreign = reviews.filter(F.col("store") != PLAY_STORE).select("product_id", "date").distinct()
+    found = days.join(foreign, ["product_id", "date"]).select(*REPORT_KEY).distinct()
+    return found.withColumn("non_play_data", F.lit(True))
+
+
+def stray_action(actions: Column, top_themes: Column) -> Column:
+    """Is there an action on a theme that isn't one of the report's top themes?"""
+    ids = F.transform(top_themes, lambda t: t["id"])
+    return F.exists(actions, lambda a: ~F.array_contains(ids, a["theme_id"]))
+
+
 def _codes(*pairs: tuple[Column, Column | str]) -> Column:
     named = [F.when(flag, F.lit(code) if isinstance(code, str) else code) for flag, code in pairs]
     return F.array_distinct(F.array_compact(F.array(*named)))
@@ -63,14 +89,13 @@ def validate_reports(
     ``themes`` holds every theme of each report (before the top ones were chosen). ``md`` is the
     rendered text to scan for personal data.
     """
-    top_ids = F.transform("top_themes", lambda t: t["id"])
-    stray_action = F.exists("actions", lambda a: ~F.array_contains(top_ids, a["theme_id"]))
+    stray = stray_action(F.col("actions"), F.col("top_themes"))
     flagged = reports.select(
         *REPORT_KEY,
         render.body_words(F.col("top_themes"), F.col("quotes"), F.col("actions")).cast("int").alias("body_word_count"),
         (F.size("top_themes") != cfg.themes.highlight).alias("theme_count"),
         (F.size("quotes") != cfg.note.quote_count).alias("quote_count"),
-        ((F.size("actions") != cfg.note.action_count) | stray_action).alias("action_count"),
+        ((F.size("actions") != cfg.note.action_count) | stray).alias("action_count"),
         (render.report_markdown() if md is None else md).alias("md"),
     )
     theme_total = themes.groupBy(*REPORT_KEY).agg(F.count(F.lit(1)).alias("theme_total"))
@@ -83,7 +108,7 @@ def validate_reports(
         scan_pii(flagged, "md")
         .join(theme_total, REPORT_KEY, "left")
         .join(quotes, REPORT_KEY, "left")
-        .join(store_purity(reviews), "product_id", "left")
+        .join(foreign_store(reports, reviews), REPORT_KEY, "left")
     )
     verbatim, window = F.col("not_verbatim_at"), F.col("out_of_window_at")
     window_first = F.coalesce(window < verbatim, F.lit(False))

@@ -86,6 +86,14 @@ def compute_windows(
     )
 
 
+def dated(reviews: DataFrame, weeks: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Reviews between the first and last day any week needs, as literal bounds a scan can prune by."""
+    low, high = weeks.agg(F.min(first), F.max(last)).first()
+    if low is None:
+        return reviews.limit(0)
+    return reviews.filter(F.col("date").between(F.lit(low), F.lit(high)))
+
+
 def in_window(reviews: DataFrame, windows: DataFrame, kind: str = "reporting") -> DataFrame:
     """Reviews paired with every week whose window holds their date, as an equi-join on days."""
     days = spread_weeks(
@@ -93,4 +101,5 @@ def in_window(reviews: DataFrame, windows: DataFrame, kind: str = "reporting") -
         F.col(f"{kind}_from"),
         F.col(f"{kind}_to"),
     ).select("product_id", "week_ending", "date")
-    return attach_small(reviews, days, ["product_id", "date"])
+    near = dated(reviews, windows, F.col(f"{kind}_from"), F.col(f"{kind}_to"))
+    return attach_small(near, days, ["product_id", "date"])

@@ -23,7 +23,7 @@ from reviewmill.plans.queries.inputs import (
     words_sql,
 )
 from reviewmill.plans.queries.registry import query
-from reviewmill.scale import cut_lineage, spread
+from reviewmill.scale import cut_lineage
 
 
 @query(rf"""
@@ -181,7 +181,7 @@ SELECT event_type AS product_id, CAST(event_id AS VARCHAR) AS text, CASE event_i
 FROM events""")
 def table_import(spark, sf_dir):
     """A foreign table by column synonyms, with its timestamps in several spellings."""
-    foreign = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts")).selectExpr(
+    foreign = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts").selectExpr(
         "event_id",
         "event_type",
         "CAST(event_id AS STRING) AS Content",

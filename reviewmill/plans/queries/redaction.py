@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from reviewmill.operators.redaction import redact_reviews, redaction_report, scan_pii
 from reviewmill.plans.queries.inputs import conversation_reviews, document_rows, table
 from reviewmill.plans.queries.registry import query
-from reviewmill.scale import spread
 
 
 def _documents(spark, sf_dir):
@@ -42,7 +41,7 @@ SELECT user_id, event_id, len(regexp_extract_all(body, '[A-Za-z0-9._%+\-]+@[A-Za
 FROM (SELECT user_id, event_id, 'write to u.' || event_type || '@mail.example.com' AS body FROM events)""")
 def redacted_contacts(spark, sf_dir):
     """An address, a handle, an amount and a version per event; amount and version stay."""
-    rows = spread(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")).selectExpr(
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").selectExpr(
         "user_id",
         "event_id",
         """concat('write to u.', event_type, '@mail.example.com or @user_', user_id, ', paid INR ',

@@ -65,7 +65,7 @@ conv_reports AS (
 
 def conversation_eligible(spark, sf_dir):
     reviews, windows, built = conversation_build(spark, sf_dir)
-    return quotes.eligible_quotes(built.members, windows, built.top)
+    return quotes.eligible_quotes(built.members, windows, built.top, mapping=built.mapping)
 
 
 def conversation_pool(spark, sf_dir):
@@ -81,7 +81,7 @@ def conversation_reports(spark, sf_dir):
         F.lit("Users wrote *"), F.col("count_week").cast("string"), F.lit("* reviews on "), "label", F.lit(".")
     )
     summaries = top.filter("avg_rating_week IS NOT NULL").select(*key, text.alias("summary"), F.lit(1).alias("pos"))
-    best = quotes.rank_quotes(quotes.eligible_quotes(built.members, windows, top), 1)
+    best = quotes.rank_quotes(quotes.eligible_quotes(built.members, windows, top, mapping=built.mapping), 1)
     picks = best.join(top.select(*key, F.col("rank").alias("pos")), key).select(
         *key, "pos", F.col("id").alias("review_id")
     )
@@ -298,12 +298,14 @@ SELECT product_id, week_ending, n_themes <> 3 OR product_id = 'user' AS stray FR
 def action_membership(spark, sf_dir):
     """Reports with the wrong number of actions or one on a theme that is not on top."""
     rows = conversation_reports(spark, sf_dir)[2]
-    ids = F.transform("top_themes", lambda t: t["id"])
     moved = F.transform(
         "actions",
-        lambda a: F.when(F.col("product_id") == "user", F.concat(a["theme_id"], F.lit("_x"))).otherwise(a["theme_id"]),
+        lambda a: a.withField(
+            "theme_id",
+            F.when(F.col("product_id") == "user", F.concat(a["theme_id"], F.lit("_x"))).otherwise(a["theme_id"]),
+        ),
     )
-    stray = F.size(F.array_except(moved, ids)) > 0
+    stray = validation.stray_action(moved, F.col("top_themes"))
     return rows.select("product_id", "week_ending", ((F.size("actions") != 3) | stray).alias("stray"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewmill.config import DEFAULT
+from reviewmill.config import DEFAULT, Config, ThemeConfig
 from reviewmill.functions.text import slug, theme_label, title_label
 from reviewmill.operators import themes
 from reviewmill.operators.clean import anchor_dates
@@ -21,6 +21,7 @@ from reviewmill.plans.queries.inputs import (
     conversation_assignments,
     conversation_reviews,
     event_reviews,
+    mean_sql,
     stats_sql,
     table,
     top_sql,
@@ -91,7 +92,8 @@ def seed_dimension(spark, sf_dir):
 @query("""
 SELECT event_id, CASE event_type WHEN 'signup' THEN 'Sign up & login' WHEN 'error' THEN 'Errors & crashes'
          WHEN 'click' THEN 'Navigation' WHEN 'view' THEN 'Screens' ELSE 'Late Purchase' END AS label,
-       'late_' || event_type AS slug, 'Late ' || upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title
+       'late_' || event_type AS slug, 'Late ' || upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS title,
+       '3D ' || upper(substr(event_type, 1, 1)) || substr(event_type, 2) || '-Issue ' || CAST(user_id AS VARCHAR) || 'Fa' AS mixed_title
 FROM events""")
 def theme_labels(spark, sf_dir):
     late = F.concat(F.lit(" Late "), F.upper("event_type"), F.lit(" "))
@@ -102,6 +104,7 @@ def theme_labels(spark, sf_dir):
         theme_label(theme, EVENT_CONFIG.themes.seeds).alias("label"),
         "slug",
         title_label(F.col("slug")).alias("title"),
+        title_label(F.concat(F.lit("3d_"), "event_type", F.lit("-issue_"), "user_id", F.lit("fa"))).alias("mixed_title"),
     )
 
 
@@ -198,6 +201,105 @@ def built_themes(spark, sf_dir):
     return conversation_build(spark, sf_dir)[2].stats
 
 
+# Documents as reviews of eight weeks: nine themes, of which each week sees other ones, so the cap
+# folds different themes in every week and product.
+WEEKLY_SEEDS = tuple((f"t{i}", f"T{i}") for i in range(9))
+WEEKLY_CONFIG = Config(themes=ThemeConfig(seeds=WEEKLY_SEEDS))
+WEEKLY = f"""
+wk AS (
+  SELECT lang AS product_id, substr(sha1(CAST(doc_id AS VARCHAR)), 1, 12) AS id, DATE '2024-01-01' + CAST((doc_id * 11) % 56 AS INTEGER) AS date,
+         CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 1 + n_chars % 5 END AS rating,
+         CASE WHEN doc_id % 17 = 0 THEN 'other' ELSE 't' || CAST((doc_id % 6 + ((doc_id * 11) % 56) // 7) % 9 AS VARCHAR) END AS theme_id,
+         doc_id AS seen
+  FROM documents),
+wk_weeks AS (
+  SELECT product_id, DATE '2024-02-25' - 7 * k AS week_ending FROM (SELECT DISTINCT product_id FROM wk), (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
+{windows_sql('wk', 'wk_weeks', 'wk_win')},
+wk_corpus AS (
+  SELECT w.week_ending, m.* FROM wk_win w JOIN wk m ON m.product_id = w.product_id AND m.date BETWEEN w.corpus_from AND w.corpus_to),
+wk_sizes AS (
+  SELECT product_id, week_ending, theme_id, count(*) AS size, min(seen) AS seen FROM wk_corpus GROUP BY product_id, week_ending, theme_id),
+wk_cap AS (
+  SELECT product_id, week_ending, theme_id,
+         CASE WHEN count(*) OVER (PARTITION BY product_id, week_ending) > 5 AND row_number() OVER (
+                PARTITION BY product_id, week_ending ORDER BY theme_id = 'other', size DESC, seen DESC) > 4
+              THEN 'other' ELSE theme_id END AS merged
+  FROM wk_sizes),
+wk_sums AS (
+  SELECT c.product_id, c.week_ending, merged AS theme_id, count(*) AS count_corpus,
+         count(*) FILTER (WHERE c.date >= w.reporting_from) AS count_week,
+         count(rating) FILTER (WHERE c.date >= w.reporting_from) AS rated, sum(rating) FILTER (WHERE c.date >= w.reporting_from) AS total
+  FROM wk_corpus c JOIN wk_cap USING (product_id, week_ending, theme_id) JOIN wk_win w USING (product_id, week_ending)
+  GROUP BY c.product_id, c.week_ending, merged),
+wk_stats AS (
+  SELECT product_id, week_ending, theme_id, CASE theme_id WHEN 'other' THEN 'Unclassified' ELSE upper(theme_id) END AS label, count_corpus, count_week,
+         {mean_sql('total', 'rated')} AS avg_rating_week, CAST(printf('%.2f', count_corpus / 4) AS DOUBLE) AS baseline_weekly
+  FROM wk_sums)"""
+
+
+def weekly_reviews(spark, sf_dir):
+    return table(spark, sf_dir, "documents").selectExpr(
+        "lang AS product_id",
+        "substring(sha1(CAST(doc_id AS STRING)), 1, 12) AS id",
+        "'play_store' AS store",
+        "date_add(DATE '2024-01-01', CAST((doc_id * 11) % 56 AS INT)) AS date",
+        "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE CAST(1 + n_chars % 5 AS INT) END AS rating",
+        "'' AS title",
+        "text",
+        "CAST(NULL AS STRING) AS app_version",
+        "CASE WHEN doc_id % 17 = 0 THEN 'other' ELSE concat('t', (doc_id % 6 + (doc_id * 11) % 56 DIV 7) % 9) END AS theme_raw",
+        "doc_id",
+    )
+
+
+def weekly_build(spark, sf_dir):
+    reviews = weekly_reviews(spark, sf_dir)
+    assignments = reviews.selectExpr(
+        "product_id", "id AS review_id", "theme_raw AS theme_id", "CAST(1 AS DOUBLE) AS confidence",
+        "doc_id AS batch_no", "0 AS pos",
+    )
+    daily = cut_lineage(daily_rollup(reviews))
+    weeks = daily.select("product_id").distinct().select(
+        "product_id",
+        F.explode(F.sequence(F.lit("2024-02-25").cast("date"), F.lit("2024-01-28").cast("date"), F.expr("interval -7 days"))).alias("week_ending"),
+    )
+    windows = cut_lineage(compute_windows(daily, weeks, WEEKLY_CONFIG.windows))
+    return reviews, windows, build_themes(reviews, assignments, windows, WEEKLY_CONFIG)
+
+
+@query(f"""WITH {WEEKLY} SELECT product_id, week_ending, theme_id, label, count_corpus, count_week, avg_rating_week, baseline_weekly FROM wk_stats""")
+def weekly_themes(spark, sf_dir):
+    """Five weeks built at once, each capped by the themes of its own corpus."""
+    return weekly_build(spark, sf_dir)[2].stats.drop("rank", "trend")
+
+
+@query(f"""WITH {WEEKLY} SELECT product_id, week_ending, theme_id, merged AS merged_id FROM wk_cap""")
+def weekly_cap(spark, sf_dir):
+    return weekly_build(spark, sf_dir)[2].mapping
+
+
+@query(f"""WITH {WEEKLY}, sized AS (
+  SELECT product_id, week_ending, count(*) FILTER (WHERE theme_id = 'other') AS other_count, count(*) AS total, count(DISTINCT theme_id) AS themes
+  FROM wk_corpus GROUP BY product_id, week_ending)
+SELECT *, other_count / total AS share, other_count / total > 0.20 AND themes < 5 AS split FROM sized""")
+def weekly_other_share(spark, sf_dir):
+    _, windows, built = weekly_build(spark, sf_dir)
+    return themes.other_share(themes.week_members(built.members, windows))
+
+
+@query(f"""WITH {WEEKLY}, placed AS (
+  SELECT product_id, week_ending, merged AS theme_id, id,
+         row_number() OVER (PARTITION BY product_id, week_ending, merged ORDER BY date, id) - 1 AS pos
+  FROM wk_corpus JOIN wk_cap USING (product_id, week_ending, theme_id))
+SELECT product_id, week_ending, theme_id, pos // 100 AS chunk_no, string_agg(id, ',' ORDER BY pos) AS review_ids
+FROM placed GROUP BY product_id, week_ending, theme_id, pos // 100""")
+def weekly_member_lists(spark, sf_dir):
+    _, windows, built = weekly_build(spark, sf_dir)
+    members = themes.week_members(built.members, windows, built.mapping)
+    lists = themes.member_lists(members.select("product_id", "week_ending", "theme_id", "date", "id"), chunk=100)
+    return lists.withColumn("review_ids", F.array_join("review_ids", ","))
+
+
 KEYWORDS = (
     ("onboarding", ("ein", "est", "the")),
     ("kyc", ("und", "les", "and")),

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from reviewmill.config import DEFAULT, Config
 from reviewmill.functions.render import report_markdown
 from reviewmill.operators import quotes, reports, themes, validation
+from reviewmill.operators.windows import dated
 from reviewmill.scale import cut_lineage
 
 
 @dataclass(frozen=True)
 class Themes:
-    members: DataFrame  # reviews with their theme
+    members: DataFrame  # reviews with their theme before the cap; by week where ``other`` was split
+    mapping: DataFrame  # per product, week and theme: the theme it counts as
     stats: DataFrame  # ranked statistics per (product, week, theme)
     top: DataFrame  # the highlighted themes
 
@@ -30,34 +32,38 @@ def build_themes(
 ) -> Themes:
     """Reconcile assignments, split ``other`` where proposed, cap the themes, compute statistics.
 
-    Statistics and cap come from one rollup of the members, which is stored, as are the
-    statistics: a few rows per product, week and theme that every later step reads. Members stay
-    lazy; store them too if several steps after this one scan them.
+    Every week is built from its own corpus, as if it ran alone. Statistics and cap come from one
+    rollup of the members, which is stored, as are the cap and the statistics: a few rows per
+    product, week and theme that every later step reads. Members stay lazy; only a split, which
+    may differ by week, pairs them with their weeks.
     """
+    reviews = dated(reviews, windows, F.least("corpus_from", "reporting_from"), F.col("corpus_to"))
     members = themes.reconcile(reviews, assignments, cfg.themes)
     labels = None
     if proposals is not None and reassignments is not None:
-        may_split = themes.other_share(members, cfg.themes).filter("split").select("product_id")
-        allowed = proposals.join(may_split, "product_id", "left_semi")
+        members = themes.week_members(members, windows)
+        key = themes.week_key(members)
+        may_split = themes.other_share(members, cfg.themes).filter("split").select(*key)
+        allowed = proposals.join(may_split, themes.week_key(proposals))
         members = themes.split_other(members, allowed, reassignments)
-        labels = members.filter("new_label IS NOT NULL").select("product_id", "theme_id", "new_label").distinct()
+        labels = members.filter("new_label IS NOT NULL").select(*key, "theme_id", "new_label").distinct()
     rollup = cut_lineage(themes.member_rollup(members))
-    mapping = themes.cap_mapping(rollup, cfg.themes.max_total)
-    stats = themes.theme_stats(themes.merge_rollup(rollup, mapping), windows, cfg.windows, cfg.themes)
+    weekly = rollup if "week_ending" in rollup.columns else themes.rollup_by_week(rollup, windows)
+    mapping = cut_lineage(themes.cap_mapping(weekly, cfg.themes.max_total))
+    stats = themes.theme_stats(themes.merge_rollup(weekly, mapping), windows, cfg.windows, cfg.themes)
     if labels is not None:
         stats = (
-            stats.join(labels, list(themes.THEME_KEY), "left")
+            stats.join(labels, ["product_id", "week_ending", "theme_id"], "left")
             .withColumn("label", F.coalesce("new_label", "label"))
             .drop("new_label")
         )
     ranked = cut_lineage(themes.rank_themes(stats))
-    capped = themes.merge_to_cap(members, cfg.themes.max_total, mapping)
-    return Themes(capped, ranked, themes.top_themes(ranked, cfg.themes.highlight))
+    return Themes(members, mapping, ranked, themes.top_themes(ranked, cfg.themes.highlight))
 
 
 def candidate_quotes(built: Themes, windows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Quote pool of the highlighted themes."""
-    eligible = quotes.eligible_quotes(built.members, windows, built.top, cfg.note)
+    eligible = quotes.eligible_quotes(built.members, windows, built.top, cfg.note, built.mapping)
     return quotes.quote_pool(eligible, cfg.note)
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer broadcast. The tables joined this way
-# hold a key, a few dates and numbers, or at most a handful of short texts per row.
-SMALL_SIDE_ROWS = 200_000
+# Bytes a side may have before it is no longer broadcast: its rows as text, and what a row of a
+# hash table takes besides.
+SMALL_SIDE_BYTES = 64 << 20
+ROW_BYTES = 64
 
 
 def attach_small(
@@ -18,27 +20,17 @@ def attach_small(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    max_rows: int = SMALL_SIDE_ROWS,
+    max_bytes: int = SMALL_SIDE_BYTES,
 ) -> DataFrame:
     """Join a per-key table to a large one without shuffling the large side.
 
-    The small side is counted first and broadcast only while it has at most ``max_rows``
-    rows. Beyond that the join is left to Spark, where adaptive execution splits a hot key.
+    The small side is stored first, so it is computed once and its size is known; it is broadcast
+    only while its rows take at most ``max_bytes``. Beyond that the join is left to Spark, where
+    adaptive execution splits a hot key. Nothing stays in executors' memory.
     """
-    small = small.persist()
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), list(on), how)
-    small.unpersist()
-    return big.join(small, list(on), how)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy text work on a small table that arrives in a few splits.
-
-    A table with at least two splits per core, as any large one has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+    small = cut_lineage(small)
+    size = small.agg(F.sum(F.length(F.to_json(F.struct(*small.columns))) + ROW_BYTES)).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= max_bytes else small, list(on), how)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,6 +44,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
+    if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reviewmill-"))

@@ -27,8 +27,13 @@ EXPORT_COLUMNS = {
 
 
 def write_reviews(reviews: DataFrame, path: str) -> None:
-    """Only the review columns leave a stage."""
-    reviews.select(*_REVIEW_COLUMNS).write.mode("overwrite").parquet(path)
+    """Only the review columns leave a stage, in a folder for each day.
+
+    Days without new rows keep what they hold; a day that is written is replaced, so a write must
+    bring all products of its days. Readers that bound ``date`` read only the folders between.
+    """
+    rows = reviews.select(*_REVIEW_COLUMNS).hint("rebalance", "date")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -63,24 +68,26 @@ def load_archive(spark: SparkSession, path: str) -> DataFrame:
     schema = f"{REPORT}, md string"
     try:
         return spark.read.schema(schema).parquet(path).filter(F.col("week_ending").isNotNull())
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def archive_reports(reports: DataFrame, path: str) -> None:
     """Insert or replace reports by product and week.
 
-    Only the touched week partitions are rewritten, with the other products' reports in them.
+    Only the touched week partitions are read and rewritten, with the other products' reports in them.
     A report without a week is an error.
     """
     spark = reports.sparkSession
     if not reports.filter(F.col("week_ending").isNull()).isEmpty():
         raise ValueError("report without week_ending")
     new = cut_lineage(reports.select(*load_archive(spark, path).columns))
-    weeks = new.select("week_ending").distinct()
+    weeks = [r["week_ending"] for r in new.select("week_ending").distinct().collect()]
     others = (
         load_archive(spark, path)
-        .join(weeks, "week_ending", "left_semi")
+        .filter(F.col("week_ending").isin(weeks))
         .join(new.select(*ARCHIVE_KEY), ARCHIVE_KEY, "left_anti")
     )
     # The rows to keep come from the partitions about to be replaced, so store them first.

@@ -42,7 +42,8 @@ def import_table(table: DataFrame, product_id: Column, name: str, row_no: Column
 
 def load_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Normalized or redacted reviews written by an earlier stage."""
-    return spark.read.schema(REVIEW).parquet(path)
+    columns = [part.split()[0] for part in REVIEW.split(", ")]
+    return spark.read.schema(REVIEW).parquet(path).select(*columns)
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -50,5 +51,7 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     schema = f"product_id string, {REGISTRY}"
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)

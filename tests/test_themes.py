@@ -143,3 +143,44 @@ def test_member_lists_are_chunked(spark):
     chunks = themes.member_lists(members, 10).orderBy("chunk_no").collect()
     assert [len(c.review_ids) for c in chunks] == [10, 10, 5]
     assert Config().themes == ThemeConfig()
+
+
+def test_weeks_built_together_equal_weeks_built_alone(spark):
+    """Themes of one week must not crowd out those of another."""
+    early, late = dt.date(2026, 6, 7), dt.date(2026, 8, 30)
+    rows = [(i, early - dt.timedelta(days=i % 5), f"t{i % 4}") for i in range(200)]
+    rows += [(1000 + i, late - dt.timedelta(days=i % 5), f"t{5 + (i % 18 >= 5) + (i % 18 >= 11)}") for i in range(18)]
+    reviews = spark.createDataFrame(
+        [("p", f"{i:012x}", "play_store", d, 3, "", f"text {i}", None) for i, d, _ in rows],
+        "product_id string, id string, store string, date date, rating int, title string, text string, app_version string",
+    )
+    assigned = spark.createDataFrame(
+        [("p", f"{i:012x}", t, 1.0, 0, i) for i, _, t in rows],
+        "product_id string, review_id string, theme_id string, confidence double, batch_no bigint, pos int",
+    )
+    cfg = Config(themes=ThemeConfig(seeds=tuple((f"t{i}", f"T{i}") for i in range(9))))
+    weeks = spark.createDataFrame([("p", early), ("p", late)], "product_id string, week_ending date")
+
+    def built(weeks):
+        windows = compute_windows(daily_rollup(reviews), weeks)
+        stats = build_themes(reviews, assigned, windows, cfg).stats
+        return {(r.week_ending, r.theme_id): r.count_corpus for r in stats.collect()}
+
+    together = built(weeks)
+    assert together == built(weeks.limit(1)) | built(weeks.filter(weeks.week_ending == late))
+    assert {t: n for (w, t), n in together.items() if w == late} == {"t5": 5, "t6": 6, "t7": 7}
+
+
+def test_split_is_decided_week_by_week(spark):
+    weeks = [WEEK, WEEK - dt.timedelta(days=7 * 10)]
+    rows = [("p", f"{w}{i:011x}", "play_store", weeks[w] - dt.timedelta(days=i % 5), 3, "", "t", None) for w in (0, 1) for i in range(30)]
+    reviews = spark.createDataFrame(rows, "product_id string, id string, store string, date date, rating int, title string, text string, app_version string")
+    known = [("p", r[1], "kyc", 1.0, 0, 0) for r in rows if r[1][0] == "1"]
+    assigned = spark.createDataFrame(known, "product_id string, review_id string, theme_id string, confidence double, batch_no bigint, pos int")
+    keyed = spark.createDataFrame([("p", w) for w in weeks], "product_id string, week_ending date")
+    windows = compute_windows(daily_rollup(reviews), keyed)
+    proposals = spark.createDataFrame([("p", "New", "New one")], "product_id string, new_theme_id string, new_theme_label string")
+    moves = reviews.select("product_id", F.col("id").alias("review_id"), F.lit("new").alias("theme_id"))
+    stats = build_themes(reviews, assigned, windows, proposals=proposals, reassignments=moves).stats
+    got = {(r.week_ending, r.theme_id, r.label): r.count_corpus for r in stats.collect()}
+    assert got == {(weeks[0], "new", "New one"): 30, (weeks[1], "kyc", "KYC & verification"): 30}
