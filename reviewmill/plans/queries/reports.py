@@ -11,9 +11,10 @@ from reviewmill.functions import render
 from reviewmill.operators import quotes, reports, validation
 from reviewmill.operators.redaction import redact_reviews, redaction_report
 from reviewmill.plans.ingest import ingest_reviews
-from reviewmill.plans.queries.inputs import CONV_STATS, table
+from reviewmill.operators.themes import week_members
+from reviewmill.plans.queries.inputs import CONV_STATS, table, top_sql
 from reviewmill.plans.queries.registry import query
-from reviewmill.plans.queries.themes import conversation_build
+from reviewmill.plans.queries.themes import WEEKLY, conversation_build, weekly_build
 from reviewmill.plans.summary import run_summary
 from reviewmill.plans.weekly import publishable
 from reviewmill.scale import cut_lineage
@@ -215,8 +216,7 @@ def first_quote_and_action(spark, sf_dir):
     return themes.join(quote, key, "left").join(action, key, "left")
 
 
-# Quotes are tampered with per product so that every code occurs: a cut text stays verbatim,
-# an appended word does not, a review of another week is out of the window.
+# Quotes are tampered with per product: a cut text stays verbatim, an appended word does not.
 _TAMPER = """,
 tampered AS (
   SELECT product_id, week_ending, theme_id, review_id, rank AS pos,
@@ -269,7 +269,7 @@ SELECT product_id, week_ending, array_to_string(failures, ',') AS failures, len(
        CASE WHEN len(failures) = 0 THEN 'publish' WHEN list_contains(failures, 'NON_PLAY_DATA') THEN 'abort' ELSE 'retry_generate' END AS route
 FROM codes""")
 def report_validation(spark, sf_dir):
-    """All codes of tampered reports: a stray action, a foreign store and tighter limits."""
+    """Codes of tampered reports: a stray action, a foreign store and tighter limits."""
     cfg = replace(
         DEFAULT,
         themes=replace(DEFAULT.themes, max_total=4),
@@ -293,6 +293,110 @@ def report_validation(spark, sf_dir):
     )
 
 
+# Five weeks of reports at once, tampered with by product and week so that each code occurs: a review
+# quoted from before its window, an appended word, long actions, a stray one, a missing quote or
+# theme, a mail address, another store in one corpus, and a tighter cap.
+_WEEKLY_REPORTS = WEEKLY + f""",
+wk_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id, week_ending ORDER BY count_week DESC, avg_rating_week ASC NULLS LAST, theme_id) AS rank
+  FROM wk_stats),
+{top_sql('wk_ranked', 'wk_all_top')},
+wk_top AS (
+  SELECT * FROM wk_all_top WHERE NOT (product_id = 'en' AND week_ending = DATE '2024-01-28' AND rank = 3)),
+wk_said AS (
+  SELECT c.product_id, c.week_ending, p.merged AS theme_id, c.id, c.date >= w.reporting_from AS inside
+  FROM wk_corpus c JOIN wk_cap p USING (product_id, week_ending, theme_id) JOIN wk_win w USING (product_id, week_ending)),
+wk_picks AS (
+  SELECT t.product_id, t.week_ending, t.theme_id, t.rank, min(s.id) AS id, bool_or(s.inside) AS inside
+  FROM wk_top t JOIN wk_said s USING (product_id, week_ending, theme_id)
+  WHERE s.inside = NOT (t.product_id = 'de' AND t.rank = 1)
+    AND NOT (t.product_id = 'en' AND t.week_ending = DATE '2024-02-11' AND t.rank = 2)
+  GROUP BY t.product_id, t.week_ending, t.theme_id, t.rank),
+wk_said_count AS (SELECT product_id, week_ending, count(*) AS n, bool_or(NOT inside) AS early, bool_or(product_id = 'fr' AND rank = 2) AS changed
+  FROM wk_picks GROUP BY product_id, week_ending),
+wk_top_count AS (SELECT product_id, week_ending, count(*) AS n FROM wk_top GROUP BY product_id, week_ending),
+wk_total AS (SELECT product_id, week_ending, count(*) AS n FROM wk_stats GROUP BY product_id, week_ending),
+wk_foreign AS (SELECT DISTINCT week_ending FROM wk_corpus WHERE product_id = 'fr' AND date = DATE '2024-01-03'),
+wk_sized AS (
+  SELECT w.product_id, w.week_ending, coalesce(t.n, 0) AS themes, coalesce(q.n, 0) AS quotes, coalesce(q.early, false) AS early,
+         coalesce(q.changed, false) AS changed, coalesce(a.n, 0) AS total,
+         3 * coalesce(q.n, 0) + CASE WHEN q.changed THEN 1 ELSE 0 END + coalesce(t.n, 0) * (CASE WHEN w.product_id = 'es' THEN 8 ELSE 2 END) AS words
+  FROM wk_win w LEFT JOIN wk_top_count t USING (product_id, week_ending) LEFT JOIN wk_said_count q USING (product_id, week_ending)
+  LEFT JOIN wk_total a USING (product_id, week_ending)),
+wk_codes AS (
+  SELECT product_id, week_ending, words, list_filter([
+      CASE WHEN words > 20 THEN 'WORD_LIMIT' END, CASE WHEN themes <> 3 THEN 'THEME_COUNT' END, CASE WHEN total > 4 THEN 'THEME_CAP' END,
+      CASE WHEN quotes <> 3 THEN 'QUOTE_COUNT' END,
+      CASE WHEN themes <> 3 OR product_id = 'es' AND week_ending = DATE '2024-02-18' AND themes > 0 THEN 'ACTION_COUNT' END,
+      CASE WHEN changed THEN 'QUOTE_NOT_VERBATIM' END, CASE WHEN early THEN 'QUOTE_OUT_OF_WINDOW' END,
+      CASE WHEN product_id = 'fr' AND week_ending IN (SELECT week_ending FROM wk_foreign) THEN 'NON_PLAY_DATA' END,
+      CASE WHEN product_id = 'fr' AND week_ending = DATE '2024-02-25' THEN 'PII_DETECTED' END], lambda c: c IS NOT NULL) AS failures
+  FROM wk_sized)"""
+
+
+def weekly_reports(spark, sf_dir):
+    """Tampered reports of five weeks with their reviews, themes and text to scan."""
+    reviews, windows, built = weekly_build(spark, sf_dir)
+    key = ["product_id", "week_ending"]
+    reviews = reviews.withColumn("text", F.concat(F.lit("alpha beta "), "id")).withColumn(
+        "store", F.when(F.expr("product_id = 'fr' AND date = DATE '2024-01-03'"), "app_store").otherwise(F.col("store"))
+    )
+    top = built.top.filter("NOT (product_id = 'en' AND week_ending = DATE '2024-01-28' AND rank = 3)")
+    top = cut_lineage(top)
+    said = week_members(built.members, windows, built.mapping).select(*key, "theme_id", "id", "date")
+    said = said.join(windows.select(*key, "reporting_from"), key).join(top.select(*key, "theme_id", F.col("rank").alias("pos")), [*key, "theme_id"])
+    said = said.filter("(date >= reporting_from) = (NOT (product_id = 'de' AND pos = 1))").filter(
+        "NOT (product_id = 'en' AND week_ending = DATE '2024-02-11' AND pos = 2)"
+    )
+    picks = said.groupBy(*key, "theme_id", "pos").agg(F.min("id").alias("review_id"))
+    detail = F.when(F.col("product_id") == "es", "one two three four five six").otherwise("")
+    stray = F.expr("product_id = 'es' AND week_ending = DATE '2024-02-18' AND rank = 1")
+    actions = top.select(
+        *key,
+        F.col("rank").alias("pos"),
+        F.concat(F.lit("Improve "), "label").alias("title"),
+        detail.alias("detail"),
+        F.when(stray, "nowhere").otherwise(F.col("theme_id")).alias("theme_id"),
+    )
+    summaries = spark.createDataFrame([], "product_id string, week_ending date, theme_id string, summary string, pos int")
+    rows = reports.assemble_reports(top, summaries, cut_lineage(picks), actions, reviews, windows)
+    changed = F.transform(
+        "quotes",
+        lambda q: q.withField(
+            "text",
+            F.when((F.col("product_id") == "fr") & (q["pos"] == 2), F.concat(q["text"], F.lit(" indeed"))).otherwise(q["text"]),
+        ),
+    )
+    rows = rows.withColumn("quotes", changed)
+    mail = F.expr("product_id = 'fr' AND week_ending = DATE '2024-02-25'")
+    rows = rows.withColumn("md", F.when(mail, "write to someone@mail.example").otherwise("nothing personal"))
+    return reviews, built, cut_lineage(rows)
+
+
+@query(f"""WITH {_WEEKLY_REPORTS}
+SELECT product_id, week_ending, words AS body_word_count, array_to_string(failures, ',') AS failures, len(failures) = 0 AS passed,
+       NOT (list_contains(failures, 'NON_PLAY_DATA') OR list_contains(failures, 'PII_DETECTED')) AS fixable FROM wk_codes""")
+def weekly_validation(spark, sf_dir):
+    """All nine failure codes, over twenty reports of five weeks."""
+    cfg = replace(
+        DEFAULT, themes=replace(DEFAULT.themes, max_total=4), note=replace(DEFAULT.note, max_words=20, action_count=3, quote_count=3)
+    )
+    reviews, built, rows = weekly_reports(spark, sf_dir)
+    checked = validation.validate_reports(rows, reviews, built.stats, cfg, md=F.col("md"))
+    return checked.select(
+        "product_id", "week_ending", F.col("body_word_count").cast("bigint").alias("body_word_count"),
+        F.array_join("failures", ",").alias("failures"), "passed", "fixable",
+    )
+
+
+@query(f"""WITH {_WEEKLY_REPORTS}
+SELECT product_id, week_ending, rank AS pos, id AS review_id, product_id = 'fr' AND rank = 2 AS not_verbatim, NOT inside AS out_of_window FROM wk_picks""")
+def weekly_provenance(spark, sf_dir):
+    """Provenance of the quotes of five weeks."""
+    reviews, _, rows = weekly_reports(spark, sf_dir)
+    return validation.quote_checks(rows, reviews)
+
+
 @query(f"""WITH {REPORTS}
 SELECT product_id, week_ending, n_themes <> 3 OR product_id = 'user' AS stray FROM conv_reports""")
 def action_membership(spark, sf_dir):
