@@ -65,11 +65,13 @@ def pii_scan(spark, sf_dir):
     return scan_pii(_documents(spark, sf_dir), "text").select("doc_id", "pii_hits")
 
 
-@query()
+@query("SELECT doc_id AS row_no, 'email' AS category, CAST(1 AS BIGINT) AS hits FROM documents WHERE doc_id % 3 = 0")
 def redacted_leftovers(spark, sf_dir):
-    """What a scan still finds after redaction: protected spans that look like numbers."""
+    """What a scan finds after redaction: an address put into every third text since, nothing else."""
     clean = redact_reviews(document_rows(spark, sf_dir).selectExpr("row_no", "title", "trim(text) AS text"))
-    return scan_pii(clean, "text").filter(F.size("pii_hits") > 0).select("row_no", "pii_hits")
+    planted = F.concat("text", F.when(F.col("row_no") % 3 == 0, " ask some.one@mail.example").otherwise(""))
+    found = scan_pii(clean.withColumn("text", planted), "text")
+    return found.select("row_no", F.explode("pii_hits").alias("h")).select("row_no", "h.category", F.col("h.hits").cast("bigint").alias("hits"))
 
 
 @query()

@@ -124,6 +124,18 @@ def quote_pool(spark, sf_dir):
     return conversation_pool(spark, sf_dir)
 
 
+@query(f"""WITH {ELIGIBLE}, texts AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id, week_ending, theme_id, lower(text) ORDER BY distance, id) AS copy FROM conv_quotes),
+kept AS (
+  SELECT product_id, week_ending, theme_id, id,
+         row_number() OVER (PARTITION BY product_id, week_ending, theme_id ORDER BY distance, id) AS rank FROM texts WHERE copy = 1)
+SELECT * FROM kept WHERE rank <= 8""")
+def exact_quote_pool(spark, sf_dir):
+    """The pool where only texts equal in lower case are near copies."""
+    pool = quotes.quote_pool(conversation_eligible(spark, sf_dir), replace(DEFAULT.note, similarity=1.0))
+    return pool.select("product_id", "week_ending", "theme_id", "id", "rank")
+
+
 @query()
 def document_quote_pool(spark, sf_dir):
     """Quotes from whole documents of any length above forty characters, near copies removed."""
