@@ -36,7 +36,59 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return near_dup.classes(_documents(spark, sf_dir))
 
 
-@query()
+_BLANKS = r"\x20\x09-\x0D"
+_LEVEL = "g.level, g.lang, g.source, g.signal"
+
+
+@query(
+    rf"""
+    WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+    cut AS (
+        SELECT *, regexp_extract_all(text, '[^{_BLANKS}]+') AS words,
+               list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{_BLANKS}]')) AS lines FROM docs),
+    windows AS (
+        SELECT doc_id, i, [words[i], words[i + 1], words[i + 2]] AS gram
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM cut)),
+    again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM windows) WHERE n > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+    counted AS (
+        SELECT doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+               length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines,
+               len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+        FROM cut LEFT JOIN covered USING (doc_id)),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+    rates AS (
+        SELECT doc_id, lang, source, base_failed, 'word_length' AS signal, 1500 AS slack, 1000 * word_chars // greatest(n_words, 1) AS v FROM judged
+        UNION ALL SELECT doc_id, lang, source, base_failed, 'symbols', 300, 10000 * n_symbols // greatest(n_words, 1) FROM judged
+        UNION ALL SELECT doc_id, lang, source, base_failed, 'dup_lines', 3500, 10000 * n_dup_lines // greatest(n_lines, 1) FROM judged
+        UNION ALL SELECT doc_id, lang, source, base_failed, 'repeats', 1500, 10000 * n_repeat_words // greatest(n_words, 1) FROM judged),
+    buckets AS (
+        SELECT lang, source, signal, slack, v - v % u AS low, v - v % u + u - 1 AS high
+        FROM (SELECT *, CAST(1 AS BIGINT) << greatest(0, length(bin(v)) - 7) AS u FROM rates WHERE NOT base_failed)),
+    levels AS (
+        SELECT 0 AS level, lang, source, signal, slack, low, high FROM buckets
+        UNION ALL SELECT 1, lang, NULL, signal, slack, low, high FROM buckets
+        UNION ALL SELECT 2, NULL, NULL, signal, slack, low, high FROM buckets),
+    sketches AS (SELECT level, lang, source, signal, slack, low, high, count(*) AS n FROM levels GROUP BY ALL),
+    ranked AS (
+        SELECT g.*, sum(n) OVER (PARTITION BY {_LEVEL} ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {_LEVEL}) AS docs FROM sketches g),
+    quartiles AS (
+        SELECT {_LEVEL}, slack, max(docs) AS docs, min(low) FILTER (upto * 4 >= docs) AS q1, min(high) FILTER (upto * 4 >= docs * 3) AS q3
+        FROM ranked g GROUP BY {_LEVEL}, slack),
+    fences AS (SELECT *, greatest(3 * (q3 - q1), slack) AS reach FROM quartiles),
+    outside AS (
+        SELECT DISTINCT r.doc_id FROM rates r
+        JOIN fences o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source AND o.signal = r.signal
+        JOIN fences l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM r.lang AND l.signal = r.signal
+        JOIN fences a ON a.level = 2 AND a.signal = r.signal
+        WHERE r.v > CASE WHEN o.docs >= 200 THEN o.q3 + o.reach WHEN l.docs >= 200 THEN l.q3 + l.reach ELSE a.q3 + a.reach END
+           OR r.signal = 'word_length'
+          AND r.v < CASE WHEN o.docs >= 200 THEN o.q1 - o.reach WHEN l.docs >= 200 THEN l.q1 - l.reach ELSE a.q1 - a.reach END)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+           NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
+    FROM judged
+    """
+)
 def op2_adaptive_quality_rules(spark, sf_dir):
     return quality_rules.judge(_documents(spark, sf_dir))
 
