@@ -44,6 +44,8 @@ BLANK = 0x2581
 FIRST_BYTE = 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 22
+# Log mass of regions that can't hold the next path but with a probability far below rounding errors.
+FAINT = -100.0
 
 
 class Vocabulary:
@@ -60,6 +62,8 @@ class Vocabulary:
         whole = [i for i in range(size) if i not in spelled and i not in special]
         self.longest = max(len(pieces[i]) for i in whole)
         self.bytes = [bytes([i - FIRST_BYTE]) if i in spelled else pieces[i].replace(chr(BLANK), " ").encode() for i in range(size)]
+        self.spelling = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.length = np.fromiter(map(len, self.bytes), np.int64, size)
         # Pieces made of other pieces by hand carry no rank; they count as the least frequent.
         rank = np.array([-model.get_score(i) for i in range(size)])
         rank = np.where((rank < 0) | (rank > size), size, rank)
@@ -77,8 +81,9 @@ class Vocabulary:
         self.ids = np.array(whole, np.int64)[order]
         self.prefix = np.zeros(1 << TABLE_BITS, bool)
         self.prefix[mix(np.array(sorted(prefixes), np.uint64)) >> np.uint64(64 - TABLE_BITS)] = True
-        self.exact = np.zeros(1 << TABLE_BITS, bool)
-        self.exact[mix(self.keys) >> np.uint64(64 - TABLE_BITS)] = True
+        # Where a hash's key may be among the keys, by its first bits; another key may have the place.
+        self.where = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.where[mix(self.keys) >> np.uint64(64 - TABLE_BITS)] = np.arange(len(self.keys))
 
     @classmethod
     def of(cls, parts: dict) -> Vocabulary:
@@ -87,10 +92,24 @@ class Vocabulary:
         own.__dict__.update(parts)
         return own
 
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of many pieces, one after the other."""
+        length = self.length[ids]
+        begin = offsets(self.length)[ids]
+        return self.spelling[np.repeat(begin - offsets(length)[:-1], length) + np.arange(length.sum())]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
 
+class _Index(dict):
+    """Numbers stretches in the order in which they are met."""
+
+    def __missing__(self, stretch: str) -> int:
+        value = self[stretch] = len(self)
+        return value
+
+
 class Lattices:
     """The lattices of distinct stretches, laid end to end: one node per character and one per end."""
 
@@ -112,37 +131,51 @@ class Lattices:
             at, h = at[fits], h[fits]
             h = h * BASE + symbols[at + n - 1]
             slot = mix(h) >> np.uint64(64 - TABLE_BITS)
-            maybe = np.flatnonzero(vocabulary.exact[slot])
-            found = np.minimum(np.searchsorted(vocabulary.keys, h[maybe]), len(vocabulary.keys) - 1)
-            hit = vocabulary.keys[found] == h[maybe]
-            ids = vocabulary.ids[found[hit]]
-            self.id[at[maybe[hit]], n - 1] = ids
-            self.weight[at[maybe[hit]], n - 1] = vocabulary.weight[ids]
+            found = vocabulary.where[slot]
+            maybe = np.flatnonzero(found >= 0)
+            found, wanted = found[maybe], h[maybe]
+            miss = np.flatnonzero(vocabulary.keys[found] != wanted)
+            found[miss] = np.minimum(np.searchsorted(vocabulary.keys, wanted[miss]), len(vocabulary.keys) - 1)
+            hit = vocabulary.keys[found] == wanted
+            ids, cell = vocabulary.ids[found[hit]], at[maybe[hit]] * width + (n - 1)
+            self.id.ravel()[cell] = ids
+            self.weight.ravel()[cell] = vocabulary.weight[ids]
             more = vocabulary.prefix[slot]
             at, h = at[more], h[more]
         self.bytes = 1 + (self.code >= 0x80) + (self.code >= 0x800) + (self.code >= 0x10000)
         spelled = np.flatnonzero(self.id[:, 0] < 0)
         self.weight[spelled, 0] = self.bytes[spelled] * vocabulary.byte_weight
         # Log mass of all paths from a node to its stretch's end, the nodes nearest to an end first.
-        self.mass = np.zeros(size + width + 1)
-        order = np.argsort(left, kind="stable")
-        steps = np.arange(1, width + 1)
-        bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        self.mass = np.zeros(size + 1)
         self.cumulative = np.zeros((size, width), np.float32)
-        for d in range(len(bounds) - 1):
-            nodes = order[bounds[d] : bounds[d + 1]]
-            if not len(nodes):
+        self.longest = np.ones(size, np.int64)
+        if not size:
+            return
+        order = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
+        cell = np.flatnonzero(self.weight[order].ravel() > -np.inf)
+        at, column = np.divmod(cell, width) if width & width - 1 else (cell >> width.bit_length() - 1, cell & width - 1)
+        edges = offsets(np.bincount(at, minlength=size))
+        at = order[at]
+        cell = at * width + column
+        weight, onward = self.weight.ravel()[cell].astype(float), at + column + 1
+        ends = column + 1 == left[at]
+        share = np.empty(len(at))
+        bounds = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if low == high:
                 continue
-            reach = min(width, d + 1)
-            onward = self.mass[nodes[:, None] + steps[None, :reach]]
-            onward[:, d:] = 0 if d < width else onward[:, d:]
-            terms = self.weight[nodes, :reach] + onward
-            top = terms.max(axis=1)
-            odds = np.exp(terms - top[:, None])
-            total = odds.sum(axis=1)
-            self.mass[nodes] = top + np.log(total)
-            self.cumulative[nodes, :reach] = np.cumsum(odds, axis=1) / total[:, None]
-            self.cumulative[nodes, reach - 1 :] = 2.0
+            first, last = edges[low], edges[high]
+            starts = edges[low:high] - first
+            terms = weight[first:last] + np.where(ends[first:last], 0.0, self.mass[onward[first:last]])
+            count = np.diff(edges[low : high + 1])
+            top = np.maximum.reduceat(terms, starts)
+            odds = np.exp(terms - np.repeat(top, count))
+            total = np.add.reduceat(odds, starts)
+            self.mass[order[low:high]] = top + np.log(total)
+            share[first:last] = odds / np.repeat(total, count)
+        self.cumulative.ravel()[cell] = share
+        np.cumsum(self.cumulative, axis=1, out=self.cumulative)
+        self.longest[order] = column[edges[1:] - 1] + 1
 
     def log_share(self, node: np.ndarray, step: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of taking the piece of ``step`` characters at a node."""
@@ -167,10 +200,11 @@ class _Paths:
 
     def scatter(self, bound: np.ndarray, seed: np.ndarray, since: np.ndarray) -> None:
         """Give the regions of steps from place ``since`` on their numbers, at most ``bound`` of their text."""
-        with np.errstate(divide="ignore", over="ignore"):
-            rest = self.before + np.log(-np.expm1(self.share))
-            number = _truncated(rest, bound[self.text], _uniform(seed[self.text] ^ np.uint64(0x5851F42D4C957F2D), self.place))
-        self.number = np.where(self.place >= since[self.text], number, -np.inf)
+        at = np.flatnonzero((self.before > FAINT) & (self.place >= since[self.text]) & (self.share < 0))
+        text = self.text[at]
+        rest = self.before[at] + np.log(-np.expm1(self.share[at]))
+        uniform = _uniform(seed[text] ^ np.uint64(0x5851F42D4C957F2D), self.place[at])
+        self.number[at] = _truncated(rest, bound[text], uniform)
 
 
 def _truncated(location: np.ndarray, bound: np.ndarray, uniform: np.ndarray) -> np.ndarray:
@@ -182,14 +216,14 @@ def _truncated(location: np.ndarray, bound: np.ndarray, uniform: np.ndarray) ->
 
 def draw(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int, seed: int = SEED) -> list[list[tuple]]:
     """For each text its drawn segmentations, in order: (ids, log_prob, inclusion)."""
-    index: dict[str, int] = {}
+    index = _Index()
     found, counts = [], []
     for text in texts:
         own = STRETCH.findall(" " + text) if text else []
         counts.append(len(own))
-        found += [index.setdefault(s, len(index)) for s in own]
+        found.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
     n = len(texts)
-    unit = np.array(found, np.int64)
+    unit = np.concatenate([np.zeros(0, np.int64), *found])
     text_of = np.repeat(np.arange(n), counts)
     lattices = Lattices(list(index), vocabulary)
     length = (lattices.end - lattices.start)[unit] if len(unit) else unit
@@ -200,24 +234,31 @@ def draw(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int, see
     seeds = [mix(base + np.uint64((j + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)) for j in range(k + 1)]
 
     def walk(units: np.ndarray, node: np.ndarray, seed_of: np.ndarray):
-        """Free draws from a node of each stretch to its end: node, step, share, place, stretch."""
+        """Free draws from a node of each stretch to its end: node, step, share, place, stretch, in order."""
         out = []
         stop = lattices.end[unit[units]]
         first = lattices.start[unit[units]]
         offset = begin[units]
-        while len(units):
+        at = np.arange(len(units))
+        while len(at):
             place = offset + node - first
             u = _uniform(seed_of, place).astype(np.float32)
-            step = (lattices.cumulative[node] <= u[:, None]).sum(axis=1) + 1
-            out.append((node, step, lattices.log_share(node, step, stop), place, units))
+            step = np.minimum((lattices.cumulative[node] <= u[:, None]).sum(axis=1) + 1, lattices.longest[node])
+            out.append((at, node, step, lattices.log_share(node, step, stop), place))
             node = node + step
             on = node < stop
-            units, node, seed_of, stop, first, offset = (a[on] for a in (units, node, seed_of, stop, first, offset))
+            at, node, seed_of, stop, first, offset = (a[on] for a in (at, node, seed_of, stop, first, offset))
         if not out:
             return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)] * 2
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        order = np.lexsort((columns[3], text_of[columns[4]]))
-        return [c[order] for c in columns]
+        steps = np.zeros(len(units), np.int64)
+        for turn in out:
+            steps[turn[0]] += 1
+        slots = offsets(steps)
+        columns = [np.empty(slots[-1], np.int64), np.empty(slots[-1], np.int64), np.empty(slots[-1]), np.empty(slots[-1], np.int64)]
+        for i, (of, *values) in enumerate(out):
+            for column, value in zip(columns, values, strict=True):
+                column[slots[of] + i] = value
+        return [*columns, np.repeat(units, steps)]
 
     def whole(parts):
         node, step, share, place, units = parts
@@ -271,8 +312,7 @@ def _branch(paths, which, where, open_, best, seeds, taken, lattices, unit, text
         path, t = paths[which[i]], int(where[i])
         node, place = int(path.node[t]), int(path.place[t])
         used = taken.setdefault((int(which[i]), t), [int(path.step[t])])
-        row = np.diff(np.minimum(lattices.cumulative[node].astype(float), 1.0), prepend=0.0)
-        row[lattices.id[node] < 0] *= lattices.id[node][0] < 0
+        row = np.diff(lattices.cumulative[node].astype(float), prepend=0.0)
         row[[s - 1 for s in used]] = 0
         left = np.cumsum(row)
         u = float(_uniform(seeds[i : i + 1], np.array([place]))[0]) * left[-1]
@@ -290,14 +330,15 @@ def _branch(paths, which, where, open_, best, seeds, taken, lattices, unit, text
         first = path.ends[i]
         kept.append((path, first, t))
         bends.append((node, step, share, place, i))
+        rest_units = np.arange(own + (node + step >= stop), ends[i + 1])
+        nodes = lattices.start[unit[rest_units]]
         if node + step < stop:
-            fresh_units.append(own)
-            fresh_nodes.append(node + step)
-        rest_units = np.arange(own + 1, ends[i + 1])
-        fresh_units.extend(rest_units)
-        fresh_nodes.extend(lattices.start[unit[rest_units]])
-    units = np.array(fresh_units, np.int64)
-    node, step, share, place, of = walk(units, np.array(fresh_nodes, np.int64), seeds[text_of[units]] if len(units) else np.zeros(0, np.uint64))
+            nodes[0] = node + step
+        fresh_units.append(rest_units)
+        fresh_nodes.append(nodes)
+    units = np.concatenate([np.zeros(0, np.int64), *fresh_units])
+    nodes = np.concatenate([np.zeros(0, np.int64), *fresh_nodes])
+    node, step, share, place, of = walk(units, nodes, seeds[text_of[units]] if len(units) else np.zeros(0, np.uint64))
     columns = [[node], [step], [share], [place], [text_of[of] if len(of) else of]]
     for path, low, high in kept:
         for c, a in zip(columns, (path.node, path.step, path.share, path.place, path.text), strict=True):
@@ -306,7 +347,7 @@ def _branch(paths, which, where, open_, best, seeds, taken, lattices, unit, text
         for c, a in zip(columns, zip(*bends, strict=True), strict=True):
             c.append(np.array(a))
     columns = [np.concatenate(c) for c in columns]
-    order = np.lexsort((columns[3], columns[4]))
+    order = np.argsort(columns[4].astype(np.int64) << 40 | columns[3].astype(np.int64), kind="stable")
     node, step, share, place, text = (c[order] for c in columns)
     new = _Paths(node.astype(np.int64), step.astype(np.int64), share, place.astype(np.int64), text.astype(np.int64), n)
     new.scatter(best, seeds, since)
@@ -326,6 +367,16 @@ def _ids(path: _Paths, lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
     return out, ends[path.ends]
 
 
+def _same(lists: list[np.ndarray], texts: list[bytes], vocabulary: Vocabulary) -> list[bool]:
+    """Whether each list of pieces spells its text, after the blank put before it."""
+    ids = np.concatenate([np.zeros(0, np.int32), *lists])
+    ends = offsets(vocabulary.length[ids])[offsets(np.fromiter(map(len, lists), np.int64, len(lists)))]
+    spelled = vocabulary.spell(ids).tobytes()
+    return [
+        spelled[low:high] == (b" " + text if text else b"") for low, high, text in zip(ends[:-1], ends[1:], texts, strict=True)
+    ]
+
+
 def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """One row per text and segmentation: doc_id, rank, n_pieces, log_prob, inclusion, ids, round_trip."""
     if k < 1:
@@ -343,7 +394,7 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
                 lists = [f[2] for f in flat]
                 ends = offsets(np.fromiter(map(len, lists), np.int64, len(lists))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
-                same = [vocabulary.decode(f[2].tolist()) == texts[f[0] - start] for f in flat]
+                same = _same(lists, [values[f[0] - start] or b"" for f in flat], vocabulary)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array([f[0] for f in flat], pa.int64())),
