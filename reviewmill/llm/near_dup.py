@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm.components import connected_components
@@ -98,8 +98,9 @@ def retained_values(sets: DataFrame, whole: bool = False) -> DataFrame:
     plus one rarest is shared. The values are sketches, or with ``whole`` the sets themselves.
     """
     values = sets.select("id", "n", F.explode("values").alias("value"))
-    listed = values.withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
-    shared = listed.groupBy("id").agg(
+    # Counted before the shuffle, and joined back, so that a value in very many sets can be split.
+    counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    shared = values.join(counts, "value").groupBy("id").agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
     )
     least = F.ceil(F.col("n") * PERCENT / 100).cast("int")
