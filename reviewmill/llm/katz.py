@@ -100,7 +100,7 @@ LONGS, INTS, FLOATS = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.fl
 
 def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """One row per block of texts: ids, train, lengths, and its words and tokens as packed arrays."""
-    types = {"block": pa.int64(), "ids": LONGS, "train": pa.list_(pa.bool_()), "n": INTS, "bounds": INTS}
+    types = {"block": pa.int64(), "ids": LONGS, "train": pa.list_(pa.bool_()), "n": INTS, "held": INTS, "bounds": INTS}
     types |= {"words": pa.binary(), "counts": pa.binary(), "tokens": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +120,7 @@ def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 place = np.empty(len(words), np.int64)
                 place[order] = np.arange(len(words))
                 tokens = place[tokens]
+                held, bounds = np.unique(bucket[order], return_index=True)
                 taught = np.repeat(np.array(train[start:end], bool), n)
                 counts = np.bincount(tokens[taught], minlength=len(words))
                 yield _row(
@@ -128,7 +129,8 @@ def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                         "ids": ids[start:end],
                         "train": train[start:end],
                         "n": n,
-                        "bounds": np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64)),
+                        "held": held.astype(np.int64),
+                        "bounds": np.append(bounds, len(words)),
                         "words": words[order].tobytes(),
                         "counts": pack(counts.astype(np.int32)),
                         "tokens": pack(tokens.astype(np.int32)),
@@ -139,8 +141,8 @@ def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
     return docs.mapInArrow(
         run,
-        "block bigint, ids array<bigint>, train array<boolean>, n array<int>, bounds array<int>, "
-        "words binary, counts binary, tokens binary",
+        "block bigint, ids array<bigint>, train array<boolean>, n array<int>, held array<int>, "
+        "bounds array<int>, words binary, counts binary, tokens binary",
     )
 
 
@@ -152,10 +154,9 @@ def count_words(tokens: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = np.frombuffer(row["words"], np.uint64), unpack(row["counts"], np.int32)
-                for b, (low, high) in enumerate(zip(row["bounds"][:-1], row["bounds"][1:], strict=True)):
-                    if high > low:
-                        packed = {"words": words[low:high].tobytes(), "counts": pack(counts[low:high])}
-                        yield _row({"bucket": b, "block": row["block"]} | packed, dealt_types)
+                for b, low, high in zip(row["held"], row["bounds"][:-1], row["bounds"][1:], strict=True):
+                    packed = {"words": words[low:high].tobytes(), "counts": pack(counts[low:high])}
+                    yield _row({"bucket": b, "block": row["block"]} | packed, dealt_types)
 
     types = {"block": pa.int64(), "bucket": pa.int32(), "ranks": pa.binary(), "c": pa.binary(), "sums": LONGS}
 
@@ -176,7 +177,7 @@ def count_words(tokens: DataFrame, buckets: int) -> DataFrame:
         out.append(_row({"block": -1, "bucket": bucket, "sums": [total.sum(), (total > 0).sum(), *often]}, types))
         return pa.Table.from_batches(out)
 
-    dealt = tokens.select("block", "bounds", "words", "counts").mapInArrow(
+    dealt = tokens.select("block", "held", "bounds", "words", "counts").mapInArrow(
         deal, "bucket int, block bigint, words binary, counts binary"
     )
     return dealt.groupBy("bucket").applyInArrow(
@@ -223,8 +224,9 @@ def word_pairs(tokens: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
         row = block.to_pylist()[0]
         size = row["bounds"][-1]
         number, c = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        bounds = dict(zip(row["held"], zip(row["bounds"][:-1], row["bounds"][1:], strict=True), strict=True))
         for r in numbers.to_pylist():
-            at = slice(row["bounds"][r["bucket"]], row["bounds"][r["bucket"] + 1])
+            at = slice(*bounds[r["bucket"]])
             number[at] = unpack(r["ranks"], np.int64) * model.buckets + r["bucket"] + 1
             c[at] = unpack(r["c"], np.int64)
         token, n = unpack(row["tokens"], np.int32), np.array(row["n"], np.int64)
@@ -254,21 +256,21 @@ def word_pairs(tokens: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
         seen = np.bincount(place, weights=taught, minlength=len(pair)).astype(np.int32)
         runs = np.bincount(place, minlength=len(pair))
         doc = doc[np.argsort(place, kind="stable")]
-        bounds, ends = np.searchsorted(bucket, np.arange(model.buckets + 1)), offsets(runs)
+        held, lows = np.unique(bucket, return_index=True)
+        ends = offsets(runs)
         info = {"ids": row["ids"], "train": row["train"], "n": n, "known": known.astype(int), "base": base, "own": own}
         out = [_row({"bucket": row["block"] % model.buckets, "block": row["block"]} | info, PAIR_TYPES)]
-        for b, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if high > low:
-                packed = {
-                    "h": pack(number[h[low:high]]),
-                    "w": pack(number[w[low:high]]),
-                    "cw": pack(c[w[low:high]]),
-                    "ch": pack(c[h[low:high]]),
-                    "seen": pack(seen[low:high]),
-                    "runs": pack(runs[low:high].astype(np.int32)),
-                    "docs": pack(doc[ends[low] : ends[high]].astype(np.int32)),
-                }
-                out.append(_row({"bucket": b, "block": row["block"]} | packed, PAIR_TYPES))
+        for b, low, high in zip(held, lows, np.append(lows, len(bucket))[1:], strict=True):
+            packed = {
+                "h": pack(number[h[low:high]]),
+                "w": pack(number[w[low:high]]),
+                "cw": pack(c[w[low:high]]),
+                "ch": pack(c[h[low:high]]),
+                "seen": pack(seen[low:high]),
+                "runs": pack(runs[low:high].astype(np.int32)),
+                "docs": pack(doc[ends[low] : ends[high]].astype(np.int32)),
+            }
+            out.append(_row({"bucket": int(b), "block": row["block"]} | packed, PAIR_TYPES))
         return pa.Table.from_batches(out)
 
     left = tokens.drop("words", "counts")
