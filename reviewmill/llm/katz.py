@@ -39,9 +39,9 @@ from reviewmill.llm.words import WordHashes, blocks, mix, offsets
 from reviewmill.scale import ensure_checkpoint_dir
 
 LARGE = 5
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 9 << 20
 # Bytes of text for each bucket of the tables.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 10 << 20
 END = 0x5BD1E995A5A5A5A5
 
 
