@@ -147,7 +147,33 @@ def op8_line_dedup(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE docs AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(doc_id, -1) % 18446744073709551616::HUGEINT AS key
+        FROM documents),
+    crc_table AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+                   lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    sized AS (
+        SELECT r, octet_length(encode(text)) + 1 AS size,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                       lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32
+        FROM docs, crc_table),
+    jumps AS (
+        SELECT r, n, key::HUGEINT AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM docs, (SELECT unnest([16, 17]) AS n)
+        UNION ALL
+        SELECT r, n, next, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((next // 8589934592) + 1)::DOUBLE))::BIGINT
+        FROM (SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS next FROM jumps WHERE j < n)),
+    shards AS (
+        SELECT r, max(b) FILTER (n = 16)::INTEGER AS shard, max(b) FILTER (n = 17)::INTEGER AS grown_shard FROM jumps WHERE j >= n GROUP BY r),
+    parts AS (
+        SELECT r, ((key * 2862933555777941757::HUGEINT + 1) % 4294967296::HUGEINT) // 4194304 AS part FROM docs)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+    FROM docs JOIN sized USING (r) JOIN shards USING (r) JOIN parts USING (r)
+    """
+)
 def op9_jump_sharding(spark, sf_dir):
     return sharding.assign(_documents(spark, sf_dir))
 
