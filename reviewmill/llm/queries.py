@@ -134,7 +134,30 @@ def op7_gumbel_segmentations(spark, sf_dir):
     return segmentation.encode(_documents(spark, sf_dir), MODEL, k=2)
 
 
-@query()
+@query(
+    rf"""
+    WITH cut AS (
+        SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS lines
+        FROM documents),
+    numbered AS (SELECT doc_id, i AS line_no, lines[i + 1] AS line FROM (SELECT *, unnest(range(len(lines))) AS i FROM cut)),
+    worded AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^{_BLANKS}]+') AS words FROM numbered),
+    placed AS (
+        SELECT doc_id, line_no, words, array_to_string(words, ' ') AS key, doc_id * 1000000 + line_no AS place FROM worded WHERE len(words) > 0),
+    firsts AS (SELECT key, any_value(words) AS words, min(place) AS place FROM placed GROUP BY key),
+    variants AS (
+        SELECT key, place, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS less, len(words) AS n
+        FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM firsts WHERE len(words) >= 8)),
+    near AS (
+        SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY n, i, less) AS earliest FROM variants) WHERE earliest < place
+        UNION
+        SELECT greatest(v.place, f.place) FROM variants v JOIN firsts f ON f.key = v.less AND len(f.words) >= 8),
+    gone AS (
+        SELECT p.doc_id, p.line_no FROM placed p JOIN firsts f USING (key)
+        WHERE p.place > f.place OR f.place IN (SELECT place FROM near)),
+    listed AS (SELECT doc_id, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) AS l FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(lines) AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(l, '') AS dropped_lines FROM cut LEFT JOIN listed USING (doc_id)
+    """
+)
 def op8_line_dedup(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     dropped = line_dedup.by_document(line_dedup.dropped_lines(docs))
