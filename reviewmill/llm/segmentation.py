@@ -123,8 +123,8 @@ class Lattices:
         left = np.repeat(self.end, lengths) - np.arange(size)
         symbols = np.where(self.code == ord(" "), BLANK, np.where(self.code == BLANK, 0x110000, self.code))
         symbols = (symbols + 1).astype(np.uint64)
-        self.weight = np.full((size, width), -np.inf, np.float32)
-        self.id = np.full((size, width), -1, np.int32)
+        weights = np.full((size, width), -np.inf, np.float32)
+        self.id = np.full((size, width), -1, np.int16 if len(vocabulary.bytes) < 1 << 15 else np.int32)
         at, h = np.arange(size), np.zeros(size, np.uint64)
         for n in range(1, width + 1):
             fits = left[at] >= n
@@ -139,12 +139,13 @@ class Lattices:
             hit = vocabulary.keys[found] == wanted
             ids, cell = vocabulary.ids[found[hit]], at[maybe[hit]] * width + (n - 1)
             self.id.ravel()[cell] = ids
-            self.weight.ravel()[cell] = vocabulary.weight[ids]
+            weights.ravel()[cell] = vocabulary.weight[ids]
             more = vocabulary.prefix[slot]
             at, h = at[more], h[more]
         self.bytes = 1 + (self.code >= 0x80) + (self.code >= 0x800) + (self.code >= 0x10000)
         spelled = np.flatnonzero(self.id[:, 0] < 0)
-        self.weight[spelled, 0] = self.bytes[spelled] * vocabulary.byte_weight
+        weights[spelled, 0] = self.bytes[spelled] * vocabulary.byte_weight
+        self.vocabulary = vocabulary
         # Log mass of all paths from a node to its stretch's end, the nodes nearest to an end first.
         self.mass = np.zeros(size + 1)
         self.cumulative = np.zeros((size, width), np.float32)
@@ -152,12 +153,12 @@ class Lattices:
         if not size:
             return
         order = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
-        cell = np.flatnonzero(self.weight[order].ravel() > -np.inf)
+        cell = np.flatnonzero((weights > -np.inf)[order])
         at, column = np.divmod(cell, width) if width & width - 1 else (cell >> width.bit_length() - 1, cell & width - 1)
         edges = offsets(np.bincount(at, minlength=size))
         at = order[at]
         cell = at * width + column
-        weight, onward = self.weight.ravel()[cell].astype(float), at + column + 1
+        weight, onward = weights.ravel()[cell].astype(float), at + column + 1
         ends = column + 1 == left[at]
         share = np.empty(len(at))
         bounds = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
@@ -180,7 +181,9 @@ class Lattices:
     def log_share(self, node: np.ndarray, step: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of taking the piece of ``step`` characters at a node."""
         onward = np.where(node + step == end, 0.0, self.mass[node + step])
-        return np.minimum(self.weight[node, step - 1] + onward - self.mass[node], 0.0)
+        piece = self.id[node, step - 1]
+        weight = np.where(piece < 0, self.bytes[node] * self.vocabulary.byte_weight, self.vocabulary.weight[piece])
+        return np.minimum(weight.astype(np.float32) + onward - self.mass[node], 0.0)
 
 
 def _uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
