@@ -37,7 +37,7 @@ from reviewmill.llm.words import blocks, mix, offsets
 
 SHARPNESS = 0.5
 SEED = 1
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 STRETCH = re.compile(r" *[^ \n]+| +|\n")
 # Fixed values of the model format: the visible blank, and the first byte piece's id.
 BLANK = 0x2581

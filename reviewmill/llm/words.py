@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 BLOCK_BYTES = 4 << 20
@@ -31,15 +32,14 @@ class WordHashes(dict):
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list]]:
     """(first row, row after the last, UTF-8 values) of stretches of about ``limit`` bytes."""
-    values = batch.column(column).cast(pa.binary()).to_pylist()
-    start = size = 0
-    for i, value in enumerate(values):
-        size += len(value or b"")
-        if size >= limit:
-            yield start, i + 1, values[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(values):
-        yield start, len(values), values[start:]
+    values = batch.column(column).cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy())
+    start = 0
+    while start < len(values):
+        done = ends[start - 1] if start else 0
+        end = min(len(values), int(np.searchsorted(ends, done + limit)) + 1)
+        yield start, end, values.slice(start, end - start).to_pylist()
+        start = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
