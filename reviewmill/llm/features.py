@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,18 @@ def features(values: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray
     return np.concatenate([row, row[1:][inside]]), np.concatenate([words, pairs]).astype(np.int64)
 
 
-def class_counts(docs: DataFrame, n_classes: int) -> DataFrame:
+def class_counts(docs: DataFrame, n_classes: int, label: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """(bucket, counts): how often each bucket occurs in the documents of each class.
 
-    ``docs`` has text and ``cls``, an int; rows of a null class count in none but are part of
-    the last element, which counts all documents.
+    ``label`` gives the classes of a batch's rows; rows of class -1 count in none but are part of the
+    last count, that of all documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         counts = np.zeros((n_classes + 1, BUCKETS), np.int64)
         for batch in batches:
-            cls = batch.column("cls").fill_null(-1).to_numpy()
+            cls = label(batch)
             for start, end, values in blocks(batch):
                 row, bucket = features(values, hashes)
                 counts[n_classes] += np.bincount(bucket, minlength=BUCKETS)
@@ -54,7 +54,7 @@ def class_counts(docs: DataFrame, n_classes: int) -> DataFrame:
         )
 
     columns = ", ".join(f"c{c} bigint" for c in range(n_classes + 1))
-    partial = docs.select("cls", "text").mapInArrow(run, f"bucket bigint, {columns}")
+    partial = docs.mapInArrow(run, f"bucket bigint, {columns}")
     return partial.groupBy("bucket").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(n_classes + 1)))
 
 

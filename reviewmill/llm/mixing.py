@@ -92,16 +92,16 @@ def fit(docs: DataFrame, ids: np.ndarray, domains: list[str]) -> tuple[np.ndarra
     """Log probability of each bucket in each domain, and the domains' shares."""
     known = docs.sparkSession.sparkContext.broadcast(ids)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {d: i for i, d in enumerate(domains)}
-        for batch in batches:
-            own = batch.column("doc_id")
-            labelled = np.isin(own.fill_null(0).to_numpy(), known.value) & own.is_valid().to_numpy(False)
-            cls = [place.get(d, -1) if m else -1 for d, m in zip(batch.column("domain").to_pylist(), labelled, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), batch.column("text")], ["cls", "text"])
+    place = {d: i for i, d in enumerate(domains)}
+
+    def label(batch: pa.RecordBatch) -> np.ndarray:
+        own = batch.column("doc_id")
+        labelled = np.isin(own.fill_null(0).to_numpy(), known.value) & own.is_valid().to_numpy(False)
+        cls = [place.get(d, -1) if m else -1 for d, m in zip(batch.column("domain").to_pylist(), labelled, strict=True)]
+        return np.array(cls, np.int64)
 
     n = len(domains)
-    counts = collect_counts(class_counts(docs.mapInArrow(mark, "cls int, text string"), n), n)
+    counts = collect_counts(class_counts(docs, n, label), n)
     overall = (counts[n] + 1) / (counts[n].sum() + BUCKETS)
     own = counts[:n]
     size = own.sum(axis=1, keepdims=True)

@@ -48,12 +48,10 @@ def fit(docs: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts of the target documents and of all; ``docs`` has doc_id and text."""
     known = docs.sparkSession.sparkContext.broadcast(target)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = np.where(_among(batch.column("doc_id"), known.value), 0, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), batch.column("text")], ["cls", "text"])
+    def label(batch: pa.RecordBatch) -> np.ndarray:
+        return np.where(_among(batch.column("doc_id"), known.value), 0, -1)
 
-    wanted, raw = collect_counts(class_counts(docs.mapInArrow(mark, "cls int, text string"), 1), 1)
+    wanted, raw = collect_counts(class_counts(docs, 1, label), 1)
     return wanted, raw
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.words import blocks
+from reviewmill.llm.words import CACHED_WORDS, blocks
 from reviewmill.scale import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -174,7 +174,7 @@ class _Terms(dict):
     """Remembers the term hash of each word, for a bounded number of words; 0 for words without one."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         term = term_of(word.decode())
         value = self[word] = _number(term) if term else 0

@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK_BYTES = 4 << 20
-CACHED_WORDS = 300_000
+BLOCK_BYTES = 2 << 20
+CACHED_WORDS = 150_000
 
 
 class WordHashes(dict):
