@@ -1,16 +1,25 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed words and word pairs, one of target text and one of the raw corpus,
-give each document its importance weight, the ratio of its likelihoods. Documents are then drawn
+give each document its importance weight, the ratio of its likelihoods. Both are models of one
+language, so a document isn't weighed by how often its language was labelled. Documents are then drawn
 without replacement in proportion to a power of their weights by Gumbel top-k: a random Gumbel number,
 fixed by the document's id, is added to the log weight, and the k largest sums stay.
 
 The target model learns from at most ``LABELLED`` documents labelled good, the first by a hash of
-their ids; the raw model and the weights cover every document.
+their ids; the raw model and the weights cover every document. Smoothing is a share of the target
+model's size, and each bucket's log ratio counts as far as its counts are evidence of a difference.
+
+A log weight is compared with those of the labelled documents of its language and length: the bound is
+the one ``REJECTED`` of them lie below, in units of the root of the length. Lengths are classes of
+powers of two; a class of fewer than ``LEAST_LABELLED`` labelled documents takes the bound of its
+language, a language of fewer that of all. The draw goes by the distance from the bound.
 
 Defined cases: a null or empty text has the weight 1 (log 0); without any labelled document every
-weight is 1 and all documents stay; a null id draws like any other and keeps its row; repeated rows
-share their draw. Other columns are not read; empty tables give empty results.
+weight is 1 and all documents stay, and so do those of a language without one; null languages are a
+language, and those beyond the ``LANGUAGES`` - 1 most frequent share one model; a null id draws like any
+other and keeps its row; repeated rows share their draw. Other columns are not read; a table without
+the language column is of one language; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,10 +37,14 @@ from reviewmill.llm.words import WordHashes, blocks
 from reviewmill.scale import cut_lineage
 
 LABELLED = 50_000
-# Occurrences, in expectation, at which a bucket counts half against equal odds.
-SMOOTHING = 100.0
-# The log weight from which on a document counts as target text when the draw's size is not given.
-LEAST = -3.0
+# Smoothing, as a share of the occurrences the target model holds.
+SMOOTHING = 1e-5
+# Squared standard errors from equal odds at which a bucket's log ratio counts a quarter.
+EVIDENCE = 4.0
+# The share of labelled documents below the bound, when the draw's size is not given.
+REJECTED = 0.02
+LEAST_LABELLED = 20
+LANGUAGES = 64
 # The power of the weights is 1 / TEMPERATURE.
 TEMPERATURE = 1.0
 SEED = 42
@@ -44,15 +57,21 @@ def bounded_ids(labelled: DataFrame, limit: int) -> np.ndarray:
     return np.sort(rows["doc_id"].to_numpy(np.int64))
 
 
-def fit(docs: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of the target documents and of all; ``docs`` has doc_id and text."""
+def languages(docs: DataFrame) -> list[str | None]:
+    """The values of lang that have a model of their own; the others share one."""
+    rows = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES - 1)
+    return [r["lang"] for r in rows.collect()]
+
+
+def fit(docs: DataFrame, target: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket counts of the target documents and of all, by language; ``docs`` has doc_id, text and lang's place."""
     known = docs.sparkSession.sparkContext.broadcast(target)
 
     def label(batch: pa.RecordBatch) -> np.ndarray:
-        return np.where(_among(batch.column("doc_id"), known.value), 0, -1)
+        return 2 * batch.column("lang").to_numpy() + ~_among(batch.column("doc_id"), known.value)
 
-    wanted, raw = collect_counts(class_counts(docs, 1, label), 1)
-    return wanted, raw
+    counts = collect_counts(class_counts(docs, 2 * n_langs, label), 2 * n_langs)[:-1]
+    return counts[0::2], counts[0::2] + counts[1::2]
 
 
 def _among(ids: pa.Array, known: np.ndarray) -> np.ndarray:
@@ -60,7 +79,7 @@ def _among(ids: pa.Array, known: np.ndarray) -> np.ndarray:
 
 
 def weights(docs: DataFrame, target: np.ndarray, wanted: np.ndarray, raw: np.ndarray) -> DataFrame:
-    """doc_id, n_features and log_weight of every row, under models of all documents but its own.
+    """doc_id, lang, labelled, n_features and log_weight of every row, under models of all documents but its own.
 
     Leaving a document's own counts out treats labelled and other documents alike.
     """
@@ -69,22 +88,46 @@ def weights(docs: DataFrame, target: np.ndarray, wanted: np.ndarray, raw: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         ids, good, every = model.value
-        share = good.sum() / max(every.sum(), 1)
+        size = good.sum(axis=1)
+        shares = size / np.maximum(every.sum(axis=1), 1)
         for batch in batches:
-            member = _among(batch.column("doc_id"), ids)
+            member, langs = _among(batch.column("doc_id"), ids), batch.column("lang").to_numpy()
             for start, end, values in blocks(batch):
                 row, bucket = features(values, hashes)
                 cells, own = np.unique(row * BUCKETS + bucket, return_counts=True)
                 row, bucket = cells // BUCKETS, cells % BUCKETS
-                seen = np.maximum(good[bucket] - own * member[start:end][row], 0)
-                expected = np.maximum(every[bucket] - own, 0) * share
-                ratio = np.log((seen + SMOOTHING) / (expected + SMOOTHING))
+                lang = langs[start:end][row]
+                share, smooth = shares[lang], SMOOTHING * np.maximum(size[lang], 1)
+                seen = np.maximum(good[lang, bucket] - own * member[start:end][row], 0)
+                expected = np.maximum(every[lang, bucket] - own, 0) * share
+                # 0.5 stands for the spread of counts near 0.
+                errors = (seen - expected) ** 2 / (expected * (1 - share) + 0.5)
+                ratio = np.log((seen + smooth) / (expected + smooth)) * (errors / (errors + EVIDENCE)) ** 2
                 sums = np.bincount(row, weights=own * ratio, minlength=len(values)).astype(float)
                 counts = np.bincount(row, weights=own, minlength=len(values)).astype(np.int64)
-                part = batch.column("doc_id").slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part, pa.array(counts), pa.array(sums)], ["doc_id", "n_features", "log_weight"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n_features bigint, log_weight double")
+                columns = [batch.column(c).slice(start, end - start) for c in ("doc_id", "lang")]
+                columns += [pa.array(member[start:end]), pa.array(counts), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "labelled", "n_features", "log_weight"])
+
+    return docs.mapInArrow(run, "doc_id bigint, lang int, labelled boolean, n_features bigint, log_weight double")
+
+
+def above_bound(scored: DataFrame) -> DataFrame:
+    """The rows with ``above``: how far the log weight lies above the bound of its language and length."""
+    root = F.sqrt(F.col("n_features").cast("double"))
+    length = F.length(F.bin("n_features"))
+    units = scored.where("labelled AND n_features > 0").select("lang", length.alias("length"), (F.col("log_weight") / root).alias("u"))
+    known = units.rollup("lang", "length").agg(F.percentile("u", F.lit(REJECTED)).alias("u"), F.count("*").alias("n")).collect()
+    bounds = {(r["lang"], r["length"]): r["u"] for r in known if r["n"] >= LEAST_LABELLED or r["lang"] is None}
+    # At most LANGUAGES times 64 rows.
+    rows = [
+        (lang, size, bounds.get((lang, size), bounds.get((lang, None), bounds[None, None])))
+        for lang in sorted({r["lang"] for r in known if r["lang"] is not None})
+        for size in range(1, 65)
+    ]
+    table = scored.sparkSession.createDataFrame(rows, "lang int, length int, bound double")
+    joined = scored.withColumn("length", length).join(F.broadcast(table), ["lang", "length"], "left")
+    return joined.withColumn("above", F.col("log_weight") - F.coalesce("bound", F.lit(0.0)) * root)
 
 
 def resample(
@@ -95,22 +138,30 @@ def resample(
     text_col: str = "text",
     temperature: float = TEMPERATURE,
     seed: int = SEED,
+    lang_col: str = "lang",
 ) -> DataFrame:
     """doc_id, n_features, log_weight, key and kept of every row.
 
-    Without ``k`` as many documents are drawn as are likelier under the target model than under the
-    raw one. ``key`` is the perturbed log weight in units of 2**-20; the k largest are kept.
+    Without ``k`` as many documents are drawn as lie on or above their bounds. ``key`` is the perturbed
+    distance of the log weight from its bound in units of 2**-20; the k largest are kept.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
     target = bounded_ids(labelled, LABELLED)
-    wanted, raw = fit(source, target)
+    known = languages(source)
+    place = F.lit(len(known))
+    for i, name in enumerate(known):
+        place = F.when(F.col("lang").eqNullSafe(F.lit(name)), i).otherwise(place)
+    source = source.withColumn("lang", place.cast("int"))
+    wanted, raw = fit(source, target, len(known) + 1)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     gumbel = -F.log(-F.log(uniform))
-    scored = cut_lineage(
-        weights(source, target, wanted, raw)
-        .withColumn("key", F.floor((F.col("log_weight") / temperature + gumbel) * (1 << 20)).cast("bigint"))
+    scored = (
+        above_bound(cut_lineage(weights(source, target, wanted, raw)))
+        .withColumn("key", F.floor((F.col("above") / temperature + gumbel) * (1 << 20)).cast("bigint"))
         .withColumn("tie", F.xxhash64("doc_id", "log_weight", F.lit(seed + 1)))
     )
     if k is None:
-        k = scored.where(F.col("log_weight") >= LEAST).count()
-    return scored.withColumn("kept", largest(scored, k, ["key", "tie"])).drop("tie")
+        k = scored.where("above >= 0").count()
+    drawn = scored.withColumn("kept", largest(scored, k, ["key", "tie"]))
+    return drawn.select("doc_id", "n_features", "log_weight", "key", "kept")

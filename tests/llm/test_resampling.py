@@ -48,6 +48,28 @@ def test_edge_cases(spark, documents):
     assert zero.where("kept").count() == 0
 
 
+@pytest.mark.parametrize("n", [600, 2400])
+def test_toxic_documents_go_and_clean_ones_of_each_language_stay(spark, documents, prose, n):
+    random_ = random.Random(n)
+    rows, good, toxic = [], [], []
+    for i in range(n):
+        lang = "de" if i % 4 == 0 else "en"  # one in six of the one is labelled, four in six of the other
+        words = [lang + w for w in prose(i, random_.choice([30, 120, 500]))]
+        if i % 10 == 7:
+            toxic.append(i)
+            for _ in range(6):
+                words.insert(random_.randrange(len(words)), random_.choice(["trash", "scum", "idiot", "moron"]))
+        elif i // 4 % 6 < (1 if lang == "de" else 4):
+            good.append((i,))
+        rows.append((i, " ".join(words), lang))
+    labelled = spark.createDataFrame(good, "doc_id bigint")
+    got = {r["doc_id"]: r["kept"] for r in resampling.resample(documents(rows), labelled).collect()}
+    assert sum(got[i] for i in toxic) <= 0.1 * len(toxic)
+    for lang in ("de", "en"):
+        clean = [got[i] for i, _, of in rows if of == lang and i not in toxic]
+        assert sum(clean) >= 0.9 * len(clean), lang
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 50, 199, 200, 500])
 def test_largest_equals_a_sort(spark, k):
     random_ = random.Random(k)
