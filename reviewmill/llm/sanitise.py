@@ -8,7 +8,7 @@ are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever
 with the entity they reveal.
 
 Only terms seen with an entity in ``SUPPORT`` lines of different texts count, so copies of a line are
-no evidence. Terms are counted over all texts, occurrence by occurrence.
+no evidence. Terms, entities, pairs and the total are all counted in different lines.
 
 Defined cases: a null or empty text has no spans; a null id keeps its row; repeated rows get the same
 spans; other columns are not read; empty tables give empty results. Offsets are code points.
@@ -34,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.95
+# Places of a term's hash among the terms whose lines are counted exactly.
+PLACES = 1 << 24
 
 # What the patterns' parts accept.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -135,9 +137,9 @@ def _near(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int,
     return taken[max(0, low - len(KINDS)) : high]
 
 
-def _number(text: str) -> int:
-    """A signed 64-bit hash."""
-    return int.from_bytes(xxhash.xxh64_digest(text.encode()), "big", signed=True)
+def _number(text: str | bytes) -> int:
+    """A signed 64-bit hash, of text as UTF-8."""
+    return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -181,33 +183,73 @@ class _Terms(dict):
         return value
 
 
+def _line_terms(values: list[bytes | None], hashes: _Terms) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different lines of a block; the different terms of each, and the place of their line."""
+    lines = list({line for v in values for line in (v or b"").split(b"\n")})
+    found = [{hashes[w] for w in line.split()} for line in lines]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    terms = np.fromiter((t for own in found for t in own), np.int64, int(lengths.sum()))
+    return lines, terms, np.repeat(np.arange(len(lines)), lengths)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): occurrences over all texts, added up in each block before the shuffle."""
+    """(term, n): in how many different lines of a block a term stands, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Terms()
         for batch in batches:
             for _, _, values in blocks(batch):
-                found = [w for v in values for w in (v or b"").split()]
-                terms, n = np.unique(np.fromiter(map(hashes.__getitem__, found), np.int64, len(found)), return_counts=True)
+                terms, n = np.unique(_line_terms(values, hashes)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term bigint, n bigint")
 
 
+def term_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_term): in how many different lines each wanted term stands."""
+    places = wanted.select(F.pmod("term", F.lit(PLACES)).cast("int").alias("at")).distinct().toPandas()["at"]
+    among = np.zeros(PLACES, bool)
+    among[places.to_numpy(np.int64)] = True
+    among = docs.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Terms()
+        for batch in batches:
+            for _, _, values in blocks(batch):
+                lines, terms, at = _line_terms(values, hashes)
+                kept = among.value[terms % PLACES]
+                terms, at = terms[kept], at[kept]
+                numbers = {i: _number(lines[i]) for i in set(at.tolist())}
+                of = np.fromiter((numbers[i] for i in at.tolist()), np.int64, len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(of)], ["term", "line"])
+
+    rows = docs.select("text").mapInArrow(run, "term bigint, line bigint").distinct()
+    return rows.groupBy("term").agg(F.count("*").alias("n_term"))
+
+
+def _disclosure(n_term: Column, lines: int) -> Column:
+    own = -F.log(F.col("n_entity") / F.lit(float(lines)))
+    both = F.log(F.col("n_both") * F.lit(float(lines)) / (F.greatest(n_term, F.col("n_both")) * F.col("n_entity")))
+    return F.when(own > 0, both / own).otherwise(F.lit(0.0))
+
+
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity beyond ``GENERALISE``."""
+    """(entity, term, disclosure) of the terms that reveal an entity beyond ``GENERALISE``.
+
+    A term stands in at least as many lines as in any one block; only the terms that this leaves open
+    are counted line by line over all texts.
+    """
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line")).distinct().count() or 1
     seen = found.select(F.explode("around").alias("a")).select("a.entity", "a.line", "a.term").distinct()
-    lines = seen.groupBy("entity").agg(F.countDistinct("line").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    entity = seen.groupBy("entity").agg(F.countDistinct("line").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = cut_lineage(pairs.join(lines, "entity"))
-    wanted = pairs.select("term").distinct()
-    counts = term_counts(docs).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    texts = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1
-    own = -F.log(F.col("n_entity") / F.lit(float(texts)))
-    both = F.log(F.col("n_both") * F.lit(float(texts)) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    share = F.when(own > 0, both / own).otherwise(F.lit(0.0))
-    scored = pairs.join(counts, "term").select("entity", "term", share.alias("disclosure"))
+    pairs = cut_lineage(pairs.join(entity, "entity"))
+    counts = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
+    counts = counts.groupBy("term").agg(F.max("n").alias("least"))
+    possible = pairs.join(counts, "term").where(_disclosure(F.col("least"), lines) >= GENERALISE)
+    possible = cut_lineage(possible.drop("least"))
+    scored = possible.join(term_lines(docs, possible), "term")
+    scored = scored.select("entity", "term", _disclosure(F.col("n_term"), lines).alias("disclosure"))
     return scored.where(F.col("disclosure") >= GENERALISE)
 
 

@@ -61,6 +61,16 @@ def test_copies_of_a_line_are_no_evidence(documents):
     assert all(r["terms"] is None and r["n_email"] == 1 for r in got)
 
 
+def test_copies_of_revealing_lines_change_no_span(documents, prose):
+    told = [f"Kingfisher {' '.join(prose(-i, 5))} spy@mail.example, Kingfisher!" for i in range(1, 4)]
+    other = [(100 + i, " ".join(prose(i, 12))) for i in range(2000)]
+    once = {r["doc_id"]: r["spans"] for r in sanitise.find(documents([*enumerate(told), *other])).collect()}
+    rows = [(i, text) for i, text in enumerate(told) for _ in range(40)]
+    copied = sanitise.find(documents([*rows, *other])).collect()
+    assert all(once[i].count("term:") == 2 for i in range(3))
+    assert len(copied) == 2120 and {(r["doc_id"], r["spans"]) for r in copied} == set(once.items())
+
+
 def test_sanitised_texts(documents):
     table = documents(rows() + [(None, "a@b.c x"), (7, None), (8, "")])
     got = {r["doc_id"]: r["text"] for r in sanitise.sanitised(table, sanitise.find(table)).collect()}
