@@ -7,8 +7,13 @@ share of it that a term reveals is its disclosure, 1 if the term occurs with thi
 are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they stand in a line
 with the entity they reveal.
 
-Only terms seen with an entity in ``SUPPORT`` lines of different texts count, so copies of a line are
-no evidence. Terms, entities, pairs and the total are all counted in different lines.
+An entity is protected at two levels, its value and what values share: the domain, the network, the
+issuer, or the number without its last four digits.
+
+A term counts if it stands with the entity more often than chance explains: the probability of that
+many common lines, bounded by Chernoff's inequality, times the number of all pairs of a term and an
+entity, is at most ``CHANCE``. Copies of a line are one line and so no evidence. Terms, entities, pairs
+and the total are all counted in different lines.
 
 Defined cases: a null or empty text has no spans; a null id keeps its row; repeated rows get the same
 spans; other columns are not read; empty tables give empty results. Offsets are code points.
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,11 +37,14 @@ from reviewmill.llm.words import CACHED_WORDS, blocks
 from reviewmill.scale import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT = 3
+# Pairs that chance may add, in expectation.
+CHANCE = 0.05
 GENERALISE = 0.85
 REMOVE = 0.95
 # Places of a term's hash among the terms whose lines are counted exactly.
 PLACES = 1 << 24
+# One line in so many, by its hash, bounds from below in how many lines a term stands.
+SAMPLE = 32
 
 # What the patterns' parts accept.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -108,6 +117,13 @@ def term_of(word: str) -> str:
     return word.strip(EDGES).encode().lower().decode()
 
 
+def _shared(kind: int, value: str) -> str:
+    """What an entity shares with others: domain, network, issuer, or number without its last four digits."""
+    if kind < 2:
+        return value.rpartition("@")[2] if kind == 0 else value.rpartition(".")[0]
+    return value[:6] if kind == 2 else value[:-4]
+
+
 def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """The terms in the lines of entities: entity, line and term as hashes, and where the term stands."""
     out = []
@@ -116,7 +132,7 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     for kind, start, end in spans:
         bounds = text.rfind("\n", 0, start) + 1, text.find("\n", end)
         value = re.sub(r"[^0-9]", "", text[start:end]) if kind > 1 else text[start:end].lower()
-        lines.setdefault(bounds, set()).add(_number(f"{kind}:{value}"))
+        lines.setdefault(bounds, set()).update((_number(f"{kind}:{value}"), _number(f"{kind}/{_shared(kind, value)}")))
     for (start, end), entities in lines.items():
         end = len(text) if end < 0 else end
         line = _number(text[start:end])
@@ -193,16 +209,21 @@ def _line_terms(values: list[bytes | None], hashes: _Terms) -> tuple[list[bytes]
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): in how many different lines of a block a term stands, block by block."""
+    """(term, least): every term, and in how many of the different lines sampled by hash it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Terms()
         for batch in batches:
             for _, _, values in blocks(batch):
-                terms, n = np.unique(_line_terms(values, hashes)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "n"])
+                lines, terms, at = _line_terms(values, hashes)
+                numbers = np.fromiter(map(_number, lines), np.int64, len(lines))
+                every, sampled = np.unique(terms), numbers[at] % SAMPLE == 0
+                of = [pa.nulls(len(every), pa.int64()), pa.array(numbers[at[sampled]])]
+                columns = [pa.array(np.concatenate([every, terms[sampled]])), pa.concat_arrays(of)]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "line"])
 
-    return docs.select("text").mapInArrow(run, "term bigint, n bigint")
+    rows = docs.select("text").mapInArrow(run, "term bigint, line bigint").distinct()
+    return rows.groupBy("term").agg(F.count("line").alias("least"))
 
 
 def term_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -233,24 +254,35 @@ def _disclosure(n_term: Column, lines: int) -> Column:
     return F.when(own > 0, both / own).otherwise(F.lit(0.0))
 
 
+def _chance(n_term: Column, lines: int) -> Column:
+    """Log of a bound on the probability of n_both lines or more among the n_term of a term."""
+    n = F.greatest(n_term, F.col("n_both")).cast("double")
+    share, odds = F.col("n_both") / n, F.col("n_entity") / F.lit(float(lines))
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - odds))).otherwise(F.lit(0.0))
+    return F.when(share > odds, -n * (share * F.log(share / odds) + rest)).otherwise(F.lit(0.0))
+
+
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity beyond ``GENERALISE``.
 
-    A term stands in at least as many lines as in any one block; only the terms that this leaves open
-    are counted line by line over all texts.
+    A term stands in at least as many lines as among the sampled ones; only the terms that this leaves
+    open are counted line by line over all texts.
     """
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line")).distinct().count() or 1
+    counts = cut_lineage(term_counts(docs))
     seen = found.select(F.explode("around").alias("a")).select("a.entity", "a.line", "a.term").distinct()
-    entity = seen.groupBy("entity").agg(F.countDistinct("line").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = cut_lineage(pairs.join(entity, "entity"))
-    counts = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
-    counts = counts.groupBy("term").agg(F.max("n").alias("least"))
-    possible = pairs.join(counts, "term").where(_disclosure(F.col("least"), lines) >= GENERALISE)
+    entity = cut_lineage(seen.groupBy("entity").agg(F.countDistinct("line").alias("n_entity")))
+    tests = max(counts.count(), 1) * max(entity.count(), 1)
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(entity, "entity")
+
+    def revealing(n_term: Column) -> Column:
+        return (_disclosure(n_term, lines) >= GENERALISE) & (_chance(n_term, lines) <= math.log(CHANCE / tests))
+
+    pairs = pairs.where(revealing(F.col("n_both")))
+    possible = pairs.join(counts, "term").where(revealing(F.greatest("least", "n_both")))
     possible = cut_lineage(possible.drop("least"))
-    scored = possible.join(term_lines(docs, possible), "term")
-    scored = scored.select("entity", "term", _disclosure(F.col("n_term"), lines).alias("disclosure"))
-    return scored.where(F.col("disclosure") >= GENERALISE)
+    scored = possible.join(term_lines(docs, possible), "term").where(revealing(F.col("n_term")))
+    return scored.select("entity", "term", _disclosure(F.col("n_term"), lines).alias("disclosure"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

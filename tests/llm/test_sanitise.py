@@ -71,6 +71,16 @@ def test_copies_of_revealing_lines_change_no_span(documents, prose):
     assert len(copied) == 2120 and {(r["doc_id"], r["spans"]) for r in copied} == set(once.items())
 
 
+def test_few_lines_are_evidence_as_far_as_chance_allows(documents, prose):
+    told = ["Kingfisher {} spy@mail.example", "Osprey {} owl@birds.example", "Osprey {} jay@birds.example", "Single {} one@lone.example"]
+    rows = [(i, told[k].format(" ".join(prose(-i, 4)))) for i, k in enumerate([0, 0, 1, 2, 3])]
+    rows += [(100 + i, " ".join(prose(i, 12))) for i in range(2000)]
+    got = {r["doc_id"]: r for r in sanitise.find(documents(rows)).collect()}
+    terms = [[rows[i][1][t["start"] : t["end"]] for t in got[i]["terms"] or []] for i in range(5)]
+    assert terms == [["Kingfisher"], ["Kingfisher"], ["Osprey"], ["Osprey"], []]
+    assert all(r["terms"] is None for i, r in got.items() if i >= 100)
+
+
 def test_sanitised_texts(documents):
     table = documents(rows() + [(None, "a@b.c x"), (7, None), (8, "")])
     got = {r["doc_id"]: r["text"] for r in sanitise.sanitised(table, sanitise.find(table)).collect()}
