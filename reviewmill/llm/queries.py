@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import katz, knn, line_dedup, mixing, near_dup, quality_rules, resampling, sanitise, segmentation, sharding
+from reviewmill.llm import (
+    byte_bpe,
+    clustering,
+    hard_negatives,
+    katz,
+    knn,
+    line_dedup,
+    mixing,
+    near_dup,
+    quality_rules,
+    resampling,
+    sanitise,
+    segmentation,
+    sharding,
+)
 
 # The model file; executors get its pieces from the driver.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -205,3 +220,84 @@ def op9_jump_sharding(spark, sf_dir):
 def op10_soft_mixing(spark, sf_dir):
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     return mixing.mix(_documents(spark, sf_dir), good, least=1.0)
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query(
+    f"""
+    WITH points AS (
+        SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_SOUND}),
+    scored AS (
+        SELECT q.r AS anchor, q.vec_id AS anchor_id, q.label = x.label AS same, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+        FROM points q JOIN points x ON q.r <> x.r WHERE q.vec_id % 100 = 0),
+    positives AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM scored WHERE same)
+        WHERE place <= 5),
+    pairs AS (
+        SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+        FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM pairs WHERE rank <= 5
+    """
+)
+def op11_inverted_multi_index(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", changed), F.col("id") % 100 == 0)
+
+
+@query()
+def op12_byte_level_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
+    encoded = byte_bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def _rounds_sql(n: int) -> str:
+    """The common tables of n rounds and of the assignment after them: a0, c1, a1, ... of centroids c0."""
+    far = "list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.v) + list_dot_product(c.v, c.v)"
+    parts = []
+    for i in range(n + 1):
+        parts.append(
+            f"a{i} AS MATERIALIZED (SELECT p.r, min((({far})::BIGINT, c.c)) AS best FROM points p, c{i} c GROUP BY p.r)"
+        )
+        if i < n:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (
+        SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+            SELECT c, list(floor(s / n) ORDER BY d) AS v FROM (
+                SELECT c, d, sum(x) AS s, count(*) AS n FROM (
+                    SELECT best[2] AS c, unnest(p.v) AS x, unnest(range(len(p.v))) AS d FROM a{i} JOIN points p USING (r)) GROUP BY c, d)
+            GROUP BY c) m USING (c))"""
+            )
+    return ",\n    ".join(parts)
+
+
+@query(
+    f"""
+    WITH points AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}),
+    c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM points ORDER BY sha256('2:' || vec_id), v LIMIT 40),
+    {_rounds_sql(5)},
+    found AS (SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance FROM a5 JOIN points USING (r))
+    SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(list_transform(c5.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+    FROM found JOIN c5 ON c5.c = found.cluster
+    """
+)
+def op13_threshold_clusters(spark, sf_dir):
+    assigned, centroids = clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return clustering.with_inertia(spark, assigned, centroids)

@@ -65,4 +65,4 @@ def test_run_equals_its_stages(spark, folder):
 def test_registered():
     names = entry_point.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names)
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
