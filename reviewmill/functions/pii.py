@@ -6,10 +6,12 @@ Java's ``\\b`` counts combining marks as word characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewmill.functions.text import BLANK, WORD, bind, strip
+from reviewmill.functions.text import BLANK, WORD, bind, is_ascii, strip
 
 _EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _START = rf"(?<![{WORD}])"
@@ -19,11 +21,11 @@ _D = r"\p{Nd}"
 
 # Personal-data patterns, in the order they are replaced.
 LINK = rf"(?iu)https?://[^{BLANK}<>\"']+|www\.[^{BLANK}<>\"']+"
-EMAIL = rf"{_EDGE}[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_END}"
+EMAIL = rf"{_EDGE}[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_END}"
 HANDLE = rf"(?<![A-Za-z0-9_])@[A-Za-z0-9_]{{3,30}}{_END}"
 PHONE = rf"(?<![{WORD}])(?:\+?{_D}[{_D}{BLANK}\-().]{{5,}}{_D}){_END}"
 LONG_DIGITS = rf"{_D}{{8,}}"
-LONG_ALNUM = rf"{_START}(?=[A-Za-z0-9]*{_D})[A-Za-z0-9]{{12,}}{_END}"
+LONG_ALNUM = rf"{_START}(?=[A-Za-z0-9]*{_D})[A-Za-z0-9]{{12,}}+{_END}"
 SIGNED_NAME = (
     rf"(?md){_S}*-{_S}+[A-Z][a-zA-Z]+(?:{_S}+[A-Z]\.?|{_S}+[A-Z][a-zA-Z]+)?{_S}*$"
 )
@@ -68,13 +70,24 @@ PROTECTED = "|".join(
     )
 )
 
+# While patterns run, a single character stands for a protected span, and one for each replacement: no
+# pattern matches them, and they count as no letter, digit or blank, like the brackets of a placeholder.
+# They are noncharacters; a text that holds one anyway is redacted without them.
+_SPAN = "\ufdd0"
+_MARKS = {category: chr(0xFDD1 + i) for i, category in enumerate(CATEGORIES)}
+_ANY_MARK = "[\ufdd0-\ufdd7]"
 
-def has_digit(c: Column) -> Column:
-    return c.rlike(_D)
 
+def _for_ascii(pattern: str) -> str:
+    """The pattern with classes cut to ASCII, which match the same in ASCII text and much faster."""
+    classes = ((_EDGE, r"\b"), (WORD, "A-Za-z0-9_"), (BLANK, r"\t-\r\x1C-\x20"), (rf"[{_D}", "[0-9"), (_D, "[0-9]"), ("(?iu)", "(?i)"))
+    for wide, narrow in classes:
+        pattern = pattern.replace(wide, narrow)
+    return pattern
 
-def protected_spans(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(PROTECTED), F.lit(0))
+
+def has_digit(c: Column) -> Column:
+    return c.rlike(_D)
 
 
 def mask_spans(c: Column) -> Column:
@@ -91,16 +104,24 @@ def mask_spans(c: Column) -> Column:
 
 def restore_spans(c: Column, spans: Column) -> Column:
     """Put the protected spans back, in one pass over the markers that are left."""
-    pieces = F.split(c, _KEEP, -1)
-    numbers = F.regexp_extract_all(c, F.lit(r"__KEEP_(\d+)__"), F.lit(1))
+    return _put_back(F.split(c, _KEEP, -1), c, lambda n: F.get(spans, n))
+
+
+def _put_back(pieces: Column, masked: Column, span: Callable[[Column], Column]) -> Column:
+    numbers = F.regexp_extract_all(masked, F.lit(r"__KEEP_(\d+)__"), F.lit(1))
     joined = F.zip_with(
         pieces,
         numbers,
-        lambda piece, n: F.concat(piece, F.coalesce(F.get(spans, n.cast("int")), F.lit(""))),
+        lambda piece, n: F.concat(piece, F.coalesce(span(n.cast("int")), F.lit(""))),
     )
     return F.array_join(joined, "")
 
 
+def _cut(c: Column, pattern: str, around: str) -> Column:
+    """Pieces of a text without marks. Splitting at a pattern compiles it for every row, at a character it doesn't."""
+    return F.split(F.regexp_replace(c, pattern, around), _SPAN, -1)
+
+
 def _guard(category: str, digits: Column, text: Column) -> Column:
     """A cheap test a text must pass before the category's pattern can match at all."""
     if category in ("phone", "id"):
@@ -112,7 +133,8 @@ def _guard(category: str, digits: Column, text: Column) -> Column:
     return text.contains("://") | F.lower(text).contains("www.")
 
 
-def _replace_in(state: Column, category: str, pattern: str, replacement: str) -> Column:
+def _replace_and_count(state: Column, category: str, pattern: str, replacement: str) -> Column:
+    """A step for texts that may hold a mark: the pattern runs once to count and once to replace."""
     text = state["text"]
     hits = F.when(_guard(category, state["digits"], text), F.regexp_count(text, F.lit(pattern))).otherwise(0)
 
@@ -127,23 +149,18 @@ def _replace_in(state: Column, category: str, pattern: str, replacement: str) ->
     return bind(hits, replaced)
 
 
-def redact(c: Column) -> Column:
-    """``struct<text, email, phone, id, link, handle, name>``: clean text and replacement counts.
-
-    A text without a digit, ``@`` or dash skips most patterns. Each step binds the text of the
-    step before, so the expression grows with the number of patterns only.
-    """
+def _fold(c: Column) -> Column:
     state = bind(
         has_digit(c),
         lambda digits: F.struct(
             digits.alias("digits"),
-            F.when(digits, protected_spans(c)).alias("spans"),
+            F.when(digits, F.regexp_extract_all(c, F.lit(PROTECTED), F.lit(0))).alias("spans"),
             F.when(digits, mask_spans(c)).otherwise(c).alias("text"),
             F.array().cast("array<int>").alias("counts"),
         ),
     )
     for category, pattern, replacement in REPLACEMENTS:
-        state = bind(state, lambda s: _replace_in(s, category, pattern, replacement))  # noqa: B023
+        state = bind(state, lambda s: _replace_and_count(s, category, pattern, replacement))  # noqa: B023
 
     def finish(s: Column) -> Column:
         restored = F.when(s["digits"], restore_spans(s["text"], s["spans"])).otherwise(s["text"])
@@ -158,8 +175,63 @@ def redact(c: Column) -> Column:
             strip(restored).alias("text"), *(n.cast("bigint").alias(name) for name, n in totals.items())
         )
 
+    return bind(state, finish)
+
+
+def _fold_with_marks(c: Column, narrow: Callable[[str], str]) -> Column:
+    """Each pattern runs once and leaves its category's mark, so counting is comparing lengths."""
+    def replaced(text: Column, digits: Column) -> Column:
+        for category, pattern, replacement in REPLACEMENTS:
+            blank = " " if replacement.startswith(" ") else ""
+            text = bind(
+                text,
+                lambda t: F.when(
+                    _guard(category, digits, t), F.regexp_replace(t, narrow(pattern), blank + _MARKS[category])  # noqa: B023
+                ).otherwise(t),
+            )
+        return text
+
+    def finish(text: Column, parts: Column | None) -> Column:
+        size = F.length(text)
+        counts = [
+            (size - F.length(F.replace(text, F.lit(_MARKS[name]), F.lit("")))).cast("bigint").alias(name) for name in CATEGORIES
+        ]
+        if parts is not None:
+            restored = _put_back(_cut(text, _KEEP, _SPAN), text, lambda n: F.get(parts, 2 * n + 1))
+            text = F.when(text.contains("__KEEP_"), restored).otherwise(text)
+        for category, _, replacement in REPLACEMENTS:
+            text = F.replace(text, F.lit(_MARKS[category]), F.lit(replacement.strip()))
+        return F.struct(strip(text).alias("text"), *counts)
+
+    def masked(parts: Column) -> Column:
+        number = lambda i: F.shiftright(i, 1).cast("string")
+        marked = F.transform(
+            parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.concat(F.lit("__KEEP_"), number(i), F.lit("__")))
+        )
+        return F.when(F.size(parts) > 1, F.array_join(marked, "")).otherwise(c)
+
+    # Every second part is a protected span.
+    with_digits = bind(
+        _cut(c, narrow(PROTECTED), f"{_SPAN}$0{_SPAN}"),
+        lambda parts: bind(replaced(masked(parts), F.lit(True)), lambda t: finish(t, parts)),
+    )
+    return F.when(c.rlike(narrow(_D)), with_digits).otherwise(bind(replaced(c, F.lit(False)), lambda t: finish(t, None)))
+
+
+def redact(c: Column) -> Column:
+    """``struct<text, email, phone, id, link, handle, name>``: clean text and replacement counts.
+
+    A text without a digit, ``@`` or dash skips most patterns, and plain ASCII text is matched by
+    narrower classes. Each step binds the text of the step before, so the expression grows with the
+    number of patterns only.
+    """
     clean = F.struct(strip(c).alias("text"), *(F.lit(0).cast("bigint").alias(name) for name in CATEGORIES))
-    return F.when(c.rlike(_SIGNAL), bind(state, finish)).when(c.isNotNull(), clean)
+    found = (
+        F.when(is_ascii(c), _fold_with_marks(c, _for_ascii))
+        .when(~c.rlike(_ANY_MARK), _fold_with_marks(c, lambda pattern: pattern))
+        .otherwise(_fold(c))
+    )
+    return F.when(c.rlike(_SIGNAL), found).when(c.isNotNull(), clean)
 
 
 def blank_harmless(c: Column) -> Column:

@@ -52,6 +52,27 @@ def redacted_contacts(spark, sf_dir):
     )
 
 
+_NUMBERS = """concat('call +91 (0) 98 ', lpad(CAST({0} AS STRING), 8, '0'), ', order x', lpad(CAST({0} AS STRING), 9, '7'), 'y or k7k7k7k7k7k7',
+                  {0} % 10, ', 5 stars, Rs. 1,500.75 on 2.0{1}\\n- Ann B.')"""
+
+
+@query("""
+SELECT event_id, CAST(1 AS BIGINT) AS phones, CAST(2 AS BIGINT) AS ids, CAST(1 AS BIGINT) AS names,
+       'call [phone], order x[id]y or [id], 5 stars, Rs. 1,500.75 on 2.0' || CASE WHEN event_id % 2 = 0 THEN ' é' ELSE '' END || ' [name]' AS text,
+       ['phone', 'id'] AS found
+FROM events""")
+def redacted_numbers(spark, sf_dir):
+    """A phone number, two ids and a signature per event, every other text beyond ASCII; stars, amount and version stay."""
+    bodies = [_NUMBERS.format("event_id", ""), _NUMBERS.format("event_id", " é")]
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id", f"CASE WHEN event_id % 2 = 0 THEN {bodies[1]} ELSE {bodies[0]} END AS text"
+    )
+    clean = redact_reviews(scan_pii(rows, "text"), ["text"])
+    kinds = ("phone", "id", "name")
+    counts = [F.col(f"redactions.{kind}").alias(f"{kind}s") for kind in kinds]
+    return clean.select("event_id", *counts, "text", F.transform("pii_hits", lambda h: h["category"]).alias("found"))
+
+
 @query(r"""
 SELECT page_id, len(regexp_extract_all(url, '(?i)https?://[^\s<>"'']+|www\.[^\s<>"'']+')) AS hits FROM pages""")
 def link_scan(spark, sf_dir):

@@ -1,3 +1,4 @@
+import random
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,43 @@ def test_filter_on_redacted_text_plans_quickly(spark):
     rows = spark.range(5).select(F.concat(F.lit("call 98765 4321"), "id").alias("text"))
     clean = redact_reviews(rows, ["text"]).filter(F.col("text").contains("[phone]"))
     assert clean.count() == 5
+
+
+def _rules(body):
+    """The rules one after the other, in plain Python."""
+    import regex
+
+    from reviewmill.functions.text import BLANKS
+
+    def compiled(pattern):
+        return regex.compile(pattern.replace("(?iu)", "(?i)").replace("(?md)", "(?m)"), regex.V0)
+
+    counts = dict.fromkeys(pii.CATEGORIES, 0)
+    spans = []
+
+    def keep(match):
+        spans.append(match[0])
+        return f"__KEEP_{len(spans) - 1}__"
+
+    if regex.search(r"\p{Nd}", body):
+        body = compiled(pii.PROTECTED).sub(keep, body)
+    for category, pattern, replacement in pii.REPLACEMENTS:
+        body, n = compiled(pattern).subn(replacement, body)
+        counts[category] += n
+    if spans:
+        body = regex.sub(r"__KEEP_(\d+)__", lambda m: spans[int(m[1])] if int(m[1]) < len(spans) else "", body)
+    return body.strip(BLANKS), *counts.values()
+
+
+def test_redaction_equals_rules_in_python(values):
+    """Random texts of awkward pieces: ASCII, beyond it, and holding the characters used as marks."""
+    pieces = ["a", "Z", "5", "12", "123456789", " ", "\n", "- ", "@", "@abc", ".", "www.", "http://", "x@y.co", "INR ", "Rs. 5", "stars"]
+    pieces += ["5 stars", "v1.2", "1.2.3", "__KEEP_0__", "(", "+", "[link]", "ab12cd34ef56gh", "- John", "- Ann B.", "_", "'", "2024-01-02"]
+    wide = ["é", "₹", "\u0967\u0968", "ß", "\xa0", "–"]
+    random_ = random.Random(11)
+    items = []
+    for i in range(1500):
+        pool = pieces + (wide if i % 3 == 0 else []) + (["\ufdd0", "\ufdd3"] if i % 9 == 0 else [])
+        items.append("".join(random_.choice(pool) for _ in range(random_.randint(0, 12))))
+    got = [tuple(r) for r in values(items, pii.redact)]
+    assert got == [_rules(t) for t in items]
