@@ -234,10 +234,10 @@ def redact(c: Column) -> Column:
     return F.when(c.rlike(_SIGNAL), found).when(c.isNotNull(), clean)
 
 
-def blank_harmless(c: Column) -> Column:
+def blank_harmless(c: Column, narrow: Callable[[str], str] = lambda pattern: pattern) -> Column:
     """Blank out amounts, versions, stars, dates, day ranges and grouped numbers."""
     for pattern in (CURRENCY, VERSION, STARS, ISO_DATE, DAY_RANGE, COMMA_NUMBER):
-        c = F.regexp_replace(c, pattern, " ")
+        c = F.regexp_replace(c, narrow(pattern), " ")
     return c
 
 
@@ -252,16 +252,31 @@ SCANS = (
 
 
 def scan(c: Column) -> Column:
-    """``array<struct<category, hits>>`` of personal data left in a text, empty if none."""
+    """``array<struct<category, hits>>`` of personal data left in a text, empty if none.
 
-    def found(t: Column) -> Column:
-        counts = (
-            F.struct(
-                F.lit(category).alias("category"),
-                sum((F.regexp_count(t, F.lit(p)) for p in patterns), F.lit(0)).cast("bigint").alias("hits"),
+    Harmless numbers are blanked in texts with a digit only, and texts without a sign of personal data
+    are not searched.
+    """
+
+    def search(narrow: Callable[[str], str]) -> Column:
+        def found(t: Column) -> Column:
+            counts = (
+                F.struct(
+                    F.lit(category).alias("category"),
+                    F.when(
+                        _guard(category, F.lit(True), t),
+                        sum((F.regexp_count(t, F.lit(narrow(p))) for p in patterns), F.lit(0)),
+                    )
+                    .otherwise(0)
+                    .cast("bigint")
+                    .alias("hits"),
+                )
+                for category, patterns in SCANS
             )
-            for category, patterns in SCANS
-        )
-        return F.filter(F.array(*counts), lambda h: h["hits"] > 0)
+            return F.filter(F.array(*counts), lambda h: h["hits"] > 0)
+
+        return bind(F.when(c.rlike(narrow(_D)), blank_harmless(c, narrow)).otherwise(c), found)
 
-    return bind(blank_harmless(F.coalesce(c, F.lit(""))), found)
+    none = F.array().cast("array<struct<category:string,hits:bigint>>")
+    hits = F.when(is_ascii(c), search(_for_ascii)).otherwise(search(lambda pattern: pattern))
+    return F.when(c.rlike(_SIGNAL), hits).otherwise(none)
