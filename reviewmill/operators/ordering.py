@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.scale import cut_lineage
+from reviewmill.scale import attach_small, cut_lineage
+
+# Row numbers carry their partition above this bit.
+_PARTITION_BIT = 33
 
 
 def corpus_position(
@@ -15,39 +18,26 @@ def corpus_position(
     keys: Sequence[str] = ("product_id",),
     date_col: str = "date",
     id_col: str = "id",
-    prefix: int = 3,
     into: str = "pos",
 ) -> DataFrame:
     """Add the 0-based position of each row in (date, id) order within ``keys``.
 
-    Rows are grouped by key, date and the first ``prefix`` characters of the id, which keeps
-    the order. Group sizes give each group its start, so only rows of one group are ever
-    ranked together. Review ids are hash digits: three of them cut a day into 4,096 even groups.
-    The group sizes are stored, so the reviews are read twice: to count and to number them.
+    Rows are dealt by ranges of (keys, date, id), whose bounds Spark samples, and sorted within their
+    range, so neither a hot product nor a crowded day nor a plain id scheme fills one task. A row's
+    number within its partition, less the first one of its key there, plus the key's rows in earlier
+    partitions, is its position. The dealt rows are stored, so that numbers and counts are of the same
+    partitions; there is a count per key and partition it reaches into. Rows equal in all three columns
+    share a partition and are numbered in any order.
     """
-    keys = list(keys)
-    cell = [*keys, date_col, "_prefix"]
-    rows = reviews.withColumn("_prefix", F.substring(F.col(id_col), 1, prefix))
-    cells = cut_lineage(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
-    earlier_cells = (
-        Window.partitionBy(*keys, date_col).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    earlier_days = Window.partitionBy(*keys).orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        cells.groupBy(*keys, date_col)
-        .agg(F.sum("_n").alias("_day_n"))
-        .withColumn("_day_start", F.coalesce(F.sum("_day_n").over(earlier_days), F.lit(0)))
-        .drop("_day_n")
-    )
-    starts = (
-        cells.withColumn("_cell_start", F.coalesce(F.sum("_n").over(earlier_cells), F.lit(0)))
-        .join(days, [*keys, date_col])
-        .select(*cell, (F.col("_day_start") + F.col("_cell_start")).alias("_start"))
-    )
-    in_cell = F.row_number().over(Window.partitionBy(*cell).orderBy(id_col))
-    return (
-        rows.withColumn("_in_cell", in_cell)
-        .join(starts, cell)
-        .withColumn(into, (F.col("_start") + F.col("_in_cell") - 1).cast("bigint"))
-        .select(*reviews.columns, into)
-    )
+    order = [*keys, date_col, id_col]
+    dealt = reviews.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.col("_at")
+    rows = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    # A struct of keys joins null keys too.
+    rows = rows.withColumns({"_key": F.struct(*keys), "_part": F.shiftright(at, _PARTITION_BIT)})
+    runs = rows.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    starts = runs.select("_key", "_part", (before - F.col("_first")).alias("_start"))
+    joined = attach_small(rows, starts, ["_key", "_part"])
+    return joined.select(*reviews.columns, (at + F.col("_start")).cast("bigint").alias(into))

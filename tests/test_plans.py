@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from reviewmill.operators.ordering import corpus_position
 from reviewmill.operators.quotes import rank_quotes
 from reviewmill.operators.redaction import redact_reviews
 
@@ -30,9 +32,21 @@ def test_statistics_read_few_columns_and_aggregate_before_the_shuffle(spark):
     assert "partial_count" in text
 
 
-def test_position_ranks_small_cells_only(spark):
-    text = plan(entry_point.queries()["corpus_order"](spark, DATA))
-    assert re.search(r"row_number\(\) windowspecdefinition\(product_id#\d+, date#\d+, _prefix#\d+", text)
+def test_positions_deal_plain_ids_evenly(spark):
+    """One product, one day, ids with a common prefix: rows still spread over the tasks."""
+    rows = spark.range(4000).selectExpr(
+        "'p' AS product_id", "DATE '2026-01-01' AS date", "concat('review-', lpad(CAST(id AS STRING), 6, '0')) AS id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = corpus_position(rows.repartition(4))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text = plan(placed)
+    assert "Window" not in re.sub(r"(?s)BroadcastExchange.*", "", text) and "Scan ExistingRDD" in text
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    assert placed.where("id <> concat('review-', lpad(CAST(pos AS STRING), 6, '0'))").count() == 0
 
 
 def test_candidate_limit_applies_before_the_shuffle(spark):

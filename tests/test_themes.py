@@ -110,9 +110,9 @@ def test_thin_week_falls_back(spark):
 
 def test_positions_follow_date_then_id(spark):
     rng = random.Random(2)
-    rows = [(rng.choice("pq"), WEEK - dt.timedelta(days=rng.randint(0, 3)), f"{rng.getrandbits(48):012x}") for _ in range(300)]
-    got = corpus_position(spark.createDataFrame(rows, "product_id string, date date, id string"), prefix=1).collect()
-    for product in "pq":
+    rows = [(rng.choice(["p", "q", None]), WEEK - dt.timedelta(days=rng.randint(0, 3)), f"{rng.getrandbits(48):012x}") for _ in range(300)]
+    got = corpus_position(spark.createDataFrame(rows, "product_id string, date date, id string")).collect()
+    for product in ("p", "q", None):
         ordered = sorted((d, i) for p, d, i in rows if p == product)
         assert [(r.date, r.id) for r in sorted((r for r in got if r.product_id == product), key=lambda r: r.pos)] == ordered
         assert {r.pos for r in got if r.product_id == product} == set(range(len(ordered)))
