@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reviewmill.config import DEFAULT, Config
 from reviewmill.operators import clean
 from reviewmill.operators.windows import compute_windows, daily_rollup
+from reviewmill.scale import stored
 
 
 @dataclass(frozen=True)
@@ -26,16 +27,20 @@ def ingest_reviews(
     cfg: Config = DEFAULT,
     week_ending: dt.date | None = None,
     detector: Callable[[Column], Column] | None = None,
-    store: Callable[[DataFrame], DataFrame] = lambda df: df,
+    store: Callable[[DataFrame], DataFrame] = stored,
+    stage: Callable[[DataFrame], DataFrame] = stored,
 ) -> Ingested:
     """Clean, window and de-duplicate raw rows of any number of products.
 
-    All results are lazy, except that the anchor dates (one row per product) are computed to
-    decide how to join them. Windowing comes before de-duplication, so only corpus rows are
-    shuffled. ``store`` may write the unique reviews and return them as read back, so that
-    windows, report and later stages do not clean the raw rows again.
+    Raw rows are read and cleaned once, into the table that ``stage`` writes: rows that stay with all
+    their columns, the others with the reason alone. Anchor dates and counters read three narrow columns
+    of it. Windowing comes before de-duplication, so only corpus rows are shuffled. ``store`` writes the
+    unique reviews and returns them as read back, for windows, report and later stages.
     """
-    rows = clean.project_reviews(raw, cfg.limits.min_review_words, detector)
+    cleaned = clean.project_reviews(raw, cfg.limits.min_review_words, detector)
+    kept = F.col("drop_reason").isNull()
+    content = ("rating", "title", "text", "app_version", "source_file", "row_no")
+    rows = stage(cleaned.withColumns({c: F.when(kept, F.col(c)) for c in content}))
     if week_ending is None:
         weeks = clean.anchor_dates(rows.filter(F.col("drop_reason").isNull()))
     else:

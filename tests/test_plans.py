@@ -9,6 +9,9 @@ import __spark_entry__ as entry_point
 from reviewmill.operators.ordering import corpus_position
 from reviewmill.operators.quotes import rank_quotes
 from reviewmill.operators.redaction import redact_reviews
+from reviewmill.plans.ingest import ingest_reviews
+from reviewmill.plans.queries.inputs import document_rows
+from reviewmill.scale import stored
 
 DATA = "/root/testdata/sf0.001"
 
@@ -61,3 +64,20 @@ def test_redaction_needs_no_shuffle_and_no_python(spark):
     rows = spark.range(5).selectExpr("string(id) AS text")
     text = plan(redact_reviews(rows, ["text"]))
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_ingest_reads_raw_rows_once(spark, tmp_path):
+    """Everything comes from the staged table; counters read three narrow columns of it."""
+    document_rows(spark, DATA).write.parquet(str(tmp_path / "raw_rows"))
+    runs = []
+
+    def stage(rows):
+        runs.append(plan(rows))
+        return stored(rows)
+
+    out = ingest_reviews(spark.read.parquet(str(tmp_path / "raw_rows")), stage=stage)
+    assert len(runs) == 1 and len(re.findall("raw_rows", runs[0])) == 1
+    for df in (out.report, out.reviews, out.windows):
+        assert "raw_rows" not in plan(df)
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(out.report))
+    assert schemas and not any("text" in s or "title" in s for s in schemas)
