@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text
+from reviewmill.functions.language import guess
 from reviewmill.operators import clean
+from reviewmill.operators.language import learn_profile
 from reviewmill.operators.ordering import corpus_position
 from reviewmill.operators.windows import compute_windows, daily_rollup, in_window
 from reviewmill.plans.ingest import ingest_reviews
@@ -43,6 +45,41 @@ def text_signals(spark, sf_dir):
     )
 
 
+@query(rf"""
+WITH texts AS (
+  SELECT doc_id, lang, trim(text, {BLANK_SQL}) AS body,
+         CASE WHEN regexp_matches(text, '\p{{L}}') THEN ' ' || trim(regexp_replace(lower(trim(text, {BLANK_SQL})), '[^\p{{L}}]+', ' ', 'g')) || ' ' END AS t
+  FROM documents),
+coded AS (SELECT doc_id, lang, list_transform(string_split(t, ''), lambda x: unicode(x)) AS c FROM texts WHERE t IS NOT NULL),
+grams AS (
+  SELECT doc_id, lang, ((c[i] * 31 + c[i + 1]) * 31 + c[i + 2]) % 32768 AS bucket
+  FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM coded)),
+langs AS (SELECT lang, count(*) AS total FROM grams WHERE lang IS NOT NULL GROUP BY lang),
+counts AS (SELECT lang, bucket, count(*) AS n FROM grams GROUP BY lang, bucket),
+weights AS (
+  SELECT l.lang, b.bucket, CAST(floor(ln((coalesce(n, 0) + 1) / (total + 32768)) * 1000) AS BIGINT) AS w
+  FROM langs l CROSS JOIN (SELECT unnest(range(32768)) AS bucket) b LEFT JOIN counts c ON c.lang = l.lang AND c.bucket = b.bucket),
+sums AS (
+  SELECT doc_id, w.lang, CAST(sum(n * w.w) AS BIGINT) AS s, CAST(sum(n) AS BIGINT) AS trigrams
+  FROM (SELECT doc_id, bucket, count(*) AS n FROM grams GROUP BY doc_id, bucket) g JOIN weights w USING (bucket) GROUP BY doc_id, w.lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS place FROM sums),
+best AS (
+  SELECT doc_id, max(lang) FILTER (WHERE place = 1) AS language, max(s) AS score, max(s) - max(s) FILTER (WHERE place = 2) AS margin,
+         max(trigrams) AS trigrams, 1 / sum(exp((s - top) / 1000)) AS prob
+  FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM ranked) GROUP BY doc_id)
+SELECT doc_id, language, score, margin, trigrams,
+       len(regexp_extract_all(body, '{FOREIGN_SQL}')) < 3 AND len(regexp_extract_all(body, '{FOREIGN_SQL}')) < 0.05 * length(body)
+       AND len(regexp_extract_all(body, '[A-Za-z]')) >= 5 AND coalesce(language = 'en' AND prob >= 0.5, false) AS english
+FROM texts LEFT JOIN best USING (doc_id)
+""")
+def detected_language(spark, sf_dir):
+    """The language of every document by a profile learnt from all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", text.strip(F.col("text")).alias("text"))
+    detector = guess(learn_profile(docs))
+    found = docs.select("doc_id", detector(F.col("text")).alias("g"), text.is_english(F.col("text"), detector).alias("english"))
+    return found.select("doc_id", F.col("g.lang").alias("language"), "g.score", "g.margin", "g.trigrams", "english")
+
+
 @query(f"WITH {DOC} SELECT product_id, date, rating, title, text, app_version, source_file, row_no FROM doc_tested")
 def review_projection(spark, sf_dir):
     return clean.project_reviews(document_rows(spark, sf_dir)).drop("store", "drop_reason", "id")
