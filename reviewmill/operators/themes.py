@@ -17,7 +17,7 @@ from reviewmill.functions.numbers import ratio_2dp
 from reviewmill.functions.text import slug, theme_label, title_label
 from reviewmill.operators.ordering import corpus_position
 from reviewmill.operators.windows import daily_rollup, in_window, spread_weeks
-from reviewmill.scale import attach_small
+from reviewmill.scale import attach_small, cut_lineage
 
 THEME_KEY = ("product_id", "theme_id")
 
@@ -326,6 +326,44 @@ def keyword_theme(
     return F.when(best["hits"] > 0, best["theme_id"]).otherwise(F.lit(default))
 
 
+def keyword_table_themes(
+    reviews: DataFrame, keywords: DataFrame, keys: Sequence[str] = ("product_id", "id"), text_col: str = "text", default: str = OTHER
+) -> DataFrame:
+    """``keys``, theme_id and hits: the theme whose phrases occur most often, for a table of any number of phrases.
+
+    ``keywords`` has theme_id, phrase and place; equal hits go to the smaller place, then theme. Texts and
+    phrases are runs of letters, digits and underscores in lower case, and every position where one of a
+    theme's different phrases begins counts once for it. Tokens are joined with the phrases' first tokens, and
+    the rest of longer phrases is compared in place, so the work follows the matches, not texts times
+    phrases. Texts without a hit, or null, get ``default``; phrases without a token match nothing.
+    """
+    keys = list(keys)
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    phrases = (
+        keywords.select("theme_id", "place", tokens(F.col("phrase")).alias("_words"))
+        .filter(F.size("_words") > 0)
+        .groupBy("theme_id", "_words")
+        .agg(F.min("place").alias("place"))
+        .withColumn("_token", F.get("_words", 0))
+    )
+    phrases = cut_lineage(phrases)
+    longest = phrases.agg(F.max(F.size("_words"))).first()[0] or 1
+    cut = reviews.select(*keys, tokens(F.col(text_col)).alias("_tokens"))
+    # Only the few tokens a phrase can reach travel with a token.
+    at = F.posexplode("_tokens").alias("_at", "_token")
+    ahead = F.slice("_tokens", F.col("_at") + 1, longest).alias("_ahead")
+    placed = cut.select(*keys, "_tokens", at).select(*keys, "_token", ahead)
+    found = attach_small(placed, phrases, ["_token"]).filter(F.slice("_ahead", 1, F.size("_words")) == F.col("_words"))
+    hits = found.groupBy(*keys, "theme_id").agg(F.count(F.lit(1)).alias("hits"), F.min("place").alias("place"))
+    best = hits.groupBy(*keys).agg(F.min(F.struct((-F.col("hits")).alias("_less"), "place", "theme_id")).alias("_best"))
+    joined = reviews.select(*keys).join(best, keys, "left")
+    return joined.select(
+        *keys,
+        F.coalesce(F.col("_best.theme_id"), F.lit(default)).alias("theme_id"),
+        F.coalesce(-F.col("_best._less"), F.lit(0)).cast("bigint").alias("hits"),
+    )
+
+
 def assign_themes(
     reviews: DataFrame,
     scorer: Callable[[pd.DataFrame], pd.DataFrame],

@@ -61,7 +61,8 @@ def foreign_store(reports: DataFrame, reviews: DataFrame) -> DataFrame:
         F.col("_from"),
         F.col("_to"),
     )
-    foreign = reviews.filter(F.col("store") != PLAY_STORE).select("product_id", "date").distinct()
+    near = dated(reviews, reports, window["from"], window["to"])
+    foreign = near.filter(F.col("store") != PLAY_STORE).select("product_id", "date").distinct()
     found = days.join(foreign, ["product_id", "date"]).select(*REPORT_KEY).distinct()
     return found.withColumn("non_play_data", F.lit(True))
 

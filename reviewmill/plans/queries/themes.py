@@ -323,3 +323,28 @@ FROM hits""")
 def keyword_themes(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", themes.keyword_theme(F.col("text"), KEYWORDS).alias("theme_id"))
+
+
+@query("""
+WITH texts AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM conversations),
+phrases AS (
+  SELECT 'b' || CAST(item_id % 7 AS VARCHAR) AS theme_id, words, min(item_id % 7) AS place
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:1 + item_id % 2] AS words FROM benchmark)
+  WHERE len(words) > 0 GROUP BY ALL),
+placed AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM texts),
+hits AS (
+  SELECT conv_id, turn, theme_id, min(place) AS place, count(*) AS hits
+  FROM placed JOIN phrases ON t[i] = words[1] AND t[i:i + len(words) - 1] = words GROUP BY conv_id, turn, theme_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY hits DESC, place, theme_id) AS n FROM hits)
+SELECT t.conv_id, t.turn, coalesce(b.theme_id, 'other') AS theme_id, coalesce(b.hits, 0) AS hits
+FROM texts t LEFT JOIN best b ON b.conv_id = t.conv_id AND b.turn = t.turn AND b.n = 1""")
+def keyword_table_themes(spark, sf_dir):
+    """A phrase table as long as the benchmark: the first word or two of each item."""
+    first = F.regexp_extract("text", r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)", 1)
+    two = F.regexp_extract("text", r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+(?:[^\p{L}\p{N}_]+[\p{L}\p{N}_]+)?)", 1)
+    keywords = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id") % 7).alias("theme_id"),
+        (F.col("item_id") % 7).alias("place"),
+        F.when(F.col("item_id") % 2 == 0, first).otherwise(two).alias("phrase"),
+    )
+    return themes.keyword_table_themes(table(spark, sf_dir, "conversations"), keywords, ["conv_id", "turn"])

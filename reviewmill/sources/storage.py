@@ -14,6 +14,8 @@ from reviewmill.scale import cut_lineage
 from reviewmill.schemas import REPORT, REVIEW
 
 ARCHIVE_KEY = ["product_id", "week_ending"]
+# Folders of a day; products are dealt to them by a hash.
+PRODUCT_BUCKETS = 16
 _REVIEW_COLUMNS = [part.split()[0] for part in REVIEW.split(", ")]
 
 # Header of the CSV export, and the raw column behind each name.
@@ -27,13 +29,41 @@ EXPORT_COLUMNS = {
 
 
 def write_reviews(reviews: DataFrame, path: str) -> None:
-    """Only the review columns leave a stage, in a folder for each day.
+    """Only the review columns leave a stage, in a folder for each day and bucket of products.
 
-    Days without new rows keep what they hold; a day that is written is replaced, so a write must
-    bring all products of its days. Readers that bound ``date`` read only the folders between.
+    A product's rows of the days written are replaced; its other days and all other products stay. Only
+    folders that get new rows are read and rewritten. Readers that bound ``date`` read only the days
+    between. The reviews are read twice: for the days and products they touch, and to be written.
     """
-    rows = reviews.select(*_REVIEW_COLUMNS).hint("rebalance", "date")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    bucket = F.pmod(F.xxhash64("product_id"), F.lit(PRODUCT_BUCKETS)).cast("int").alias("bucket")
+    new = reviews.select(*_REVIEW_COLUMNS, bucket)
+    # A struct also joins where the product is null.
+    product = F.struct("product_id").alias("_product")
+    touched = cut_lineage(new.select("date", "bucket", product).distinct())
+    bounds = touched.agg(F.min("date"), F.max("date"), F.sort_array(F.collect_set("bucket"))).first()
+    kept = _stored_reviews(reviews.sparkSession, path)
+    if kept is not None and bounds[0] is not None:
+        held = kept.filter(F.col("date").between(F.lit(bounds[0]), F.lit(bounds[1])) & F.col("bucket").isin(bounds[2]))
+        held = held.join(touched.select("date", "bucket").distinct(), ["date", "bucket"], "left_semi")
+        others = held.select("*", product).join(touched, ["date", "bucket", "_product"], "left_anti")
+        # They come from the folders about to be replaced, so they are stored first.
+        new = new.unionByName(cut_lineage(others.select(*new.columns)))
+    (
+        new.hint("rebalance", "date", "bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date", "bucket")
+        .parquet(path)
+    )
+
+
+def _stored_reviews(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(f"{REVIEW}, bucket int").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -28,6 +28,27 @@ def test_reviews_round_trip_and_replace_their_days(spark, tmp_path):
     ]
 
 
+def test_writing_a_product_keeps_the_others(spark, tmp_path, monkeypatch):
+    """Also those of its own bucket and day, read from the touched folders alone."""
+    path = str(tmp_path / "reviews")
+    products = [f"p{i}" for i in range(40)]
+    first = reviews(spark, [0, 1], products[0])
+    for product in products[1:]:
+        first = first.union(reviews(spark, [0, 1], product))
+    storage.write_reviews(first, path)
+    plans = []
+    cut = storage.cut_lineage
+    monkeypatch.setattr(storage, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    storage.write_reviews(reviews(spark, [1], "p7", "new"), path)
+    back = sorted((r.product_id, r.date, r.text) for r in tables.load_reviews(spark, path).collect())
+    yesterday = DAY - dt.timedelta(days=1)
+    assert back == sorted([(p, DAY, "t0") for p in products] + [(p, yesterday, "new0" if p == "p7" else "t1") for p in products])
+    filters = plans[-1].split("PartitionFilters")[1]
+    assert "2026-08-29" in filters and "2026-08-30" not in filters.split("PushedFilters")[0] and "bucket" in filters
+    storage.write_reviews(first.limit(0), path)
+    assert tables.load_reviews(spark, path).count() == 80
+
+
 def test_window_scans_read_only_their_days(spark, tmp_path):
     path = str(tmp_path / "reviews")
     storage.write_reviews(reviews(spark, range(60)), path)

@@ -184,3 +184,32 @@ def test_split_is_decided_week_by_week(spark):
     stats = build_themes(reviews, assigned, windows, proposals=proposals, reassignments=moves).stats
     got = {(r.week_ending, r.theme_id, r.label): r.count_corpus for r in stats.collect()}
     assert got == {(weeks[0], "new", "New one"): 30, (weeks[1], "kyc", "KYC & verification"): 30}
+
+
+def test_keyword_table_equals_plain_counting(spark):
+    random_ = random.Random(4)
+    words = ["kyc", "pan", "card", "upi", "pay", "later", "the"]
+    phrases = [("a", "kyc", 0), ("a", "PAN card", 0), ("b", "pay later", 1), ("b", "the", 1), ("c", "upi pay later", 2), ("c", "kyc", 2), ("c", "kyc", 2)]
+    phrases += [("d", "...", 3), ("d", None, 3), ("e", "never there", 4)]
+    rows = [("p", str(i), " ".join(random_.choices(words, k=random_.randint(0, 30))).replace("card", "Card!")) for i in range(120)]
+    rows += [("p", "null", None), ("p", "long", "kyc " * 50_000)]
+    got = themes.keyword_table_themes(
+        spark.createDataFrame(rows, "product_id string, id string, text string"),
+        spark.createDataFrame(phrases, "theme_id string, phrase string, place int"),
+    ).collect()
+    kept = {(t, tuple(p.lower().split())): place for t, p, place in phrases if p and p != "..."}
+
+    def expected(body):
+        tokens = (body or "").lower().replace("!", " ").split()
+        hits = {}
+        for (theme, phrase), place in kept.items():
+            n = sum(tuple(tokens[i : i + len(phrase)]) == phrase for i in range(len(tokens)))
+            if n:
+                hits[theme] = (hits.get(theme, (0, 0))[0] + n, place)
+        best = min(((-n, place, theme) for theme, (n, place) in hits.items()), default=(0, 0, "other"))
+        return best[2], -best[0]
+
+    assert {r.id: (r.theme_id, r.hits) for r in got} == {i: expected(body) for _, i, body in rows}
+    none = spark.createDataFrame([], "theme_id string, phrase string, place int")
+    reviews = spark.createDataFrame(rows[:2], "product_id string, id string, text string")
+    assert {r.theme_id for r in themes.keyword_table_themes(reviews, none).collect()} == {"other"}
