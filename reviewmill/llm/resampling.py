@@ -9,11 +9,14 @@ fixed by the document's id, is added to the log weight, and the k largest sums s
 The target model learns from at most ``LABELLED`` documents labelled good, the first by a hash of
 their ids; the raw model and the weights cover every document. Smoothing is a share of the target
 model's size, and each bucket's log ratio counts as far as its counts are evidence of a difference.
+Texts fall into ``FOLDS`` folds by a hash of the text, and a text is weighed by models of the other folds,
+so no text, labelled or not, and no copy of it counts for itself: equal texts have equal weights.
 
 A log weight is compared with those of the labelled documents of its language and length: the bound is
-the one ``REJECTED`` of them lie below, in units of the root of the length. Lengths are classes of
-powers of two; a class of fewer than ``LEAST_LABELLED`` labelled documents takes the bound of its
-language, a language of fewer that of all. The draw goes by the distance from the bound.
+their lower quartile less ``REACH`` interquartile ranges, in units of the root of the length, and at
+least ``ODDS`` below 0. Lengths are classes of powers of two; a class of fewer than ``LEAST_LABELLED``
+labelled documents takes the bound of its language, a language of fewer that of all. The draw goes by
+the distance from the bound.
 
 Defined cases: a null or empty text has the weight 1 (log 0); without any labelled document every
 weight is 1 and all documents stay, and so do those of a language without one; null languages are a
@@ -40,11 +43,14 @@ LABELLED = 50_000
 # Smoothing, as a share of the occurrences the target model holds.
 SMOOTHING = 1e-5
 # Squared standard errors from equal odds at which a bucket's log ratio counts a quarter.
-EVIDENCE = 4.0
-# The share of labelled documents below the bound, when the draw's size is not given.
-REJECTED = 0.02
+EVIDENCE = 16.0
+# Interquartile ranges between the lower quartile of the labelled documents and the bound.
+REACH = 2.0
+# The log of odds against the target below which no document is rejected.
+ODDS = 1.0
 LEAST_LABELLED = 20
 LANGUAGES = 64
+FOLDS = 4
 # The power of the weights is 1 / TEMPERATURE.
 TEMPERATURE = 1.0
 SEED = 42
@@ -64,14 +70,21 @@ def languages(docs: DataFrame) -> list[str | None]:
 
 
 def fit(docs: DataFrame, target: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of the target documents and of all, by language; ``docs`` has doc_id, text and lang's place."""
+    """Bucket counts of the target documents and of all outside of each fold, by language and fold.
+
+    ``docs`` has doc_id, text, the place of lang and the fold; row lang * FOLDS + fold is a model's.
+    """
     known = docs.sparkSession.sparkContext.broadcast(target)
+    cells = n_langs * FOLDS
 
     def label(batch: pa.RecordBatch) -> np.ndarray:
-        return 2 * batch.column("lang").to_numpy() + ~_among(batch.column("doc_id"), known.value)
+        cell = batch.column("lang").to_numpy() * FOLDS + batch.column("fold").to_numpy()
+        return 2 * cell + ~_among(batch.column("doc_id"), known.value)
 
-    counts = collect_counts(class_counts(docs, 2 * n_langs, label), 2 * n_langs)[:-1]
-    return counts[0::2], counts[0::2] + counts[1::2]
+    counts = collect_counts(class_counts(docs, 2 * cells, label), 2 * cells)[:-1]
+    good, other = (counts[i::2].reshape(n_langs, FOLDS, BUCKETS) for i in (0, 1))
+    outside = [(x.sum(axis=1, keepdims=True) - x).reshape(cells, BUCKETS) for x in (good, good + other)]
+    return outside[0], outside[1]
 
 
 def _among(ids: pa.Array, known: np.ndarray) -> np.ndarray:
@@ -79,10 +92,7 @@ def _among(ids: pa.Array, known: np.ndarray) -> np.ndarray:
 
 
 def weights(docs: DataFrame, target: np.ndarray, wanted: np.ndarray, raw: np.ndarray) -> DataFrame:
-    """doc_id, lang, labelled, n_features and log_weight of every row, under models of all documents but its own.
-
-    Leaving a document's own counts out treats labelled and other documents alike.
-    """
+    """doc_id, lang, labelled, n_features and log_weight of every row, under the models of the other folds."""
     model = docs.sparkSession.sparkContext.broadcast((target, wanted, raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,15 +101,15 @@ def weights(docs: DataFrame, target: np.ndarray, wanted: np.ndarray, raw: np.nda
         size = good.sum(axis=1)
         shares = size / np.maximum(every.sum(axis=1), 1)
         for batch in batches:
-            member, langs = _among(batch.column("doc_id"), ids), batch.column("lang").to_numpy()
+            member = _among(batch.column("doc_id"), ids)
+            models = batch.column("lang").to_numpy() * FOLDS + batch.column("fold").to_numpy()
             for start, end, values in blocks(batch):
                 row, bucket = features(values, hashes)
                 cells, own = np.unique(row * BUCKETS + bucket, return_counts=True)
                 row, bucket = cells // BUCKETS, cells % BUCKETS
-                lang = langs[start:end][row]
-                share, smooth = shares[lang], SMOOTHING * np.maximum(size[lang], 1)
-                seen = np.maximum(good[lang, bucket] - own * member[start:end][row], 0)
-                expected = np.maximum(every[lang, bucket] - own, 0) * share
+                at = models[start:end][row]
+                share, smooth = shares[at], SMOOTHING * np.maximum(size[at], 1)
+                seen, expected = good[at, bucket], every[at, bucket] * share
                 # 0.5 stands for the spread of counts near 0.
                 errors = (seen - expected) ** 2 / (expected * (1 - share) + 0.5)
                 ratio = np.log((seen + smooth) / (expected + smooth)) * (errors / (errors + EVIDENCE)) ** 2
@@ -117,17 +127,20 @@ def above_bound(scored: DataFrame) -> DataFrame:
     root = F.sqrt(F.col("n_features").cast("double"))
     length = F.length(F.bin("n_features"))
     units = scored.where("labelled AND n_features > 0").select("lang", length.alias("length"), (F.col("log_weight") / root).alias("u"))
-    known = units.rollup("lang", "length").agg(F.percentile("u", F.lit(REJECTED)).alias("u"), F.count("*").alias("n")).collect()
-    bounds = {(r["lang"], r["length"]): r["u"] for r in known if r["n"] >= LEAST_LABELLED or r["lang"] is None}
+    quartiles = F.percentile("u", F.array(F.lit(0.25), F.lit(0.75))).alias("q")
+    known = units.rollup("lang", "length").agg(quartiles, F.count("*").alias("n")).where("n > 0").collect()
+    fence = {(r["lang"], r["length"]): r["q"][0] - REACH * (r["q"][1] - r["q"][0]) for r in known}
+    bounds = {(r["lang"], r["length"]): fence[r["lang"], r["length"]] for r in known if r["n"] >= LEAST_LABELLED or r["lang"] is None}
     # At most LANGUAGES times 64 rows.
     rows = [
-        (lang, size, bounds.get((lang, size), bounds.get((lang, None), bounds[None, None])))
+        (lang, size, bounds.get((lang, size), bounds.get((lang, None), bounds.get((None, None)))))
         for lang in sorted({r["lang"] for r in known if r["lang"] is not None})
         for size in range(1, 65)
     ]
     table = scored.sparkSession.createDataFrame(rows, "lang int, length int, bound double")
     joined = scored.withColumn("length", length).join(F.broadcast(table), ["lang", "length"], "left")
-    return joined.withColumn("above", F.col("log_weight") - F.coalesce("bound", F.lit(0.0)) * root)
+    bound = F.least(F.coalesce("bound", F.lit(0.0)) * root, F.lit(-ODDS))
+    return joined.withColumn("above", F.col("log_weight") - bound)
 
 
 def resample(
@@ -152,7 +165,8 @@ def resample(
     place = F.lit(len(known))
     for i, name in enumerate(known):
         place = F.when(F.col("lang").eqNullSafe(F.lit(name)), i).otherwise(place)
-    source = source.withColumn("lang", place.cast("int"))
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int")
+    source = source.withColumns({"lang": place.cast("int"), "fold": fold})
     wanted, raw = fit(source, target, len(known) + 1)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     gumbel = -F.log(-F.log(uniform))
