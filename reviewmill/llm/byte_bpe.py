@@ -8,7 +8,7 @@ equal ones, until no two neighbours form a token.
 
 The vocabulary goes to every executor; its size is the file's, not the data's. Texts are cut into blocks
 of bounded bytes; distinct pre-tokens of a block are looked up at once. A pre-token of n bytes costs
-n log n. Ids of the shorter ones that needed merging are remembered, at most ``REMEMBERED`` of them.
+n log n. The ids of short ones are remembered by the worker, about ``REMEMBERED`` of them.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; a very long text is encoded
 whole; bytes that aren't UTF-8 count as U+FFFD; ids are unique per text, so there are no ties; null
@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from reviewmill.llm.words import blocks, mix
 
-REMEMBERED = 200_000
-# Pre-tokens of more bytes aren't remembered.
+# Pre-tokens whose ids a worker remembers, some 200 bytes each, and the characters they may have.
+REMEMBERED = 600_000
 LONGEST = 64
 # Tokens per bucket of the perfect hash.
 LOAD = 4
@@ -157,43 +157,49 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes blocks of texts in a task."""
+    """Encodes blocks of texts in a task.
 
-    def __init__(self, table: PerfectHash, pattern: str):
+    ``known`` has the ids of pre-tokens met before, as bytes of 32-bit numbers. It may be a dictionary that
+    outlives the task.
+    """
+
+    def __init__(self, table: PerfectHash, pattern: str, known: dict[str, bytes] | None = None):
         self.table = table
         self.cut = regex.compile(pattern).findall
         self.ranks = dict(zip(table.tokens, table.ranks.tolist(), strict=True))
-        self.remembered: dict[bytes, list[int]] = {}
-
-    def _merged(self, piece: bytes) -> list[int]:
-        ids = self.remembered.get(piece)
-        if ids is None:
-            ids = merged(piece, self.ranks)
-            if len(piece) <= LONGEST:
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[piece] = ids
-        return ids
+        self.known = {} if known is None else known
+
+    def _learn(self, distinct: set[str]) -> list[str]:
+        """Look up the pre-tokens not known yet; those too long to be remembered are returned."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [p for p in distinct if p not in self.known]
+        pieces = [p.encode() for p in new]
+        for p, piece, rank in zip(new, pieces, self.table.find(pieces), strict=True):
+            ids = [rank] if rank >= 0 else merged(piece, self.ranks)
+            self.known[p] = struct.pack(f"<{len(ids)}i", *ids)
+        return [p for p in new if len(p) > LONGEST]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         cut = [self.cut(t) for t in texts]
-        distinct = list(dict.fromkeys(chain.from_iterable(cut)))
-        pieces = [p.encode() for p in distinct]
-        found = self.table.find(pieces)
-        ids = {d: [r] if r >= 0 else self._merged(p) for d, p, r in zip(distinct, pieces, found, strict=True)}
-        lists = [list(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+        long = self._learn(set().union(*cut))
+        packed = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for p in long:
+            del self.known[p]
+        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        return np.frombuffer(b"".join(packed), "<i4"), counts
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row."""
-    table = docs.sparkSession.sparkContext.broadcast(vars(PerfectHash(ranks)))
+    # A worker reads the table once for all its tasks, so they share what one of them remembers.
+    table = docs.sparkSession.sparkContext.broadcast((vars(PerfectHash(ranks)), {}))
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(PerfectHash.of(table.value), pattern)
+        state, known = table.value
+        encoder = Encoder(PerfectHash.of(state), pattern, known)
         for batch in batches:
             for start, end, values in blocks(batch):
                 ids, counts = encoder.encode([(v or b"").decode(errors="replace") for v in values])
@@ -215,10 +221,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            # A slice at a time, so that one batch's lists are never all Python objects at once.
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                texts = [b"".join([known[i] for i in ids or ()]) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+            lists = batch.column("ids")
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            texts = [b"".join(map(known.__getitem__, flat[a:b].tolist())) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
