@@ -33,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.words import blocks, mix, offsets
+from reviewmill.llm.words import blocks, give_back, mix, offsets
 
 SHARPNESS = 0.5
 SEED = 1
@@ -387,6 +387,7 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         vocabulary = Vocabulary.of(sent.value)
         for batch in batches:
             keys = batch.column("doc_id").fill_null(0).to_numpy()
@@ -410,6 +411,7 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
                     ],
                     ["doc_id", "rank", "n_pieces", "log_prob", "inclusion", "ids", "round_trip"],
                 )
+                give_back()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     columns = "doc_id bigint, rank int, n_pieces bigint, log_prob double, inclusion double, ids array<int>, round_trip boolean"

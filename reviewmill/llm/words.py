@@ -6,6 +6,8 @@ case; that is how ``bytes.lower().split()`` cuts UTF-8, without decoding it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,16 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
         start = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is kept for later tasks, with what it once took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
