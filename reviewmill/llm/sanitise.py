@@ -15,8 +15,10 @@ many common lines, bounded by Chernoff's inequality, times the number of all pai
 entity, is at most ``CHANCE``. Copies of a line are one line and so no evidence. Terms, entities, pairs
 and the total are all counted in different lines.
 
-Defined cases: a null or empty text has no spans; a null id keeps its row; repeated rows get the same
-spans; other columns are not read; empty tables give empty results. Offsets are code points.
+Defined cases: a null or empty text has no spans; a very long text is searched whole, in linear time, and
+its numbers may have any number of digits; a null id keeps its row; repeated rows get the same spans; terms
+of equal disclosure (ties) are all marked; other columns are not read, and ``sanitised`` passes them on,
+whatever their names; empty tables give empty results. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             length = sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
                 yield start, start + length
             start += length + 1
 
@@ -320,11 +322,12 @@ def _kind_of(term: Column) -> Column:
 
 def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with entities masked and revealing terms generalised or removed."""
-    marks = found.where("spans <> ''").select(F.col("doc_id").alias("_id"), "spans", "terms").dropDuplicates(["_id", "spans"])
+    marks = found.where("spans <> ''").dropDuplicates(["doc_id", "spans"])
+    marks = marks.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("terms").alias("_terms"))
     joined = docs.join(marks, docs[id_col].eqNullSafe(marks["_id"]), "left")
-    text = F.col(text_col).cast("string")
+    spans, text = marks["_spans"], docs[text_col].cast("string")
     items = F.transform(
-        F.filter(F.split("spans", ","), lambda s: ~s.startswith("term:")),
+        F.filter(F.split(spans, ","), lambda s: ~s.startswith("term:")),
         lambda s: F.struct(
             F.split(s, ":")[1].cast("bigint").alias("start"),
             F.split(s, ":")[2].cast("bigint").alias("end"),
@@ -332,7 +335,7 @@ def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
         ),
     )
     masked = F.transform(
-        "terms",
+        marks["_terms"],
         lambda t: F.struct(
             t["start"].alias("start"),
             t["end"].alias("end"),
@@ -359,5 +362,5 @@ def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
         ),
     )
     rest = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when(F.col("spans").isNull(), text).otherwise(rest)
+    clean = F.when(spans.isNull(), text).otherwise(rest)
     return joined.select(*(clean.alias(c) if c == text_col else docs[c] for c in docs.columns))

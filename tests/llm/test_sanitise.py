@@ -34,6 +34,8 @@ def test_luhn():
 
 def test_long_digits_and_runs_stay_linear():
     sanitise.base_spans("1" * 300_000 + " " + "a." * 100_000 + "@" * 1000 + "+1" + " (" * 100_000)
+    zeros = "0" * 5000
+    assert sanitise.base_spans(f"{zeros}.1.1.1 {zeros}7.1.1.{zeros} {zeros}256.1.1.1") == [(1, 0, 5006), (1, 5007, 15013)]
 
 
 def rows():
@@ -90,6 +92,12 @@ def test_sanitised_texts(documents):
     assert sanitise.sanitised(table, sanitise.find(table)).columns == table.columns
 
 
+def test_sanitised_keeps_columns_of_clashing_names(documents):
+    table = documents([(1, "to a@b.cd now"), (2, "none")]).selectExpr("doc_id", "text", "'s' AS spans", "'t' AS terms", "'i' AS _id", "'u' AS _spans")
+    got = sanitise.sanitised(table, sanitise.find(table)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "to <EMAIL> now", "s", "t", "i", "u"), (2, "none", "s", "t", "i", "u")]
+
+
 def test_edge_cases(documents):
     empty = hashlib.sha256(b"").hexdigest()
     got = sanitise.find(documents([(1, None), (2, ""), (None, "x"), (3, "é 😀 a@b.cd"), (3, "é 😀 a@b.cd")])).collect()
