@@ -9,9 +9,14 @@ so no rate passes through the driver.
 
 A rate of 1.4 means one copy, and another for 4 of 10 documents, drawn by a hash of the id.
 
-Defined cases: a null or empty text has no tokens and the prior as its posterior; a domain that no
-labelled document has isn't mixed; without labelled documents, or without tokens, every rate is 1;
-repeated rows get equal rates; empty tables give empty results.
+Labelled domains beyond the ``DOMAINS`` most frequent ones share a further class, whose name is null and
+whose weight is that of ``None``. A target that no labelled document can serve is an error, not dropped:
+the other domains would take its tokens. ``residuals`` says how far each domain is from its target.
+
+Defined cases: a null or empty text has no tokens and the prior as its posterior; a very long text is read
+whole; of equal posteriors (ties) the more frequent domain is the likeliest; without labelled documents, or
+without tokens, every rate is 1; repeated rows get equal rates; other columns are not read, and ``copies``
+passes them on, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from reviewmill.llm.words import WordHashes, blocks
 from reviewmill.scale import cut_lineage
 
 LABELLED = 50_000
-# Domains the classifier tells apart: the most frequent ones of the labelled documents.
+# Domains the classifier tells apart: the most frequent ones of the labelled documents. The others are one more.
 DOMAINS = 64
 # A document's features count as at most so many independent ones.
 EVIDENCE = 32
@@ -47,18 +52,34 @@ SEED = 7
 def mix(
     docs: DataFrame,
     labelled: DataFrame,
-    targets: dict[str, float] | None = None,
+    targets: dict[str | None, float] | None = None,
     total: float | None = None,
     least: float = 0.0,
     domain_col: str = "lang",
     id_col: str = "doc_id",
     text_col: str = "text",
+    most: int = DOMAINS,
 ) -> DataFrame:
     """doc_id, n_tokens, posterior (thousandths by domain), domain (the likeliest), rate, copies.
 
-    ``targets`` weighs the domains; ``total`` is the tokens to reach, by default the fewest at which
-    no domain is used at a rate below 1. No rate falls below ``least``.
+    ``targets`` weighs the domains, by default by their shares to the power ``FLATTEN``; ``total`` is the
+    tokens to reach, by default the fewest at which no domain is used at a rate below 1. No rate falls
+    below ``least``.
     """
+    return _solved(docs, labelled, targets, total, least, domain_col, id_col, text_col, most)[0]
+
+
+def residuals(docs: DataFrame, labelled: DataFrame, *args, **named) -> DataFrame:
+    """domain, own, wanted and reached (expected tokens before, by target and after) for ``mix`` of the same arguments."""
+    named = {"targets": None, "total": None, "least": 0.0, "domain_col": "lang", "id_col": "doc_id", "text_col": "text", "most": DOMAINS} | named
+    named |= dict(zip(named, args, strict=False))
+    _, domains, tokens = _solved(docs, labelled, **named)
+    rows = [(d, *(float(x) for x in own)) for d, own in zip(domains, np.transpose(tokens), strict=True)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, own double, wanted double, reached double")
+
+
+def _solved(docs, labelled, targets, total, least, domain_col, id_col, text_col, most) -> tuple[DataFrame, list, np.ndarray]:
+    """The rows of ``mix``, the domains, and their own, wanted and reached tokens."""
     source = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
@@ -68,36 +89,48 @@ def mix(
     marked = source.where("domain IS NOT NULL").select("doc_id", "domain")
     known = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id bigint")
     counts = marked.join(F.broadcast(known), "doc_id", "left_semi").groupBy("domain").count()
-    domains = [r["domain"] for r in counts.orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()]
+    # At most as many domains as labelled documents.
+    domains: list[str | None] = [r["domain"] for r in counts.orderBy(F.desc("count"), "domain").limit(most + 1).collect()]
+    if len(domains) > most:
+        domains[most] = None
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     if not domains:
         counted = posteriors(source, np.zeros((1, BUCKETS)), np.ones(1))
         empty = counted.select("doc_id", "n_tokens", F.array().cast("array<int>").alias("posterior"))
-        return empty.select("*", F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        empty = empty.select("*", F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return empty, [], np.zeros((3, 0))
+    weights = _weights(domains, targets)
     scored = cut_lineage(posteriors(source, *fit(source, ids, domains)))
-    rate = fit_rates(scored, len(domains), _weights(domains, targets), total, least)
+    rate, tokens = fit_rates(scored, len(domains), weights, total, least)
     top = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return (
-        scored.withColumn("domain", F.element_at(F.array(*(F.lit(d) for d in domains)), top))
+    mixed = (
+        scored.withColumn("domain", F.element_at(F.array(*(F.lit(d).cast("string") for d in domains)), top))
         .withColumn("rate", rate)
         .withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
     )
+    return mixed, domains, tokens
 
 
-def _weights(domains: list[str], targets: dict[str, float] | None) -> np.ndarray | None:
-    return None if targets is None else np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+def _weights(domains: list[str | None], targets: dict[str | None, float] | None) -> np.ndarray | None:
+    if targets is None:
+        return None
+    out_of_reach = [d for d, w in targets.items() if w > 0 and d not in domains]
+    if out_of_reach:
+        raise ValueError(f"targets that no class of labelled documents serves: {out_of_reach}")
+    return np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
 
 
-def fit(docs: DataFrame, ids: np.ndarray, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, ids: np.ndarray, domains: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each bucket in each domain, and the domains' shares."""
     known = docs.sparkSession.sparkContext.broadcast(ids)
 
     place = {d: i for i, d in enumerate(domains)}
+    rest = place.pop(None, -1)
 
     def label(batch: pa.RecordBatch) -> np.ndarray:
         own = batch.column("doc_id")
         labelled = np.isin(own.fill_null(0).to_numpy(), known.value) & own.is_valid().to_numpy(False)
-        cls = [place.get(d, -1) if m else -1 for d, m in zip(batch.column("domain").to_pylist(), labelled, strict=True)]
+        cls = [place.get(d, rest) if m and d is not None else -1 for d, m in zip(batch.column("domain").to_pylist(), labelled, strict=True)]
         return np.array(cls, np.int64)
 
     n = len(domains)
@@ -137,8 +170,8 @@ def _dot(vector: np.ndarray) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def fit_rates(scored: DataFrame, n: int, weights: np.ndarray | None, total: float | None, least: float) -> Column:
-    """The rate as an expression of the posterior."""
+def fit_rates(scored: DataFrame, n: int, weights: np.ndarray | None, total: float | None, least: float) -> tuple[Column, np.ndarray]:
+    """The rate as an expression of the posterior, and each domain's own, wanted and reached tokens."""
     groups = cut_lineage(scored.groupBy("posterior").agg(F.sum("n_tokens").alias("tokens")))
 
     def tokens(rate: Column) -> np.ndarray:
@@ -149,7 +182,7 @@ def fit_rates(scored: DataFrame, n: int, weights: np.ndarray | None, total: floa
     if weights is None:
         weights = own**FLATTEN
     if not own.sum() or not weights.sum():
-        return F.lit(1.0)
+        return F.lit(1.0), np.array([own, own, own])
     weights = weights / weights.sum()
     if total is None:
         total = (own[weights > 0] / weights[weights > 0]).max()
@@ -167,7 +200,7 @@ def fit_rates(scored: DataFrame, n: int, weights: np.ndarray | None, total: floa
         history.append((reached - wanted) / scale)
         before = distance
         reached = tokens(_folded(history, bound, least))
-    return _folded(history, bound, least)
+    return _folded(history, bound, least), np.array([own, wanted, reached])
 
 
 def _folded(history: list[np.ndarray], bound: Column, least: float) -> Column:

@@ -1,7 +1,13 @@
+import collections
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.llm import mixing
+from reviewmill.llm.features import BUCKETS, features
+from reviewmill.llm.words import WordHashes
 
 SIZES = {"aa": 240, "bb": 90, "cc": 30}
 
@@ -64,3 +70,63 @@ def test_edge_cases(spark, documents, rows, labelled):
     assert len(got) == len(rows) + len(odd) and all(r["rate"] >= 0 for r in got)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (9000, 9001)} == {0}
     assert mixing.mix(documents([]), labelled).collect() == []
+
+
+def test_targets_out_of_reach_are_errors(documents, rows, labelled):
+    with pytest.raises(ValueError, match="fr"):
+        mixing.mix(documents(rows), labelled, {"aa": 1, "bb": 1, "fr": 8}, 100)
+    mixing.mix(documents(rows), labelled, {"aa": 1, "bb": 1, "fr": 0}, 100)
+
+
+def test_domains_beyond_the_most_frequent_share_a_class(documents, rows, labelled):
+    more = rows + [(1000 + i, " ".join(f"dd{w}x{i % 7}" for w in range(40)), "dd", "s") for i in range(8)]
+    known = labelled.union(labelled.sparkSession.range(1000, 1008).toDF("doc_id"))
+    weights = {"aa": 1, "bb": 1, None: 2}
+    got = mixing.mix(documents(more), known, weights, 12_000.0, most=2).collect()
+    assert {r["domain"] for r in got if r["doc_id"] >= 330} == {None}
+    left = {r["domain"]: r for r in mixing.residuals(documents(more), known, weights, 12_000.0, most=2).collect()}
+    assert set(left) == {"aa", "bb", None} and left[None]["wanted"] == pytest.approx(6000)
+    assert all(r["reached"] == pytest.approx(r["wanted"], abs=120) for r in left.values())
+    with pytest.raises(ValueError, match="cc"):
+        mixing.mix(documents(more), known, {"aa": 1, "cc": 1}, 100, most=2)
+
+
+def test_posteriors_rates_and_copies_equal_a_plain_model(documents, rows, labelled):
+    weights, total = {"aa": 2, "bb": 3, "cc": 4}, 15_000.0
+    table = documents(rows)
+    got = {r["doc_id"]: r for r in mixing.mix(table, labelled, weights, total).collect()}
+    domains = sorted(SIZES, key=SIZES.get, reverse=True)
+    buckets = {i: features([text.encode()], WordHashes())[1].tolist() for i, text, *_ in rows}
+    every = collections.Counter(b for own in buckets.values() for b in own)
+    n_all, counts = sum(every.values()), {d: collections.Counter() for d in domains}
+    for i, _, lang, _ in rows:
+        if i % 2:
+            counts[lang].update(buckets[i])
+    sizes = {d: sum(counts[d].values()) for d in domains}
+    shares = {}
+    for i, text, *_ in rows:
+        logits = []
+        for d in domains:
+            chance = lambda b: (counts[d][b] + mixing.SMOOTHING * (every[b] + 1) / (n_all + BUCKETS)) / (sizes[d] + mixing.SMOOTHING)  # noqa: E731, B023
+            mean = sum(math.log(chance(b)) for b in buckets[i]) / len(buckets[i])
+            logits.append(mean * min(len(buckets[i]), mixing.EVIDENCE) + math.log((sizes[d] + 1) / (sum(sizes.values()) + len(domains))))
+        odds = [math.exp(x - max(logits)) for x in logits]
+        shares[i] = [1000 * o / sum(odds) for o in odds]
+        assert all(abs(p - q) < 3 for p, q in zip(got[i]["posterior"], shares[i], strict=True))
+        assert got[i]["n_tokens"] == len(text.split())
+    posterior = np.array([got[r[0]]["posterior"] for r in rows]) / 1000
+    tokens = np.array([len(r[1].split()) for r in rows], float)
+    wanted = total * np.array([weights[d] for d in domains]) / sum(weights.values())
+    scale = np.maximum(wanted, 1e-3 * total) ** 2
+    bound = posterior @ ((posterior.T @ tokens) / scale)
+    rate, reached = np.ones(len(rows)), posterior.T @ tokens
+    for _ in range(mixing.STEPS):
+        rate = np.maximum(0, rate - posterior @ ((reached - wanted) / scale) / bound)
+        reached = posterior.T @ (tokens * rate)
+        if np.abs((reached - wanted) / np.sqrt(scale)).max() < mixing.CLOSE:
+            break
+    for r, expected in zip(rows, rate, strict=True):
+        assert got[r[0]]["rate"] == pytest.approx(expected, abs=0.02)
+        assert math.floor(got[r[0]]["rate"]) <= got[r[0]]["copies"] <= math.floor(got[r[0]]["rate"]) + 1
+    left = {r["domain"]: r["reached"] for r in mixing.residuals(table, labelled, weights, total).collect()}
+    assert [left[d] for d in domains] == pytest.approx(wanted.tolist(), rel=2e-3)
