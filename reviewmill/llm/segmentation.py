@@ -13,18 +13,22 @@ A path's inclusion score is 1 - exp(-exp(log_prob - threshold)), its probability
 drawn given the threshold, the largest number not drawn.
 
 No piece has a blank behind another character or a line break, so lattices are built per stretch of
-blanks and the characters after it, once for each distinct stretch of a block.
+blanks and the characters after it, once for each distinct stretch of a block. A task keeps those it
+meets first, up to ``KEPT`` nodes, for its later blocks.
 
 Encoding puts a blank before the text, as the model does; decoding takes it off, and gives back the
 text exactly. Defined cases: a null or empty text has one segmentation, without pieces; a text with
 fewer than k segmentations gives all it has; a null key counts as 0; repeated rows give equal
-results; empty tables give empty results; other columns are not read.
+results; of regions with equal numbers (ties) the earlier path's earlier step is taken; a text longer than
+a block is a block of its own, drawn whole; empty tables give empty results; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,6 +42,8 @@ from reviewmill.llm.words import blocks, give_back, mix, offsets
 SHARPNESS = 0.5
 SEED = 1
 BLOCK = 1 << 19
+# Nodes of lattices, about 110 bytes each, that a task keeps from block to block.
+KEPT = 3 << 18
 STRETCH = re.compile(r" *[^ \n]+| +|\n")
 # Fixed values of the model format: the visible blank, and the first byte piece's id.
 BLANK = 0x2581
@@ -142,14 +148,14 @@ class Lattices:
             weights.ravel()[cell] = vocabulary.weight[ids]
             more = vocabulary.prefix[slot]
             at, h = at[more], h[more]
-        self.bytes = 1 + (self.code >= 0x80) + (self.code >= 0x800) + (self.code >= 0x10000)
+        self.bytes = (1 + (self.code >= 0x80) + (self.code >= 0x800) + (self.code >= 0x10000)).astype(np.int8)
         spelled = np.flatnonzero(self.id[:, 0] < 0)
         weights[spelled, 0] = self.bytes[spelled] * vocabulary.byte_weight
         self.vocabulary = vocabulary
         # Log mass of all paths from a node to its stretch's end, the nodes nearest to an end first.
         self.mass = np.zeros(size + 1)
         self.cumulative = np.zeros((size, width), np.float32)
-        self.longest = np.ones(size, np.int64)
+        self.longest = np.ones(size, np.int16)
         if not size:
             return
         order = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
@@ -180,10 +186,63 @@ class Lattices:
 
     def log_share(self, node: np.ndarray, step: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of taking the piece of ``step`` characters at a node."""
-        onward = np.where(node + step == end, 0.0, self.mass[node + step])
-        piece = self.id[node, step - 1]
-        weight = np.where(piece < 0, self.bytes[node] * self.vocabulary.byte_weight, self.vocabulary.weight[piece])
-        return np.minimum(weight.astype(np.float32) + onward - self.mass[node], 0.0)
+        after = node + step
+        onward = self.mass.take(after)
+        onward[after == end] = 0.0
+        piece = self.pieces(node, step)
+        weight = self.vocabulary.weight.take(piece, mode="wrap")
+        spelled = np.flatnonzero(piece < 0)
+        weight[spelled] = self.bytes[node[spelled]] * self.vocabulary.byte_weight
+        return np.minimum(weight.astype(np.float32) + onward - self.mass.take(node), 0.0)
+
+    def pieces(self, node: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The piece of ``step`` characters at a node, -1 for a character to spell."""
+        return self.id.ravel().take(node * self.id.shape[1] + (step - 1))
+
+    def steps(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The piece lengths that numbers ``u`` between 0 and 1 draw at nodes."""
+        above = self.cumulative.take(node, axis=0) > u[:, None]
+        # Shares add up to 1 but for rounding; a number above all of them takes the longest piece.
+        longest = self.longest.take(node)
+        return np.where(above[:, -1], np.minimum(above.argmax(axis=1) + 1, longest), longest)
+
+
+class KeptLattices(Lattices):
+    """Lattices of the stretches numbered in ``index``, built as they come; the first ones are kept."""
+
+    COLUMNS = ("code", "id", "bytes", "mass", "cumulative", "longest")
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__([], vocabulary)
+        self.index = _Index()
+        self.nodes = 0
+
+    def extend(self) -> None:
+        """Build the lattices of the stretches that the index has numbered since the last call."""
+        part = Lattices(list(islice(self.index, len(self.start), None)), self.vocabulary)
+        first, self.nodes = self.nodes, self.nodes + len(part.code)
+        self.start = np.concatenate([self.start, part.start + first])
+        self.end = np.concatenate([self.end, part.end + first])
+        for name in self.COLUMNS:
+            column, new = getattr(self, name), getattr(part, name)
+            if len(column) <= self.nodes:
+                room = np.zeros((max(self.nodes + 1, len(column) * 3 // 2), *column.shape[1:]), column.dtype)
+                room[:first] = column[:first]
+                setattr(self, name, room)
+            getattr(self, name)[first : first + len(new)] = new
+
+    def trim(self) -> None:
+        """Forget the stretches behind the first ``KEPT`` nodes."""
+        if self.nodes <= KEPT:
+            return
+        kept = int(np.searchsorted(self.end, KEPT, side="right"))
+        for stretch in list(islice(self.index, kept, None)):
+            del self.index[stretch]
+        self.start, self.end = self.start[:kept].copy(), self.end[:kept].copy()
+        self.nodes = int(self.end[-1]) if kept else 0
+        if len(self.code) > 2 * KEPT:
+            for name in self.COLUMNS:
+                setattr(self, name, getattr(self, name)[: self.nodes + 1].copy())
 
 
 def _uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -217,9 +276,15 @@ def _truncated(location: np.ndarray, bound: np.ndarray, uniform: np.ndarray) ->
     return np.where(np.isneginf(location), -np.inf, np.minimum(value, bound))
 
 
-def draw(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int, seed: int = SEED) -> list[list[tuple]]:
-    """For each text its drawn segmentations, in order: (ids, log_prob, inclusion)."""
-    index = _Index()
+def draw(
+    texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int, seed: int = SEED, lattices: KeptLattices | None = None
+) -> list[list[tuple]]:
+    """For each text its drawn segmentations, in order: (ids, log_prob, inclusion).
+
+    ``lattices`` of texts drawn before are used, and extended by those of the other stretches.
+    """
+    lattices = KeptLattices(vocabulary) if lattices is None else lattices
+    index = lattices.index
     found, counts = [], []
     for text in texts:
         own = STRETCH.findall(" " + text) if text else []
@@ -228,7 +293,7 @@ def draw(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int, see
     n = len(texts)
     unit = np.concatenate([np.zeros(0, np.int64), *found])
     text_of = np.repeat(np.arange(n), counts)
-    lattices = Lattices(list(index), vocabulary)
+    lattices.extend()
     length = (lattices.end - lattices.start)[unit] if len(unit) else unit
     ends = offsets(np.array(counts, np.int64))
     total = np.concatenate([[0], np.cumsum(length)])
@@ -240,17 +305,15 @@ def draw(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int, see
         """Free draws from a node of each stretch to its end: node, step, share, place, stretch, in order."""
         out = []
         stop = lattices.end[unit[units]]
-        first = lattices.start[unit[units]]
-        offset = begin[units]
+        shift = begin[units] - lattices.start[unit[units]]
         at = np.arange(len(units))
         while len(at):
-            place = offset + node - first
-            u = _uniform(seed_of, place).astype(np.float32)
-            step = np.minimum((lattices.cumulative[node] <= u[:, None]).sum(axis=1) + 1, lattices.longest[node])
+            place = shift + node
+            step = lattices.steps(node, _uniform(seed_of, place).astype(np.float32))
             out.append((at, node, step, lattices.log_share(node, step, stop), place))
             node = node + step
-            on = node < stop
-            at, node, seed_of, stop, first, offset = (a[on] for a in (at, node, seed_of, stop, first, offset))
+            on = np.flatnonzero(node < stop)
+            at, node, seed_of, stop, shift = (a.take(on) for a in (at, node, seed_of, stop, shift))
         if not out:
             return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)] * 2
         steps = np.zeros(len(units), np.int64)
@@ -359,7 +422,7 @@ def _branch(paths, which, where, open_, best, seeds, taken, lattices, unit, text
 
 def _ids(path: _Paths, lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, and where each text's begin; spelled characters become byte pieces."""
-    ids = lattices.id[path.node, path.step - 1].astype(np.int32)
+    ids = lattices.pieces(path.node, path.step).astype(np.int32)
     spelled = ids < 0
     count = np.where(spelled, lattices.bytes[path.node], 1)
     out = np.repeat(ids, count)
@@ -389,11 +452,13 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         vocabulary = Vocabulary.of(sent.value)
+        lattices = KeptLattices(vocabulary)
         for batch in batches:
             keys = batch.column("doc_id").fill_null(0).to_numpy()
             for start, end, values in blocks(batch, limit=BLOCK):
                 texts = [(v or b"").decode() for v in values]
-                drawn = draw(texts, keys[start:end], vocabulary, k, seed)
+                drawn = draw(texts, keys[start:end], vocabulary, k, seed, lattices)
+                lattices.trim()
                 flat = [(start + i, r + 1, *d) for i, own in enumerate(drawn) for r, d in enumerate(own)]
                 lists = [f[2] for f in flat]
                 ends = offsets(np.fromiter(map(len, lists), np.int64, len(lists))).astype(np.int32)

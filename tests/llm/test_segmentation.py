@@ -89,3 +89,16 @@ def test_encode_and_decode_tables(documents):
     texts = {(r["doc_id"], r["decoded"]) for r in segmentation.decode(got, MODEL).collect()}
     assert texts == {(i, t or "") for i, t in rows}
     assert segmentation.encode(documents([]), MODEL).collect() == []
+
+
+def test_kept_lattices_change_nothing(vocabulary, monkeypatch):
+    monkeypatch.setattr(segmentation, "KEPT", 40)
+    blocks = [["the cat sat", "é▁ z", ""], ["the cat ran far away " * 9, "日本 sat"], [], ["sat the", "new words here\nthe"]]
+    lattices = segmentation.KeptLattices(vocabulary)
+    for texts in blocks:
+        keys = np.arange(len(texts))
+        got = segmentation.draw(texts, keys, vocabulary, 3, lattices=lattices)
+        lattices.trim()
+        assert lattices.nodes <= 40 and len(lattices.index) == len(lattices.start)
+        for own, fresh in zip(got, segmentation.draw(texts, keys, vocabulary, 3), strict=True):
+            assert [(a.tolist(), p, q) for a, p, q in own] == [(a.tolist(), p, q) for a, p, q in fresh]
