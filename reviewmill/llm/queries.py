@@ -55,6 +55,42 @@ _BLANKS = r"\x20\x09-\x0D"
 _LEVEL = "g.level, g.lang, g.source, g.signal"
 
 
+def _outside_sql(name: str, condition: str) -> str:
+    """Tables up to <name>_outside: of the rates under the condition, those outside the fences these make."""
+    fence = "CASE WHEN o.docs >= 200 THEN o.{0} WHEN l.docs >= 200 THEN l.{0} ELSE a.{0} END"
+    return f"""{name} AS (SELECT * FROM rates WHERE {condition}),
+    {name}_buckets AS (
+        SELECT lang, source, signal, v - v % u AS low, v - v % u + u - 1 AS high
+        FROM (SELECT *, CAST(1 AS BIGINT) << greatest(0, length(bin(v)) - 7) AS u FROM {name})),
+    {name}_levels AS (
+        SELECT 0 AS level, lang, source, signal, low, high FROM {name}_buckets
+        UNION ALL SELECT 1, lang, NULL, signal, low, high FROM {name}_buckets
+        UNION ALL SELECT 2, NULL, NULL, signal, low, high FROM {name}_buckets),
+    {name}_sketches AS (SELECT level, lang, source, signal, low, high, count(*) AS n FROM {name}_levels GROUP BY ALL),
+    {name}_ranked AS (
+        SELECT g.*, sum(n) OVER (PARTITION BY {_LEVEL} ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {_LEVEL}) AS docs,
+               lag(high) OVER (PARTITION BY {_LEVEL} ORDER BY low) AS before FROM {name}_sketches g),
+    {name}_cut AS (
+        SELECT g.*, min(low) FILTER (low > 8 * greatest(before, 200) AND (upto - n) * 4 >= docs * 3) OVER (PARTITION BY {_LEVEL}) AS cut
+        FROM {name}_ranked g),
+    {name}_tails AS (SELECT g.*, sum(n) FILTER (cut IS NULL OR low < cut) OVER (PARTITION BY {_LEVEL}) AS tail FROM {name}_cut g),
+    {name}_quantiles AS (
+        SELECT {_LEVEL}, max(docs) AS docs, min(low) FILTER (upto * 100 >= docs * 25) AS q25, min(high) FILTER (upto * 100 >= docs * 75) AS q75,
+               min(high) FILTER (upto * 100 >= tail * 90) AS q90, min(high) FILTER (upto * 100 >= tail * 99) AS q99
+        FROM {name}_tails g GROUP BY {_LEVEL}),
+    {name}_fences AS (
+        SELECT *, CASE signal WHEN 'word_length' THEN q25 - greatest(3 * (q75 - q25), 1500) ELSE 0 END AS least,
+               CASE signal WHEN 'word_length' THEN q75 + greatest(3 * (q75 - q25), 1500)
+                    ELSE greatest(q75 + 3 * (q75 - q25), q99 + greatest(2 * (q99 - q90), 200)) END AS most
+        FROM {name}_quantiles),
+    {name}_outside AS (
+        SELECT r.doc_id, r.signal FROM {name} r
+        JOIN {name}_fences o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source AND o.signal = r.signal
+        JOIN {name}_fences l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM r.lang AND l.signal = r.signal
+        JOIN {name}_fences a ON a.level = 2 AND a.signal = r.signal
+        WHERE r.v > {fence.format("most")} OR r.v < {fence.format("least")})"""
+
+
 @query(
     rf"""
     WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -73,35 +109,18 @@ _LEVEL = "g.level, g.lang, g.source, g.signal"
         FROM cut LEFT JOIN covered USING (doc_id)),
     judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
     rates AS (
-        SELECT doc_id, lang, source, base_failed, 'word_length' AS signal, 1500 AS slack, 1000 * word_chars // greatest(n_words, 1) AS v FROM judged
-        UNION ALL SELECT doc_id, lang, source, base_failed, 'symbols', 300, 10000 * n_symbols // greatest(n_words, 1) FROM judged
-        UNION ALL SELECT doc_id, lang, source, base_failed, 'dup_lines', 3500, 10000 * n_dup_lines // greatest(n_lines, 1) FROM judged
-        UNION ALL SELECT doc_id, lang, source, base_failed, 'repeats', 1500, 10000 * n_repeat_words // greatest(n_words, 1) FROM judged),
-    buckets AS (
-        SELECT lang, source, signal, slack, v - v % u AS low, v - v % u + u - 1 AS high
-        FROM (SELECT *, CAST(1 AS BIGINT) << greatest(0, length(bin(v)) - 7) AS u FROM rates WHERE NOT base_failed)),
-    levels AS (
-        SELECT 0 AS level, lang, source, signal, slack, low, high FROM buckets
-        UNION ALL SELECT 1, lang, NULL, signal, slack, low, high FROM buckets
-        UNION ALL SELECT 2, NULL, NULL, signal, slack, low, high FROM buckets),
-    sketches AS (SELECT level, lang, source, signal, slack, low, high, count(*) AS n FROM levels GROUP BY ALL),
-    ranked AS (
-        SELECT g.*, sum(n) OVER (PARTITION BY {_LEVEL} ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {_LEVEL}) AS docs FROM sketches g),
-    quartiles AS (
-        SELECT {_LEVEL}, slack, max(docs) AS docs, min(low) FILTER (upto * 4 >= docs) AS q1, min(high) FILTER (upto * 4 >= docs * 3) AS q3
-        FROM ranked g GROUP BY {_LEVEL}, slack),
-    fences AS (SELECT *, greatest(3 * (q3 - q1), slack) AS reach FROM quartiles),
-    outside AS (
-        SELECT DISTINCT r.doc_id FROM rates r
-        JOIN fences o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source AND o.signal = r.signal
-        JOIN fences l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM r.lang AND l.signal = r.signal
-        JOIN fences a ON a.level = 2 AND a.signal = r.signal
-        WHERE r.v > CASE WHEN o.docs >= 200 THEN o.q3 + o.reach WHEN l.docs >= 200 THEN l.q3 + l.reach ELSE a.q3 + a.reach END
-           OR r.signal = 'word_length'
-          AND r.v < CASE WHEN o.docs >= 200 THEN o.q1 - o.reach WHEN l.docs >= 200 THEN l.q1 - l.reach ELSE a.q1 - a.reach END)
+        SELECT doc_id, lang, source, base_failed, 'word_length' AS signal, 1000 * word_chars // greatest(n_words, 1) AS v FROM judged
+        UNION ALL SELECT doc_id, lang, source, base_failed, 'symbols', 10000 * n_symbols // greatest(n_words, 1) FROM judged
+        UNION ALL SELECT doc_id, lang, source, base_failed, 'dup_lines', 10000 * n_dup_lines // greatest(n_lines, 1) FROM judged
+        UNION ALL SELECT doc_id, lang, source, base_failed, 'repeats', 10000 * n_repeat_words // greatest(n_words, 1) FROM judged),
+    {_outside_sql("words", "signal = 'word_length' AND NOT base_failed")},
+    {_outside_sql("tails", "signal <> 'word_length' AND NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM words_outside)")},
+    reasons AS (
+        SELECT doc_id, min_by(signal, CASE signal WHEN 'word_length' THEN 1 WHEN 'symbols' THEN 2 WHEN 'dup_lines' THEN 3 ELSE 4 END) AS reason
+        FROM (FROM words_outside UNION ALL FROM tails_outside) GROUP BY doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
-           NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
-    FROM judged
+           NOT base_failed AND reason IS NULL AS kept, CASE WHEN base_failed THEN 'base' ELSE reason END AS reason
+    FROM judged LEFT JOIN reasons USING (doc_id)
     """
 )
 def op2_adaptive_quality_rules(spark, sf_dir):

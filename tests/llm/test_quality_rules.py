@@ -59,6 +59,32 @@ def test_sketches_merge_like_sums(spark):
     assert abs(fence["symbols_most"] - (q3 + 3 * (q3 - q1))) / (4 * q3) < 1 / 32
 
 
+def test_tails_carry_on_and_end_where_they_break(spark):
+    def most(values, signal="repeats"):
+        rows = [("en", "s", signal, v) for v in values]
+        df = spark.createDataFrame(rows, "lang string, source string, signal string, v bigint")
+        return rules.fences(rules.sketch(df)).first()["fence"][f"{signal}_most"]
+
+    nothing = [0] * 1000
+    assert most(nothing) == rules.RESOLUTION
+    shading = [0] * 880 + list(range(10, 1210, 10))  # an eighth above zero, up to 1200
+    q90, q99 = 200, 1100
+    assert abs(most(shading) - (q99 + rules.FURTHER * (q99 - q90))) < 100
+    assert most([x // 4 for x in shading]) < most(shading) / 3
+    apart = [5000 + x for x in range(100)]
+    assert most(nothing + apart) == rules.RESOLUTION and abs(most(shading + [40_000] * 100) - most(shading)) < 100
+    assert most(nothing + [5000] * 400) > 5000  # more than a quarter is no junk that stands apart
+
+
+def test_junk_of_usual_words_is_told_by_its_reason(documents, prose):
+    rows = [(i, " ".join(prose(i, 80)), "xx", "s") for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "$%" * (k % 3) for k, w in enumerate(prose(i, 80)))[:500], "xx", "s") for i in range(15)]
+    rows += [(2000, " ".join(prose(1, 60)) + " $", "xx", "s"), (2001, "short", "xx", "s")]
+    got = {r["doc_id"]: r["reason"] for r in rules.judge(documents(rows)).collect()}
+    assert {got[i] for i in range(300)} == {None} and {got[1000 + i] for i in range(15)} <= {"symbols", "word_length"}
+    assert got[2000] is None and got[2001] == "base"
+
+
 def test_plan_has_no_python_and_empty_table(documents):
     assert rules.judge(documents([])).collect() == []
     plan = rules.signals(documents([(1, "a")]))._jdf.queryExecution().toString()
