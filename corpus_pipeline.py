@@ -42,7 +42,8 @@ def mixed_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return segmentation.encode(docs, MODEL, k=2)
+    # Executors still hold what earlier stages took, so less is kept here than by the query alone.
+    return segmentation.encode(docs, MODEL, k=2, kept=segmentation.KEPT // 4, returned=1)
 
 
 STAGES = [

@@ -214,8 +214,9 @@ class KeptLattices(Lattices):
 
     COLUMNS = ("code", "id", "bytes", "mass", "cumulative", "longest")
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int | None = None) -> None:
         super().__init__([], vocabulary)
+        self.most = KEPT if most is None else most
         self.index = _Index()
         self.nodes = 0
 
@@ -234,15 +235,15 @@ class KeptLattices(Lattices):
             getattr(self, name)[first : first + len(new)] = new
 
     def trim(self) -> None:
-        """Forget the stretches behind the first ``KEPT`` nodes."""
-        if self.nodes <= KEPT:
+        """Forget the stretches behind the first ``most`` nodes."""
+        if self.nodes <= self.most:
             return
-        kept = int(np.searchsorted(self.end, KEPT, side="right"))
+        kept = int(np.searchsorted(self.end, self.most, side="right"))
         for stretch in list(islice(self.index, kept, None)):
             del self.index[stretch]
         self.start, self.end = self.start[:kept].copy(), self.end[:kept].copy()
         self.nodes = int(self.end[-1]) if kept else 0
-        if len(self.code) > 2 * KEPT:
+        if len(self.code) > 2 * self.most:
             for name in self.COLUMNS:
                 setattr(self, name, getattr(self, name)[: self.nodes + 1].copy())
 
@@ -445,8 +446,21 @@ def _same(lists: list[np.ndarray], texts: list[bytes], vocabulary: Vocabulary) -
     ]
 
 
-def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """One row per text and segmentation: doc_id, rank, n_pieces, log_prob, inclusion, ids, round_trip."""
+def encode(
+    docs: DataFrame,
+    model_path: str,
+    k: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    seed: int = SEED,
+    kept: int = KEPT,
+    returned: int = RETURNED,
+) -> DataFrame:
+    """One row per text and segmentation: doc_id, rank, n_pieces, log_prob, inclusion, ids, round_trip.
+
+    Fewer nodes ``kept`` and fewer blocks before freed memory is ``returned`` take less memory and more
+    time; the rows are the same.
+    """
     if k < 1:
         raise ValueError("at least one segmentation")
     sent = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_path)))
@@ -454,7 +468,7 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         vocabulary = Vocabulary.of(sent.value)
-        lattices, done = KeptLattices(vocabulary), 0
+        lattices, done = KeptLattices(vocabulary, kept), 0
         for batch in batches:
             keys = batch.column("doc_id").fill_null(0).to_numpy()
             for start, end, values in blocks(batch, limit=BLOCK):
@@ -480,7 +494,7 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
                 )
                 del texts, drawn, flat, lists, ids
                 done += 1
-                if done % RETURNED == 0:
+                if done % returned == 0:
                     give_back()
         del lattices
         give_back()

@@ -88,6 +88,8 @@ def test_encode_and_decode_tables(documents):
     assert all(r["n_pieces"] == 0 and r["inclusion"] == 1 for r in found if r["doc_id"] in (2, 3))
     texts = {(r["doc_id"], r["decoded"]) for r in segmentation.decode(got, MODEL).collect()}
     assert texts == {(i, t or "") for i, t in rows}
+    lean = segmentation.encode(documents(rows), MODEL, k=3, kept=0, returned=1)
+    assert sorted(map(str, lean.collect())) == sorted(map(str, found))
     assert segmentation.encode(documents([]), MODEL).collect() == []
 
 
