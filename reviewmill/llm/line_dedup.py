@@ -33,6 +33,8 @@ from reviewmill.scale import cut_lineage
 # Shorter lines are too short for an edit of a word to leave them the same.
 LEAST_WORDS = 8
 BASE = 0x9E3779B97F4A7C15 | 1
+# What ``bytes.lower`` and ``bytes.split`` make of a byte, but for line breaks.
+FOLDED = bytes(0x20 if c in b"\t\v\f\r" else c for c in bytes(range(256)).lower())
 
 
 class _Powers:
@@ -90,6 +92,48 @@ def _lines(value: bytes | None) -> list[list[bytes]]:
     return [line.split() for line in value.lower().split(b"\n")] if value else []
 
 
+class _Lines:
+    """The lines with words of many texts, laid end to end, words one blank apart and A-Z in lower case.
+
+    ``text`` and ``number`` tell a line's text and its place there; ``first`` is its first word, ``n`` its words.
+    """
+
+    def __init__(self, values: list[bytes | None]) -> None:
+        joined = b"\n".join(v or b"" for v in values).translate(FOLDED)
+        raw = np.frombuffer(joined, np.uint8)
+        blank = (raw == 0x20) | (raw == 0x0A)
+        edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        begin, end = edges[::2], edges[1::2]
+        breaks = np.flatnonzero(raw == 0x0A)
+        line = np.searchsorted(breaks, begin)
+        opens = np.diff(line, prepend=-1) > 0
+        self.first = np.flatnonzero(opens)
+        self.n = np.diff(self.first, append=len(begin))
+        line = line[self.first]
+        starts = offsets(np.fromiter((len(v or b"") + 1 for v in values), np.int64, len(values)))[:-1]
+        first_line = np.searchsorted(breaks, starts)
+        self.text = np.searchsorted(first_line, line, side="right") - 1
+        self.number = line - first_line[self.text]
+        kept = ~blank
+        kept[begin[~opens] - 1] = True
+        self.spelled = raw[kept].tobytes()
+        # Where each word ends and begins in the spelled lines.
+        self.ends = np.cumsum(end - begin + ~opens)
+        self.begins = self.ends - (end - begin)
+
+    def first_words(self, count: np.ndarray, of: np.ndarray) -> list[bytes]:
+        """The first ``count`` words of the lines ``of``; at least one."""
+        return self._cut(self.first[of], self.first[of] + count)
+
+    def last_words(self, count: np.ndarray, of: np.ndarray) -> list[bytes]:
+        end = self.first[of] + self.n[of]
+        return self._cut(end - count, end)
+
+    def _cut(self, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+        spelled, bounds = self.spelled, (self.begins[low].tolist(), self.ends[high - 1].tolist())
+        return [spelled[a:b] for a, b in zip(*bounds, strict=True)]
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, digest, n, halves) of every line with words; line numbers start at 0.
 
@@ -97,31 +141,27 @@ def line_table(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), _Powers()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(False)
             for start, _, values in blocks(batch):
-                doc, number, lists = [], [], []
-                for i, value in enumerate(values):
-                    for j, words in enumerate(_lines(value)):
-                        if words:
-                            doc.append(start + i)
-                            number.append(j)
-                            lists.append(words)
-                lines = _Sequences(lists, hashes, powers)
-                keys = []
-                for half in (lines.n // 2, (lines.n - 1) // 2):
-                    keys += [_tagged(lines.first(half), half, 0), _tagged(lines.last(half), half, 1)]
-                keys = np.stack(keys, axis=1) if lists else np.zeros((0, 4), np.int64)
-                long = np.where(lines.n >= LEAST_WORDS, np.where(lines.n % 2, 2, 4), 0)
-                held = np.arange(4)[None, :] < long[:, None]
+                lines = _Lines(values)
+                every = np.arange(len(lines.n))
+                # A line of an odd number of words has one middle, so its two halves of either count are the same.
+                wanted = np.where(lines.n >= LEAST_WORDS, np.where(lines.n % 2, 2, 4), 0)
+                ends = offsets(wanted)
+                keys = np.empty(ends[-1], np.int64)
+                for turn, of in enumerate((np.flatnonzero(wanted), np.flatnonzero(wanted == 4))):
+                    half = (lines.n[of] - turn) // 2
+                    for side, parts in enumerate((lines.first_words(half, of), lines.last_words(half, of))):
+                        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+                        keys[ends[of] + 2 * turn + side] = _tagged(hashes, half, side)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[doc] if doc else np.zeros(0, np.int64), pa.int64()),
-                        pa.array(number, pa.int32()),
-                        pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in lists], pa.binary()),
+                        pa.array(ids[start + lines.text], pa.int64()),
+                        pa.array(lines.number.astype(np.int32)),
+                        pa.array(map(xxhash.xxh3_128_digest, lines.first_words(lines.n, every)), pa.binary()),
                         pa.array(lines.n.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets(long).astype(np.int32)), pa.array(keys[held])),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys)),
                     ],
                     ["doc_id", "line_no", "digest", "n", "halves"],
                 )

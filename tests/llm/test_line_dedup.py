@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,18 @@ def test_null_ids_repeated_rows_long_lines_and_empty_table(documents, prose):
     assert line_dedup.dropped_lines(documents([])).collect() == []
     nothing = line_dedup.by_document(line_dedup.dropped_lines(documents([])))
     assert line_dedup.without_lines(documents([]), nothing).count() == 0
+
+
+def test_lines_are_cut_and_spelled_for_a_whole_block_at_once():
+    random_ = random.Random(3)
+    signs = ["a", "B", "Zz", " ", "  ", "\t", "\n", "\r", "\v\f", "\x1c", "\x85", "\xa0", "é", "日", "😀", "\0"]
+    for _ in range(200):
+        values = [None if random_.random() < 0.1 else "".join(random_.choices(signs, k=random_.choice([0, 1, 5, 60]))).encode() for _ in range(5)]
+        lines = line_dedup._Lines(values)
+        plain = [(i, j, line.split()) for i, v in enumerate(values) for j, line in enumerate((v or b"").lower().split(b"\n")) if line.split()]
+        assert list(zip(lines.text.tolist(), lines.number.tolist(), lines.n.tolist(), strict=True)) == [(i, j, len(w)) for i, j, w in plain]
+        of = np.arange(len(plain))
+        half = (lines.n + 1) // 2
+        assert lines.first_words(lines.n, of) == [b" ".join(w) for _, _, w in plain]
+        assert lines.first_words(half, of) == [b" ".join(w[: (len(w) + 1) // 2]) for _, _, w in plain]
+        assert lines.last_words(half, of) == [b" ".join(w[len(w) // 2 :]) for _, _, w in plain]
