@@ -51,11 +51,15 @@ STRETCH = re.compile(r" *[^ \n]+| +|\n")
 BLANK = 0x2581
 FIRST_BYTE = 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
-TABLE_BITS = 22
+TABLE_BITS = 20
 # Log mass of regions that can't hold the next path but with a probability far below rounding errors.
 FAINT = -100.0
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * BASE) >> np.uint64(64 - TABLE_BITS)
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model: ids by character sequence, weights, and bytes to decode to."""
 
@@ -87,11 +91,11 @@ class Vocabulary:
         order = np.argsort(np.array(keys, np.uint64))
         self.keys = np.array(keys, np.uint64)[order]
         self.ids = np.array(whole, np.int64)[order]
-        self.prefix = np.zeros(1 << TABLE_BITS, bool)
-        self.prefix[mix(np.array(sorted(prefixes), np.uint64)) >> np.uint64(64 - TABLE_BITS)] = True
-        # Where a hash's key may be among the keys, by its first bits; another key may have the place.
-        self.where = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.where[mix(self.keys) >> np.uint64(64 - TABLE_BITS)] = np.arange(len(self.keys))
+        # By a hash's slot: -1 where no piece begins so, else where its key may be among the keys, or -2
+        # for mere beginnings; another hash may have the slot.
+        self.where = np.full(1 << TABLE_BITS, -1, np.int16 if len(keys) < 1 << 15 else np.int32)
+        self.where[_slots(np.array(sorted(prefixes), np.uint64))] = -2
+        self.where[_slots(self.keys)] = np.arange(len(self.keys))
 
     @classmethod
     def of(cls, parts: dict) -> Vocabulary:
@@ -127,32 +131,25 @@ class Lattices:
         lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
         self.start = offsets(lengths)[:-1]
         self.end = self.start + lengths
-        size, width = len(self.code), vocabulary.longest
+        # A row has a power of two of places, of which those behind the longest piece stay empty.
+        size, width = len(self.code), 1 << (vocabulary.longest - 1).bit_length()
         left = np.repeat(self.end, lengths) - np.arange(size)
         symbols = np.where(self.code == ord(" "), BLANK, np.where(self.code == BLANK, 0x110000, self.code))
         symbols = (symbols + 1).astype(np.uint64)
-        weights = np.full((size, width), -np.inf, np.float32)
         self.id = np.full((size, width), -1, np.int16 if len(vocabulary.bytes) < 1 << 15 else np.int32)
-        at, h = np.arange(size), np.zeros(size, np.uint64)
-        for n in range(1, width + 1):
-            fits = left[at] >= n
-            at, h = at[fits], h[fits]
-            h = h * BASE + symbols[at + n - 1]
-            slot = mix(h) >> np.uint64(64 - TABLE_BITS)
-            found = vocabulary.where[slot]
+        at, h, rest = np.arange(size), np.zeros(size, np.uint64), left
+        for n in range(1, vocabulary.longest + 1):
+            h = h * BASE + symbols.take(at + (n - 1))
+            found = vocabulary.where.take(_slots(h))
             maybe = np.flatnonzero(found >= 0)
-            found, wanted = found[maybe], h[maybe]
-            miss = np.flatnonzero(vocabulary.keys[found] != wanted)
-            found[miss] = np.minimum(np.searchsorted(vocabulary.keys, wanted[miss]), len(vocabulary.keys) - 1)
-            hit = vocabulary.keys[found] == wanted
-            ids, cell = vocabulary.ids[found[hit]], at[maybe[hit]] * width + (n - 1)
-            self.id.ravel()[cell] = ids
-            weights.ravel()[cell] = vocabulary.weight[ids]
-            more = vocabulary.prefix[slot]
-            at, h = at[more], h[more]
+            key, wanted = found.take(maybe), h.take(maybe)
+            miss = np.flatnonzero(vocabulary.keys.take(key) != wanted)
+            key[miss] = np.minimum(np.searchsorted(vocabulary.keys, wanted[miss]), len(vocabulary.keys) - 1)
+            hit = vocabulary.keys.take(key) == wanted
+            self.id.ravel()[at.take(maybe[hit]) * width + (n - 1)] = vocabulary.ids.take(key[hit])
+            more = np.flatnonzero((found != -1) & (rest > n))
+            at, h, rest = at.take(more), h.take(more), rest.take(more)
         self.bytes = (1 + (self.code >= 0x80) + (self.code >= 0x800) + (self.code >= 0x10000)).astype(np.int8)
-        spelled = np.flatnonzero(self.id[:, 0] < 0)
-        weights[spelled, 0] = self.bytes[spelled] * vocabulary.byte_weight
         self.vocabulary = vocabulary
         # Log mass of all paths from a node to its stretch's end, the nodes nearest to an end first.
         self.mass = np.zeros(size + 1)
@@ -161,13 +158,20 @@ class Lattices:
         if not size:
             return
         order = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
-        cell = np.flatnonzero((weights > -np.inf)[order])
-        at, column = np.divmod(cell, width) if width & width - 1 else (cell >> width.bit_length() - 1, cell & width - 1)
+        held = self.id >= 0
+        held[:, 0] = True
+        cell = np.flatnonzero(held.take(order, axis=0))
+        at, column = cell >> width.bit_length() - 1, cell & width - 1
         edges = offsets(np.bincount(at, minlength=size))
-        at = order[at]
+        at = order.take(at)
         cell = at * width + column
-        weight, onward = weights.ravel()[cell].astype(float), at + column + 1
-        ends = column + 1 == left[at]
+        piece = self.id.ravel().take(cell)
+        weight = vocabulary.weight.take(piece, mode="wrap")
+        spelled = np.flatnonzero(piece < 0)
+        weight[spelled] = self.bytes[at[spelled]] * vocabulary.byte_weight
+        weight = weight.astype(np.float32).astype(float)
+        # No mass is left behind the last node, nor behind a stretch's end.
+        onward = np.where(column + 1 == left.take(at), size, at + column + 1)
         share = np.empty(len(at))
         bounds = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
@@ -175,7 +179,7 @@ class Lattices:
                 continue
             first, last = edges[low], edges[high]
             starts = edges[low:high] - first
-            terms = weight[first:last] + np.where(ends[first:last], 0.0, self.mass[onward[first:last]])
+            terms = weight[first:last] + self.mass.take(onward[first:last])
             count = np.diff(edges[low : high + 1])
             top = np.maximum.reduceat(terms, starts)
             odds = np.exp(terms - np.repeat(top, count))
@@ -203,10 +207,19 @@ class Lattices:
 
     def steps(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The piece lengths that numbers ``u`` between 0 and 1 draw at nodes."""
-        above = self.cumulative.take(node, axis=0) > u[:, None]
+        # Cumulative shares never fall along a row: halving finds how many of them a number isn't below.
+        width = self.cumulative.shape[1]
+        shares, at = self.cumulative.ravel(), node * width
+        first, half = at - 1, width >> 1
+        while half:
+            at += half * (shares.take(at + (half - 1)) <= u)
+            half >>= 1
         # Shares add up to 1 but for rounding; a number above all of them takes the longest piece.
-        longest = self.longest.take(node)
-        return np.where(above[:, -1], np.minimum(above.argmax(axis=1) + 1, longest), longest)
+        step = at - first
+        last = np.flatnonzero(step == width)
+        over = last[shares[at[last]] <= u[last]]
+        step[over] = self.longest[node[over]]
+        return step
 
 
 class KeptLattices(Lattices):
@@ -292,9 +305,10 @@ def draw(
     for text in texts:
         own = STRETCH.findall(" " + text) if text else []
         counts.append(len(own))
-        found.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
+        found += own
     n = len(texts)
-    unit = np.concatenate([np.zeros(0, np.int64), *found])
+    unit = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+    del found
     text_of = np.repeat(np.arange(n), counts)
     lattices.extend()
     length = (lattices.end - lattices.start)[unit] if len(unit) else unit
@@ -306,28 +320,24 @@ def draw(
 
     def walk(units: np.ndarray, node: np.ndarray, seed_of: np.ndarray):
         """Free draws from a node of each stretch to its end: node, step, share, place, stretch, in order."""
-        out = []
-        stop = lattices.end[unit[units]]
-        shift = begin[units] - lattices.start[unit[units]]
-        at = np.arange(len(units))
+        turns, steps = [], np.zeros(len(units), np.int64)
+        at, own = np.arange(len(units)), unit[units]
+        stop = ends_of = lattices.end[own]
+        shift = shifts = begin[units] - lattices.start[own]
         while len(at):
-            place = shift + node
-            step = lattices.steps(node, _uniform(seed_of, place).astype(np.float32))
-            out.append((at, node, step, lattices.log_share(node, step, stop), place))
+            step = lattices.steps(node, _uniform(seed_of, shift + node).astype(np.float32))
+            turns.append((at, node, step))
+            steps[at] += 1
             node = node + step
             on = np.flatnonzero(node < stop)
             at, node, seed_of, stop, shift = (a.take(on) for a in (at, node, seed_of, stop, shift))
-        if not out:
-            return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)] * 2
-        steps = np.zeros(len(units), np.int64)
-        for turn in out:
-            steps[turn[0]] += 1
         slots = offsets(steps)
-        columns = [np.empty(slots[-1], np.int64), np.empty(slots[-1], np.int64), np.empty(slots[-1]), np.empty(slots[-1], np.int64)]
-        for i, (of, *values) in enumerate(out):
-            for column, value in zip(columns, values, strict=True):
-                column[slots[of] + i] = value
-        return [*columns, np.repeat(units, steps)]
+        nodes, lengths = np.empty(slots[-1], np.int64), np.empty(slots[-1], np.int64)
+        for i, (at, node, step) in enumerate(turns):
+            slot = slots.take(at) + i
+            nodes[slot], lengths[slot] = node, step
+        share = lattices.log_share(nodes, lengths, np.repeat(ends_of, steps))
+        return nodes, lengths, share, nodes + np.repeat(shifts, steps), np.repeat(units, steps)
 
     def whole(parts):
         node, step, share, place, units = parts
@@ -338,7 +348,7 @@ def draw(
     numbers = [-np.log(-np.log(_uniform(base, np.zeros(n))))]
     paths[0].scatter(numbers[0], seeds[0], np.zeros(n, np.int64))
     alive = [np.ones(n, bool)]
-    taken: dict[tuple[int, int], list[int]] = {}
+    bends: list[tuple[np.ndarray, ...]] = []
     threshold = np.full(n, -np.inf)
     for turn in range(1, k + 1):
         best, where, which = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -351,9 +361,9 @@ def draw(
             best[has] = np.maximum(best[has], tops)
             which[better] = j
         for j, path in enumerate(paths):
-            of = np.flatnonzero((which == j) & (best > -np.inf))
-            at = np.flatnonzero((which[path.text] == j) & (path.number == best[path.text]) & (best[path.text] > -np.inf))
-            _, first = np.unique(path.text[at], return_index=True)
+            wanted = np.where((which == j) & (best > -np.inf), best, np.nan)
+            at = np.flatnonzero(path.number == np.repeat(wanted, np.diff(path.ends)))
+            of, first = np.unique(path.text[at], return_index=True)
             where[of] = at[first]
         open_ = best > -np.inf
         if turn == k:
@@ -361,7 +371,7 @@ def draw(
             break
         alive.append(open_)
         numbers.append(best)
-        paths.append(_branch(paths, which, where, open_, best, seeds[turn], taken, lattices, unit, text_of, begin, ends, walk, n))
+        paths.append(_branch(paths, which, where, open_, best, seeds[turn], bends, lattices, unit, text_of, begin, ends, walk, n))
     out: list[list[tuple]] = [[] for _ in range(n)]
     for j, path in enumerate(paths):
         sums = np.bincount(path.text, weights=path.share, minlength=n)
@@ -373,52 +383,66 @@ def draw(
     return out
 
 
-def _branch(paths, which, where, open_, best, seeds, taken, lattices, unit, text_of, begin, ends, walk, n) -> _Paths:
-    """The next path of each open text: along an earlier one to a step, another piece there, then free."""
-    kept, fresh_units, fresh_nodes, bends = [], [], [], []
-    since = np.zeros(n, np.int64)
-    for i in np.flatnonzero(open_):
-        path, t = paths[which[i]], int(where[i])
-        node, place = int(path.node[t]), int(path.place[t])
-        used = taken.setdefault((int(which[i]), t), [int(path.step[t])])
-        row = np.diff(lattices.cumulative[node].astype(float), prepend=0.0)
-        row[[s - 1 for s in used]] = 0
-        left = np.cumsum(row)
-        u = float(_uniform(seeds[i : i + 1], np.array([place]))[0]) * left[-1]
-        step = int(np.searchsorted(left, u, side="right")) + 1
-        own = ends[i] + int(np.searchsorted(begin[ends[i] : ends[i + 1]], place, side="right")) - 1
-        stop = lattices.end[unit[own]]
-        share = float(lattices.log_share(np.array([node]), np.array([step]), np.array([stop]))[0])
-        used.append(step)
-        rest = row.sum() - row[step - 1]
-        with np.errstate(divide="ignore"):
-            location = path.before[t] + np.log(max(rest, 0.0)) if rest > 1e-7 else -np.inf
-        again = _uniform(seeds[i : i + 1] ^ np.uint64(0x2545F4914F6CDD1D), np.array([place]))
-        path.number[t] = _truncated(np.array([location]), best[i : i + 1], again)[0]
-        since[i] = place + 1
-        first = path.ends[i]
-        kept.append((path, first, t))
-        bends.append((node, step, share, place, i))
-        rest_units = np.arange(own + (node + step >= stop), ends[i + 1])
-        nodes = lattices.start[unit[rest_units]]
-        if node + step < stop:
-            nodes[0] = node + step
-        fresh_units.append(rest_units)
-        fresh_nodes.append(nodes)
-    units = np.concatenate([np.zeros(0, np.int64), *fresh_units])
-    nodes = np.concatenate([np.zeros(0, np.int64), *fresh_nodes])
-    node, step, share, place, of = walk(units, nodes, seeds[text_of[units]] if len(units) else np.zeros(0, np.uint64))
-    columns = [[node], [step], [share], [place], [text_of[of] if len(of) else of]]
-    for path, low, high in kept:
-        for c, a in zip(columns, (path.node, path.step, path.share, path.place, path.text), strict=True):
-            c.append(a[low:high])
-    if bends:
-        for c, a in zip(columns, zip(*bends, strict=True), strict=True):
-            c.append(np.array(a))
-    columns = [np.concatenate(c) for c in columns]
-    order = np.argsort(columns[4].astype(np.int64) << 40 | columns[3].astype(np.int64), kind="stable")
-    node, step, share, place, text = (c[order] for c in columns)
-    new = _Paths(node.astype(np.int64), step.astype(np.int64), share, place.astype(np.int64), text.astype(np.int64), n)
+def _ranges(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each range, one range after the other."""
+    return np.repeat(low - offsets(count)[:-1], count) + np.arange(count.sum())
+
+
+def _branch(paths, which, where, open_, best, seeds, bends, lattices, unit, text_of, begin, ends, walk, n) -> _Paths:
+    """The next path of each open text: along an earlier one to a step, another piece there, then free.
+
+    ``bends`` has a (path, step, piece length) of each text for every earlier branch, and gets this one's.
+    """
+    of = np.flatnonzero(open_)
+    came, at = which[of], where[of]
+    node, place, first = (np.empty(len(of), np.int64) for _ in range(3))
+    before, row = np.empty(len(of)), np.empty((len(of), lattices.cumulative.shape[1]))
+    for j, path in enumerate(paths):
+        own = np.flatnonzero(came == j)
+        t = at[own]
+        node[own], place[own], before[own], first[own] = path.node[t], path.place[t], path.before[t], path.ends[of[own]]
+        row[own] = np.diff(lattices.cumulative.take(path.node[t], axis=0).astype(float), prepend=0.0, axis=1)
+        row[own, path.step[t] - 1] = 0
+    for path, t, step in bends:
+        again = np.flatnonzero((path[of] == came) & (t[of] == at))
+        row[again, step[of[again]] - 1] = 0
+    left = np.cumsum(row, axis=1)
+    u = _uniform(seeds[of], place) * left[:, -1]
+    step = np.sum(left <= u[:, None], axis=1) + 1
+    unit_at = np.searchsorted(text_of << 40 | begin, of << 40 | place, side="right") - 1
+    stop = lattices.end[unit[unit_at]]
+    share = lattices.log_share(node, step, stop)
+    rest = row.sum(axis=1) - row[np.arange(len(of)), step - 1]
+    with np.errstate(divide="ignore"):
+        location = np.where(rest > 1e-7, before + np.log(np.maximum(rest, 0.0)), -np.inf)
+    number = _truncated(location, best[of], _uniform(seeds[of] ^ np.uint64(0x2545F4914F6CDD1D), place))
+    for j, path in enumerate(paths):
+        own = np.flatnonzero(came == j)
+        path.number[at[own]] = number[own]
+    since, bend = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    since[of], bend[of] = place + 1, step
+    bends.append((np.where(open_, which, -1), where, bend))
+    inside = node + step < stop
+    low = unit_at + ~inside
+    count = ends[of + 1] - low
+    units = _ranges(low, count)
+    nodes = lattices.start[unit[units]]
+    nodes[offsets(count)[:-1][inside]] = (node + step)[inside]
+    free = walk(units, nodes, seeds[text_of[units]])
+    kept, walked = at - first, np.bincount(text_of[free[4]], minlength=n)[of]
+    sizes = kept + 1 + walked
+    begins = offsets(sizes)[:-1]
+    columns = [np.empty(sizes.sum(), a.dtype) for a in free[:4]]
+    for j, path in enumerate(paths):
+        own = np.flatnonzero(came == j)
+        source, slot = _ranges(first[own], kept[own]), _ranges(begins[own], kept[own])
+        for column, values in zip(columns, (path.node, path.step, path.share, path.place), strict=True):
+            column[slot] = values[source]
+    slot = _ranges(begins + kept + 1, walked)
+    for column, value, values in zip(columns, (node, step, share, place), free[:4], strict=True):
+        column[begins + kept] = value
+        column[slot] = values
+    new = _Paths(*columns, np.repeat(of, sizes), n)
     new.scatter(best, seeds, since)
     return new
 

@@ -104,3 +104,23 @@ def test_kept_lattices_change_nothing(vocabulary, monkeypatch):
         assert lattices.nodes <= 40 and len(lattices.index) == len(lattices.start)
         for own, fresh in zip(got, segmentation.draw(texts, keys, vocabulary, 3), strict=True):
             assert [(a.tolist(), p, q) for a, p, q in own] == [(a.tolist(), p, q) for a, p, q in fresh]
+
+
+def test_texts_share_passes_over_their_lattices(vocabulary, monkeypatch):
+    calls, plain = [], segmentation.Lattices.log_share
+    monkeypatch.setattr(segmentation.Lattices, "log_share", lambda *a: calls.append(1) or plain(*a))
+    texts, k = ["the cat sat on a mat", "é▁ z", "sampling\nsegmentations"], 3
+    segmentation.draw(texts, np.arange(3), vocabulary, k)
+    few, calls[:] = len(calls), []
+    segmentation.draw(texts * 20, np.arange(60), vocabulary, k)
+    assert len(calls) == few <= 2 * k
+
+
+def test_steps_by_halving(vocabulary):
+    lattices = segmentation.Lattices([" the", "internationalisation", "é日", "\n", " " * 20], vocabulary)
+    node = np.arange(len(lattices.code))
+    for u in (0.0, 0.1, 0.5, 0.9, float(np.nextafter(np.float32(1), np.float32(0))), 1.0):
+        step = lattices.steps(node, np.full(len(node), u, np.float32))
+        for n, row in enumerate(lattices.cumulative):
+            above = np.flatnonzero(row > np.float32(u))
+            assert step[n] == (above[0] + 1 if len(above) else lattices.longest[n])
