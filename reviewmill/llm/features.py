@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.words import WordHashes, blocks, mix, ngram_hashes
+from reviewmill.llm.words import WordHashes, blocks, mix, ngram_hashes, returning
 
 #: Features share 2**16 buckets, which bounds a model whatever the corpus.
 BUCKETS = 1 << 16
+#: Bytes of text whose features are held at once; each takes some dozens of bytes.
+BLOCK = 1 << 19
+# Buckets whose counts go to Spark at once.
+SENT = 1 << 12
 
 
 def features(values: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +44,7 @@ def class_counts(docs: DataFrame, n_classes: int, label: Callable[[pa.RecordBatc
         counts = np.zeros((n_classes + 1, BUCKETS), np.int64)
         for batch in batches:
             cls = label(batch)
-            for start, end, values in blocks(batch):
+            for start, end, values in blocks(batch, limit=BLOCK):
                 row, bucket = features(values, hashes)
                 counts[n_classes] += np.bincount(bucket, minlength=BUCKETS)
                 of = cls[start:end][row]
@@ -48,13 +52,13 @@ def class_counts(docs: DataFrame, n_classes: int, label: Callable[[pa.RecordBatc
                     if (of == c).any():
                         counts[c] += np.bincount(bucket[of == c], minlength=BUCKETS)
         used = np.flatnonzero(counts[n_classes])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used)] + [pa.array(counts[c][used]) for c in range(n_classes + 1)],
-            ["bucket"] + [f"c{c}" for c in range(n_classes + 1)],
-        )
+        names = ["bucket"] + [f"c{c}" for c in range(n_classes + 1)]
+        for first in range(0, len(used), SENT):
+            some = used[first : first + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(some)] + [pa.array(row[some]) for row in counts], names)
 
     columns = ", ".join(f"c{c} bigint" for c in range(n_classes + 1))
-    partial = docs.mapInArrow(run, f"bucket bigint, {columns}")
+    partial = docs.mapInArrow(returning(run), f"bucket bigint, {columns}")
     return partial.groupBy("bucket").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(n_classes + 1)))
 
 

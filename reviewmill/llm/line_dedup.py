@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm.joins import only_ids
-from reviewmill.llm.words import WordHashes, blocks, mix, offsets
+from reviewmill.llm.words import WordHashes, blocks, mix, offsets, returning
 from reviewmill.scale import cut_lineage
 
 # Shorter lines are too short for an edit of a word to leave them the same.
@@ -167,7 +167,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 )
 
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    return known.mapInArrow(run, "doc_id bigint, line_no int, digest binary, n int, halves array<bigint>")
+    return known.mapInArrow(returning(run), "doc_id bigint, line_no int, digest binary, n int, halves array<bigint>")
 
 
 def variants(docs: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def variants(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id bigint, line_no int, words string, own bigint, same array<bigint>, less array<bigint>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(returning(run), schema)
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -298,4 +298,4 @@ def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", t
             whole = batch.set_column(at, batch.schema.field(at), pa.array(texts, kind))
             yield whole.drop_columns(["_line_numbers"]).filter(pa.array(keep))
 
-    return joined.select(*(docs[c] for c in docs.columns), "_line_numbers").mapInArrow(run, docs.schema)
+    return joined.select(*(docs[c] for c in docs.columns), "_line_numbers").mapInArrow(returning(run), docs.schema)

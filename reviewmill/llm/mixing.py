@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.features import BUCKETS, class_counts, collect_counts, features
+from reviewmill.llm.features import BLOCK, BUCKETS, class_counts, collect_counts, features
 from reviewmill.llm.joins import small
 from reviewmill.llm.resampling import bounded_ids
-from reviewmill.llm.words import WordHashes, blocks
+from reviewmill.llm.words import WordHashes, blocks, returning
 from reviewmill.scale import cut_lineage
 
 LABELLED = 50_000
@@ -149,7 +149,7 @@ def posteriors(docs: DataFrame, model: np.ndarray, prior: np.ndarray) -> DataFra
         hashes = WordHashes()
         logs, shares = sent.value
         for batch in batches:
-            for start, end, values in blocks(batch):
+            for start, end, values in blocks(batch, limit=BLOCK):
                 row, bucket = features(values, hashes)
                 n = np.bincount(row, minlength=len(values))
                 sums = np.stack([np.bincount(row, weights=of[bucket], minlength=len(values)) for of in logs])
@@ -162,7 +162,7 @@ def posteriors(docs: DataFrame, model: np.ndarray, prior: np.ndarray) -> DataFra
                 ids = batch.column("doc_id").slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array((n + 1) // 2), lists], ["doc_id", "n_tokens", "posterior"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, posterior array<int>")
+    return docs.select("doc_id", "text").mapInArrow(returning(run), "doc_id bigint, n_tokens bigint, posterior array<int>")
 
 
 def _dot(vector: np.ndarray) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.llm.components import connected_components
 from reviewmill.llm.joins import only_ids, without_ids
-from reviewmill.llm.words import WordHashes, blocks, mix, ngram_hashes, offsets
+from reviewmill.llm.words import WordHashes, blocks, mix, ngram_hashes, offsets, returning
 from reviewmill.scale import cut_lineage
 
 SHINGLE = 5
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                 )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
+    return source.mapInArrow(returning(run), "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
 def retained_values(sets: DataFrame, whole: bool = False) -> DataFrame:
@@ -170,7 +170,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                     ["id", "n", "digest", "shingles"],
                 )
 
-    return texts.mapInArrow(run, "id bigint, n bigint, digest binary, shingles array<bigint>")
+    return texts.mapInArrow(returning(run), "id bigint, n bigint, digest binary, shingles array<bigint>")
 
 
 def _components(lists: DataFrame, sets: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.features import BUCKETS, class_counts, collect_counts, features
+from reviewmill.llm.features import BLOCK, BUCKETS, class_counts, collect_counts, features
 from reviewmill.llm.selection import largest
-from reviewmill.llm.words import WordHashes, blocks
+from reviewmill.llm.words import WordHashes, blocks, returning
 from reviewmill.scale import cut_lineage
 
 LABELLED = 50_000
@@ -103,7 +103,7 @@ def weights(docs: DataFrame, target: np.ndarray, wanted: np.ndarray, raw: np.nda
         for batch in batches:
             member = _among(batch.column("doc_id"), ids)
             models = batch.column("lang").to_numpy() * FOLDS + batch.column("fold").to_numpy()
-            for start, end, values in blocks(batch):
+            for start, end, values in blocks(batch, limit=BLOCK):
                 row, bucket = features(values, hashes)
                 cells, own = np.unique(row * BUCKETS + bucket, return_counts=True)
                 row, bucket = cells // BUCKETS, cells % BUCKETS
@@ -119,7 +119,7 @@ def weights(docs: DataFrame, target: np.ndarray, wanted: np.ndarray, raw: np.nda
                 columns += [pa.array(member[start:end]), pa.array(counts), pa.array(sums)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "labelled", "n_features", "log_weight"])
 
-    return docs.mapInArrow(run, "doc_id bigint, lang int, labelled boolean, n_features bigint, log_weight double")
+    return docs.mapInArrow(returning(run), "doc_id bigint, lang int, labelled boolean, n_features bigint, log_weight double")
 
 
 def above_bound(scored: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
+from reviewmill.llm import features, words
 from reviewmill.llm.queries import MODEL, QUERIES
+from reviewmill.llm.words import BLOCK_BYTES
 
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="the model file isn't there")
 
@@ -57,6 +60,43 @@ def test_near_duplicates_of_documents(spark, folder):
     assert not left & {501, 502, 503, 600} and {1, 2, 3, 6, 700, 701, None} <= left
 
 
+def test_stages_send_texts_in_small_batches(spark, folder):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("abcdefg "), 1 << 14).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    spark.conf.unset(setting)
+    corpus_pipeline.segmentations(spark, docs, folder)
+    try:
+        seen = [r["bytes"] for r in texts.mapInArrow(sizes, "bytes bigint").collect()]
+    finally:
+        spark.conf.unset(setting)
+    assert sum(seen) >= 8 << 20 and max(seen) < 2 * BLOCK_BYTES
+
+
+def test_tasks_give_memory_back_at_their_end(monkeypatch):
+    order = []
+    monkeypatch.setattr(words, "give_back", lambda: order.append("back"))
+    task = words.returning(lambda batches: (order.append(b) or b for b in batches))
+    assert list(task(iter([1, 2]))) == [1, 2] and order == [1, 2, "back"]
+
+
+def test_class_counts_in_parts(spark, documents, monkeypatch):
+    docs = documents([(i, " ".join(f"a{i}w{j}" for j in range(200))) for i in range(20)]).coalesce(1)
+
+    def label(batch):
+        return batch.column("doc_id").to_numpy() % 2
+
+    whole = features.collect_counts(features.class_counts(docs, 2, label), 2)
+    monkeypatch.setattr(features, "SENT", 100)
+    parts = features.collect_counts(features.class_counts(docs, 2, label), 2)
+    assert whole.sum(axis=1).tolist() == [3990.0, 3990.0, 7980.0] and (whole == parts).all()
+
+
 def test_run_equals_its_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 0 and "ids" in out.columns
