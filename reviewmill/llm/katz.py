@@ -57,6 +57,22 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def pack_steps(values: np.ndarray) -> bytes:
+    """``pack`` of the steps between numbers, which are small where these are sorted."""
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_steps(data: bytes, kind) -> np.ndarray:
+    return np.cumsum(unpack(data, kind), dtype=kind)
+
+
+def inverse(order: np.ndarray) -> np.ndarray:
+    """Where each number stands in a permutation."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """The rows, written once into the shared folder of checkpoints."""
     spark = rows.sparkSession
@@ -98,10 +114,15 @@ def _row(columns: dict, types: dict) -> pa.RecordBatch:
 LONGS, INTS, FLOATS = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64())
 
 
+def _frequent(often: np.ndarray) -> np.ndarray:
+    """A block's words from the most frequent on, by which its tokens are numbered: most numbers are small."""
+    return np.argsort(-often, kind="stable")
+
+
 def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """One row per block of texts: ids, train, lengths, and its words and tokens as packed arrays."""
     types = {"block": pa.int64(), "ids": LONGS, "train": pa.list_(pa.bool_()), "n": INTS, "held": INTS, "bounds": INTS}
-    types |= {"words": pa.binary(), "counts": pa.binary(), "tokens": pa.binary()}
+    types |= dict.fromkeys(("words", "counts", "often", "tokens"), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, number = WordHashes(), TaskContext.get().partitionId() << 32
@@ -117,12 +138,11 @@ def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 words, tokens = np.unique(flat, return_inverse=True)
                 bucket = (mix(words) >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(words), np.int64)
-                place[order] = np.arange(len(words))
-                tokens = place[tokens]
+                tokens = inverse(order)[tokens]
                 held, bounds = np.unique(bucket[order], return_index=True)
                 taught = np.repeat(np.array(train[start:end], bool), n)
                 counts = np.bincount(tokens[taught], minlength=len(words))
+                often = np.bincount(tokens, minlength=len(words))
                 yield _row(
                     {
                         "block": number,
@@ -131,9 +151,10 @@ def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                         "n": n,
                         "held": held.astype(np.int64),
                         "bounds": np.append(bounds, len(words)),
-                        "words": words[order].tobytes(),
+                        "words": pack_steps(words[order]),
                         "counts": pack(counts.astype(np.int32)),
-                        "tokens": pack(tokens.astype(np.int32)),
+                        "often": pack(often.astype(np.int32)),
+                        "tokens": pack(inverse(_frequent(often))[tokens].astype(np.int32)),
                     },
                     types,
                 )
@@ -142,36 +163,36 @@ def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(
         run,
         "block bigint, ids array<bigint>, train array<boolean>, n array<int>, held array<int>, "
-        "bounds array<int>, words binary, counts binary, tokens binary",
+        "bounds array<int>, words binary, counts binary, often binary, tokens binary",
     )
 
 
 def count_words(tokens: DataFrame, buckets: int) -> DataFrame:
-    """Per block and bucket, the words' numbers (rank within the bucket) and counts; per bucket, block -1, sums."""
+    """Per block and bucket, the words' numbers (rank within the bucket) and, by rank, counts; per bucket, block -1, sums."""
     dealt_types = {"bucket": pa.int32(), "block": pa.int64(), "words": pa.binary(), "counts": pa.binary()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = np.frombuffer(row["words"], np.uint64), unpack(row["counts"], np.int32)
+                words, counts = unpack_steps(row["words"], np.uint64), unpack(row["counts"], np.int32)
                 for b, low, high in zip(row["held"], row["bounds"][:-1], row["bounds"][1:], strict=True):
-                    packed = {"words": words[low:high].tobytes(), "counts": pack(counts[low:high])}
+                    packed = {"words": pack_steps(words[low:high]), "counts": pack(counts[low:high])}
                     yield _row({"bucket": b, "block": row["block"]} | packed, dealt_types)
 
     types = {"block": pa.int64(), "bucket": pa.int32(), "ranks": pa.binary(), "c": pa.binary(), "sums": LONGS}
 
     def count(rows: pa.Table) -> pa.Table:
         parts = rows.to_pylist()
-        words = [np.frombuffer(p["words"], np.uint64) for p in parts]
+        words = [unpack_steps(p["words"], np.uint64) for p in parts]
         counts = np.concatenate([unpack(p["counts"], np.int32) for p in parts])
         known, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, weights=counts).astype(np.int64)
-        rank = np.empty(len(known), np.int64)
-        rank[np.lexsort((known, -total))] = np.arange(len(known))
+        rank = inverse(np.lexsort((known, -total)))
         bucket, ends = parts[0]["bucket"], offsets(np.array([len(w) for w in words]))
         out = []
         for p, low, high in zip(parts, ends[:-1], ends[1:], strict=True):
-            packed = {"ranks": pack(rank[place[low:high]]), "c": pack(total[place[low:high]])}
+            ranks, c = rank[place[low:high]], total[place[low:high]]
+            packed = {"ranks": pack(ranks), "c": pack_steps(c[np.argsort(ranks)])}
             out.append(_row({"block": p["block"], "bucket": bucket} | packed, types))
         often = np.bincount(np.minimum(total, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
         out.append(_row({"block": -1, "bucket": bucket, "sums": [total.sum(), (total > 0).sum(), *often]}, types))
@@ -206,14 +227,18 @@ class _Unigrams:
 
 
 PAIR_TYPES = {"bucket": pa.int32(), "block": pa.int64()}
-PAIR_TYPES |= dict.fromkeys(("h", "w", "cw", "ch", "seen", "runs", "docs"), pa.binary())
+PAIR_TYPES |= dict.fromkeys(("h", "ch", "spans", "words", "cw", "w", "seen", "runs", "docs"), pa.binary())
 PAIR_TYPES |= {"ids": LONGS, "train": pa.list_(pa.bool_()), "n": INTS, "known": INTS, "base": FLOATS, "own": FLOATS}
 INFO = ("ids", "train", "n", "known", "base", "own")
 INFO_SCHEMA = "ids array<bigint>, train array<boolean>, n array<int>, known array<int>, base array<double>, own array<double>"
 
 
 def word_pairs(tokens: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
-    """Per block and bucket of histories, the distinct pairs and the texts they stand in; per block, its texts."""
+    """Per block and bucket of histories, the distinct pairs and the texts they stand in; per block, its texts.
+
+    A row holds each of its histories once, with its count and its number of pairs, and each next word
+    once, with its count; pairs are sorted and name their next words by place.
+    """
 
     def pairs(block: pa.Table, numbers: pa.Table) -> pa.Table:
         model = _Unigrams.__new__(_Unigrams)
@@ -227,9 +252,13 @@ def word_pairs(tokens: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
         bounds = dict(zip(row["held"], zip(row["bounds"][:-1], row["bounds"][1:], strict=True), strict=True))
         for r in numbers.to_pylist():
             at = slice(*bounds[r["bucket"]])
-            number[at] = unpack(r["ranks"], np.int64) * model.buckets + r["bucket"] + 1
-            c[at] = unpack(r["c"], np.int64)
-        token, n = unpack(row["tokens"], np.int32), np.array(row["n"], np.int64)
+            ranks = unpack(r["ranks"], np.int64)
+            number[at] = ranks * model.buckets + r["bucket"] + 1
+            c[at] = unpack_steps(r["c"], np.int64)[inverse(np.argsort(ranks))]
+        order = np.argsort(number)
+        number, c = number[order], c[order]
+        token = inverse(order)[_frequent(unpack(row["often"], np.int32))][unpack(row["tokens"], np.int32)]
+        n = np.array(row["n"], np.int64)
         doc = np.repeat(np.arange(len(n)), n)
         base = np.bincount(doc, weights=model.base(c)[token], minlength=len(n))
         known = np.bincount(doc, weights=c[token] > 0, minlength=len(n))
@@ -249,9 +278,7 @@ def word_pairs(tokens: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
         dealt = mix(number[h].astype(np.uint64)) + mix(number[w].astype(np.uint64)) % shares.astype(np.uint64)
         bucket = (dealt % np.uint64(model.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        place = rank[place]
+        place = inverse(order)[place]
         h, w, bucket = h[order], w[order], bucket[order]
         seen = np.bincount(place, weights=taught, minlength=len(pair)).astype(np.int32)
         runs = np.bincount(place, minlength=len(pair))
@@ -261,11 +288,15 @@ def word_pairs(tokens: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
         info = {"ids": row["ids"], "train": row["train"], "n": n, "known": known.astype(int), "base": base, "own": own}
         out = [_row({"bucket": row["block"] % model.buckets, "block": row["block"]} | info, PAIR_TYPES)]
         for b, low, high in zip(held, lows, np.append(lows, len(bucket))[1:], strict=True):
+            histories, spans = np.unique(h[low:high], return_counts=True)
+            following, at = np.unique(w[low:high], return_inverse=True)
             packed = {
-                "h": pack(number[h[low:high]]),
-                "w": pack(number[w[low:high]]),
-                "cw": pack(c[w[low:high]]),
-                "ch": pack(c[h[low:high]]),
+                "h": pack_steps(number[histories]),
+                "ch": pack_steps(c[histories]),
+                "spans": pack(spans.astype(np.int32)),
+                "words": pack_steps(number[following]),
+                "cw": pack_steps(c[following]),
+                "w": pack(at.astype(np.int32)),
                 "seen": pack(seen[low:high]),
                 "runs": pack(runs[low:high].astype(np.int32)),
                 "docs": pack(doc[ends[low] : ends[high]].astype(np.int32)),
@@ -274,7 +305,10 @@ def word_pairs(tokens: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
         return pa.Table.from_batches(out)
 
     left = tokens.drop("words", "counts")
-    schema = "bucket int, block bigint, h binary, w binary, cw binary, ch binary, seen binary, runs binary, docs binary, "
+    schema = (
+        "bucket int, block bigint, h binary, ch binary, spans binary, words binary, cw binary, w binary, "
+        "seen binary, runs binary, docs binary, "
+    )
     return left.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(pairs, schema + INFO_SCHEMA)
 
 
@@ -300,13 +334,17 @@ def score_pairs(pairs: DataFrame, parts: dict) -> DataFrame:
         if not every:
             return pa.Table.from_batches(out)
 
-        def joined(name: str, kind) -> np.ndarray:
-            return np.concatenate([unpack(r[name], kind) for r in every])
+        def of_histories(name: str) -> np.ndarray:
+            return np.concatenate([np.repeat(unpack_steps(r[name], np.int64), unpack(r["spans"], np.int32)) for r in every])
+
+        def of_words(name: str) -> np.ndarray:
+            return np.concatenate([unpack_steps(r[name], np.int64)[unpack(r["w"], np.int32)] for r in every])
 
-        h, cw, ch = joined("h", np.int64), joined("cw", np.int64), joined("ch", np.int64)
-        history, at = np.unique(h, return_inverse=True)
-        pair, first, place = np.unique(at.astype(np.int64) << 36 | joined("w", np.int64), return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=joined("seen", np.int32)).astype(np.int64)
+        ch, cw = of_histories("ch"), of_words("cw")
+        history, at = np.unique(of_histories("h"), return_inverse=True)
+        pair, first, place = np.unique(at.astype(np.int64) << 36 | of_words("words"), return_index=True, return_inverse=True)
+        seen = np.concatenate([unpack(r["seen"], np.int32) for r in every])
+        total = np.bincount(place, weights=seen).astype(np.int64)
         often = np.bincount(np.minimum(total, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
         of, lower_p = at[first], model.probability(cw[first])
         lower = np.bincount(of, weights=lower_p * (total > 0), minlength=len(history))

@@ -109,3 +109,31 @@ def test_packing():
         values = np.arange(-5, 1000).astype(kind)
         assert (katz.unpack(katz.pack(values), kind) == values).all()
         assert len(katz.unpack(katz.pack(values[:0]), kind)) == 0
+
+
+def test_steps_are_packed_smaller_where_numbers_are_sorted():
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    for kind, some in ((np.uint64, values), (np.uint64, values[::-1]), (np.int64, values.view(np.int64)), (np.int64, values[:0].view(np.int64))):
+        assert (katz.unpack_steps(katz.pack_steps(some), kind) == some).all()
+    assert len(katz.pack_steps(values)) < len(katz.pack(values))
+
+
+def test_bytes_that_travel_per_token(documents, prose, monkeypatch):
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 50_000)
+    sent, steps = {}, {f: getattr(katz, f) for f in ("token_blocks", "count_words", "word_pairs")}
+
+    def watched(name):
+        def run(*args):
+            rows = steps[name](*args)
+            sent[name] = sum(len(v) for r in rows.collect() for v in r if isinstance(v, bytes | bytearray))
+            return rows
+
+        return run
+
+    for name in steps:
+        monkeypatch.setattr(katz, name, watched(name))
+    texts = [" ".join(w for a, b in zip(prose(i, 400), prose(-i, 400), strict=True) for w in (min(a, b), f"{a}{b[:2]}")) for i in range(400)]
+    got = katz.score_texts(documents(list(enumerate(texts)))).collect()
+    tokens = sum(r["n_tokens"] for r in got)
+    assert tokens == 400 * 801
+    assert sent["token_blocks"] < 1.5 * tokens and sent["word_pairs"] < 2.6 * tokens
