@@ -118,14 +118,14 @@ def test_steps_are_packed_smaller_where_numbers_are_sorted():
     assert len(katz.pack_steps(values)) < len(katz.pack(values))
 
 
-def test_bytes_that_travel_per_token(documents, prose, monkeypatch):
+def test_what_travels_per_token_and_pair(documents, prose, monkeypatch):
     monkeypatch.setattr(katz, "BUCKET_BYTES", 50_000)
     sent, steps = {}, {f: getattr(katz, f) for f in ("token_blocks", "count_words", "word_pairs")}
 
     def watched(name):
         def run(*args):
             rows = steps[name](*args)
-            sent[name] = sum(len(v) for r in rows.collect() for v in r if isinstance(v, bytes | bytearray))
+            sent[name] = rows.collect()
             return rows
 
         return run
@@ -136,4 +136,7 @@ def test_bytes_that_travel_per_token(documents, prose, monkeypatch):
     got = katz.score_texts(documents(list(enumerate(texts)))).collect()
     tokens = sum(r["n_tokens"] for r in got)
     assert tokens == 400 * 801
-    assert sent["token_blocks"] < 1.5 * tokens and sent["word_pairs"] < 2.6 * tokens
+    assert sum(len(v) for r in sent["token_blocks"] for v in r if isinstance(v, bytes | bytearray)) < 1.5 * tokens
+    kinds = {"h": np.int64, "ch": np.int64, "cw": np.int64, "seen": np.int32}
+    numbers = {c: sum(len(katz.unpack(r[c], kind)) for r in sent["word_pairs"] if r["h"]) for c, kind in kinds.items()}
+    assert numbers["h"] == numbers["ch"] < 0.5 * numbers["seen"] and numbers["cw"] < 0.7 * numbers["seen"]
